@@ -1,0 +1,184 @@
+"""Mapping of freely typed values to the entries of a reference list.
+
+An automaton over all names and aliases finds the mentions embedded in a value; the longest mentions that
+don't overlap win. A value whose remaining words are mere decoration is mapped by its mention. All other
+values go to token-set similarity: what is left after taking decoration away is compared with every name
+within two typing errors, found over deletion neighbourhoods, so no value is compared with the whole list.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Words that adorn a place name without changing which place is meant.
+DECORATION = "city of nagar nigam m corp municipal corporation dist district urban rural town the"
+#: Entries of a reference list that the driver reads and ships to the tasks.
+MAX_ENTRIES = 200_000
+
+
+def fold(s: str) -> str:
+    """Compatibility form, lower case, combining accents of Latin letters off, all but letters, marks and digits to one space."""
+    s = unicodedata.normalize("NFKC", s).casefold()
+    s = "".join(ch for ch in unicodedata.normalize("NFD", s) if not "̀" <= ch <= "ͯ" and unicodedata.category(ch) != "Cf")
+    s = unicodedata.normalize("NFC", s)
+    return " ".join("".join(ch if unicodedata.category(ch)[0] in "LMN" else " " for ch in s).split())
+
+
+def sound(s: str) -> str:
+    """A spelling key: long vowels as written in English spellings of Indian names to the short ones."""
+    s = s.replace("ee", "i").replace("oo", "u").replace("ph", "f").replace("w", "v")
+    return re.sub(r"pore\b", "pur", s)
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Insertions, deletions, changes and swaps of neighbours from a to b; most+1 if more than ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, last = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return most + 1
+        before, last = last, row
+    return last[-1]
+
+
+def deletions(s: str, most: int) -> set[str]:
+    """s with up to ``most`` characters left out."""
+    out = layer = {s}
+    for _ in range(most):
+        layer = {x[:i] + x[i + 1 :] for x in layer for i in range(len(x))}
+        out = out | layer
+    return out
+
+
+class Gazetteer:
+    """Finds the entry meant by a value. ``names``: (entry id, name) pairs, aliases included.
+
+    A name may be missed by ``most`` typing errors at most, and by one for each ``letters`` letters.
+    """
+
+    def __init__(self, names: Sequence[tuple[int, str]], extra: Sequence[str] = (), most: int = 1, letters: int = 4):
+        import ahocorasick
+
+        self.most, self.letters = most, letters
+        self.decoration = set(DECORATION.split())
+        self.extra = {fold(x) for x in extra if x and fold(x)}
+        self.exact: dict[str, set[int]] = {}
+        self.near: dict[str, set[str]] = {}
+        self.auto = ahocorasick.Automaton()
+        for entry, name in names:
+            key = fold(name)
+            if key:
+                self.exact.setdefault(key, set()).add(entry)
+        for key in self.exact:
+            self.auto.add_word(f" {key} ", (len(key), key))
+        for x in self.extra:
+            if x not in self.exact:
+                self.auto.add_word(f" {x} ", (len(x), ""))
+        self.auto.make_automaton()
+        self.joined: dict[str, set[int]] = {}
+        for key, ids in self.exact.items():
+            for form in {"".join(key.split()), sound("".join(key.split()))}:
+                self.joined.setdefault(form, set()).update(ids)
+        for form in self.joined:
+            for d in deletions(form, 1 if len(form) < 4 else most):
+                self.near.setdefault(d, set()).add(form)
+
+    def mentions(self, text: str) -> list[tuple[int, int, str]]:
+        """Start, end and name of the longest mentions that don't overlap, in order; the name is empty for an extra."""
+        found = [(end - 1 - length, end - 1, name) for end, (length, name) in self.auto.iter(f" {text} ")]
+        out: list[tuple[int, int, str]] = []
+        for a, b, name in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
+            if all(b <= x or a >= y for x, y, _ in out):
+                out.append((a, b, name))
+        return sorted(out)
+
+    def find(self, value: str) -> tuple[int, str]:
+        """Entry id, or 0, and how it was found: exact, mention, similar, ambiguous, none."""
+        text = fold(value)
+        if not text:
+            return 0, "none"
+        if ids := self.exact.get(text):
+            return (min(ids), "exact") if len(ids) == 1 else (0, "ambiguous")
+        spans = self.mentions(text)
+        named = [x for x in spans if x[2]]
+        rest, at = [], 0
+        for a, b, _ in spans:
+            rest += text[at:a].split()
+            at = b
+        rest += text[at:].split()
+        plain = [w for w in rest if w not in self.decoration and not w.isdigit()]
+        if named and not plain:
+            ids = set().union(*(self.exact[x[2]] for x in named))
+            if len(ids) == 1:
+                return min(ids), "mention"
+            return 0, "ambiguous"
+        return self.similar(text, spans)
+
+    def similar(self, text: str, spans: list[tuple[int, int, str]]) -> tuple[int, str]:
+        """By token-set similarity: the fewest typing errors over the whole of the words, whatever their order."""
+        kept = " " + text + " "
+        for a, b, name in spans:
+            if not name and text[:a].strip():
+                kept = kept[: a + 1] + " " * (b - a) + kept[b + 1 :]
+        words = kept.split()
+        core = [w for w in words if w not in self.decoration and not w.isdigit()]
+        best: dict[str, float] = {}
+        forms = {"".join(x) for x in (words, core, *(core[k:] + core[:k] for k in range(1, len(core))))}
+        for form in forms | {sound(x) for x in forms}:
+            most = min(self.most, len(form) // self.letters)
+            if not form or most < 1 and form not in self.joined:
+                continue
+            for d in deletions(form, max(most, 0)):
+                for cand in self.near.get(d, ()):
+                    n = edits(form, cand, most)
+                    if n <= most:
+                        best[cand] = min(best.get(cand, 9), n)
+        if not best:
+            return 0, "none"
+        least = min(best.values())
+        ids = set().union(*(self.joined[c] for c, n in best.items() if n == least))
+        return (min(ids), "similar") if len(ids) == 1 else (0, "ambiguous")
+
+
+def reference_entries(ref: DataFrame, id_col: str, name_cols: Sequence[str], extra_col: str | None = None) -> tuple[list[tuple[int, str]], list[str]]:
+    """The list as (id, name) pairs and the distinct extra words; refuses a list beyond MAX_ENTRIES rows."""
+    rows = ref.select(id_col, *name_cols, *([extra_col] if extra_col else [])).limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
+        raise ValueError(f"the reference list has more than {MAX_ENTRIES} entries")
+    names = [(r[0], r[c]) for r in rows for c in name_cols if r[c]]
+    return names, sorted({r[extra_col] for r in rows if extra_col and r[extra_col]})
+
+
+def map_values(df: DataFrame, id_col: str, col: str, names: Sequence[tuple[int, str]], extra: Sequence[str] = (), **model: int) -> DataFrame:
+    """``id_col``, ``entry`` (0 where no entry is meant) and ``how`` for every row whose value isn't null.
+
+    The list travels with the tasks (it is bounded by MAX_ENTRIES); rows aren't shuffled, and a value that
+    occurs often is looked up once a task. ``how``: exact, mention, similar, ambiguous, none.
+    """
+    names, extra = list(names), list(extra)
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = lru_cache(maxsize=100_000)(Gazetteer(names, extra, **model).find)
+        for b in batches:
+            codes, values = pd.factorize(b["__ls_value"])
+            got = [find(v) for v in values]
+            entry, how = [x[0] for x in got], [x[1] for x in got]
+            yield pd.DataFrame({id_col: b[id_col], "entry": pd.Series(entry, dtype="int64").to_numpy()[codes], "how": pd.Series(how, dtype="object").to_numpy()[codes]})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col), F.col(col).alias("__ls_value")).where(F.col(col).isNotNull())
+    return rows.mapInPandas(kernel, f"`{id_col}` {kind}, entry bigint, how string")
