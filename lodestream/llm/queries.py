@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestream.llm import leaks, tokens
+from lodestream.llm import leaks, lookalike, tokens
 from lodestream.runtime import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "parsed_blocks").select(F.lit("parsed_blocks").alias("tbl"), F.col("block_id").alias("id"), "text")
+    chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("id"), "text")
+    return lookalike.look_alike_pairs(blocks.unionByName(chunks), "id", "text", ["tbl"])
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -18,5 +25,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
