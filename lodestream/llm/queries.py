@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import leaks, lookalike, tokens
+from lodestream.llm import leaks, lookalike, scanned, tokens
 from lodestream.runtime import table
 
 
@@ -17,6 +17,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(blocks.unionByName(chunks), "id", "text", ["tbl"])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.defects(table(spark, d, "parsed_blocks"))
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.paragraphs(table(spark, d, "parsed_blocks"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -25,5 +33,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p7_ids": p7_ids, "p8_found": p8_found}
 SQL: dict[str, str] = {}
