@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import leaks, lookalike, scanned, tokens
+from lodestream.llm import leaks, lookalike, scanned, subjects, tokens
 from lodestream.runtime import table
 
 
@@ -33,5 +33,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = subjects.subject_areas(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
+    return found.select("doc_id", "subject")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}

@@ -37,7 +37,10 @@ STROKES = {"m": "iii", "n": "ii", "u": "ii", "h": "ii", "b": "ii", "6": "ii", "8
 WORD = r"[\p{L}\p{M}\p{N}]+"
 LETTERS = r"[\p{L}\p{M}]+"
 HYPHENS = "-‐‑¬­"
-PAGE_NUMBER = r"(?i)^\s*(?:\d+|[ivxl]+|\[\s*\d+\s*\]|[-–—]\s*\d+\s*[-–—]|page\s+\d+(?:\s+of\s+\d+)?|\d+\s*(?:/|of)\s*\d+|\d+\s*\|\s*p\s?a\s?g\s?e)\s*$"
+# A number of which digits may be read as letters, and the forms of page numbers.
+NUMBER = r"(?:[\dlIOo]*\d[\dlIOo]*|[lI])"
+PAGE_NUMBER = rf"(?i)^\s*(?:{NUMBER}|[ivxl]+|\[\s*{NUMBER}\s*\]|[-–—]\s*{NUMBER}\s*[-–—]|p\w{{3}}\s+{NUMBER}(?:\s+of\s+{NUMBER})?|{NUMBER}\s*(?:/|of)\s*{NUMBER}|{NUMBER}\s*\|\s*\w\s?\w\s?\w\s?\w)\s*$"
+INVISIBLE = "[\\u200b-\\u200f\\u2060\\ufeff]"
 SENTENCE_END = r"[.!?।;:,]['\")\]»”]*\s*$"
 SLOTS = 256
 
@@ -89,18 +92,27 @@ class Confusable:
         return best.get((n, m), most + 1)
 
 
-def _masked(c: str) -> Column:
-    """Digits and roman numerals masked, a number at the end taken off."""
-    c = F.regexp_replace(F.trim(F.col(c)), r"\p{N}+", "#")
-    c = F.regexp_replace(F.lower(c), r"\b[ivxl]{1,6}\b", "#")
-    return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r" ?#$", "")
+def _glyphs(c: Column) -> Column:
+    """The skeleton of a lower-case column, as ``skeleton`` gives it."""
+    for glyph, strokes in STROKES.items():
+        if len(strokes) > 1:
+            c = F.replace(c, F.lit(glyph), F.lit(strokes))
+    flat = [(g, s) for g, s in STROKES.items() if len(s) == 1]
+    return F.translate(c, "".join(g for g, _ in flat), "".join(s for _, s in flat))
+
 
+def _masked(name: str) -> Column:
+    """Numbers and roman numerals masked, those at the end taken off, and the skeleton of the rest."""
+    c = F.regexp_replace(F.lower(F.trim(F.col(name))), r"(?<![\p{L}\p{N}])(?:\p{N}+|[ivxl]{1,6})(?![\p{L}\p{N}])", "#")
+    c = F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"(?: ?#)+$", "")
+    return _glyphs(c)
 
-def _template(c: str) -> Column:
+
+def _template(name: str) -> Column:
     """The masked form with capitalised words alike, so that headers naming different bodies are of one form."""
-    c = F.regexp_replace(F.trim(F.col(c)), r"\p{N}+", "#")
-    c = F.regexp_replace(c, r"\p{Lu}[\p{L}\p{M}#]*", "@")
-    return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r" ?#$", "")
+    c = F.regexp_replace(F.trim(F.col(name)), r"(?<![\p{L}\p{N}])(?:\p{Lu}|\p{N}(?=\p{L}))[\p{L}\p{M}\p{N}]*", "@")
+    c = F.regexp_replace(F.regexp_replace(c, r"\p{N}+", "#"), r"\s+", " ")
+    return F.regexp_replace(c, r"(?: ?#)+$", "")
 
 
 def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -112,7 +124,7 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     line), next_block (the block it is in), last_head (whether the line before ends in a hyphen).
     """
     b = blocks.select("doc_id", "block_id", "block_no", "page", "kind", "text", "size", F.coalesce("ocr", F.lit(False)).alias("ocr"))
-    b = b.dropna(subset=["block_id", "text"])
+    b = b.dropna(subset=["block_id", "text"]).withColumn("text", F.regexp_replace("text", INVISIBLE, ""))
     chars = F.length("text")
     sizes = b.where("kind = 'text' AND size IS NOT NULL").groupBy("doc_id", "size").agg(F.sum(chars).alias("chars"))
     body = sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", "size")).alias("body"))
@@ -165,13 +177,15 @@ def cut_words(lines: DataFrame) -> DataFrame:
     pairs = inside.select(F.explode(F.regexp_extract_all("line", F.lit(rf"(?<![\p{{L}}\p{{M}}])(?=({LETTERS}[-‐‑]{LETTERS}))"))).alias("w"))
     pairs = pairs.select(F.regexp_replace("w", "[‐‑]", "-").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     ends = lines.where("tail IS NOT NULL").select("doc_id", "block_id", "at", "next_block", "mark", F.lower("tail").alias("tail"), F.lower("head").alias("head"))
+    none = F.coalesce("head", F.lit("")) == ""
     ends = ends.withColumn("joined", F.concat("tail", F.coalesce("head", F.lit("")))).withColumn("pair", F.concat("tail", F.lit("-"), F.coalesce("head", F.lit(""))))
     for name, source, key in (("n_joined", words, "joined"), ("n_tail", words, "tail"), ("n_head", words, "head"), ("n_pair", pairs, "pair")):
         ends = ends.join(source.select(F.col("w").alias(key), F.col("n").alias(name)), key, "left").fillna(0, [name])
     never = F.col("mark").isin("¬", "­")
     both = (F.col("n_tail") >= 3) & (F.col("n_head") >= 3)
     broken = never | (F.col("n_joined") > F.col("n_pair")) | ((F.col("n_joined") == F.col("n_pair")) & ~both)
-    return ends.withColumn("broken", broken & (F.coalesce("head", F.lit("")) != "")).select("doc_id", "block_id", "at", "next_block", "tail", "head", "joined", "broken")
+    broken = F.when(none, never | (F.col("n_tail") < 3)).otherwise(broken)
+    return ends.withColumn("broken", broken).select("doc_id", "block_id", "at", "next_block", "tail", "head", "joined", "broken")
 
 
 def occurrences(lines: DataFrame, ends: DataFrame) -> DataFrame:
@@ -199,13 +213,7 @@ def misreadings(words: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``w``, ``fix``, ``d`` (place of the first difference): forms that are misreadings. ``words`` as from occurrences."""
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ocr")).alias("digital"))
     counts = counts.where(~F.col("w").rlike(r"^\p{N}+$"))
-    skeleton_of = F.lower("w")
-    for glyph, strokes in STROKES.items():
-        if len(strokes) > 1:
-            skeleton_of = F.replace(skeleton_of, F.lit(glyph), F.lit(strokes))
-    flat = [(g, s) for g, s in STROKES.items() if len(s) == 1]
-    skeleton_of = F.translate(skeleton_of, "".join(g for g, _ in flat), "".join(s for _, s in flat))
-    counts = durable(counts.withColumn("slot", F.pmod(F.xxhash64(skeleton_of), F.lit(SLOTS))))
+    counts = durable(counts.withColumn("slot", F.pmod(F.xxhash64(_glyphs(F.col("w"))), F.lit(SLOTS))))
 
     def match(t: pa.Table) -> pa.Table:
         by_skeleton: dict[str, list[tuple[int, int, str]]] = {}
