@@ -256,7 +256,7 @@ def readings_of_trees(trees: DataFrame, keys: Sequence[str], shard_days: int = 6
 
 
 def kalman_flags(
-    p: Packed, threshold: float = 6.0, ratio: float = 0.5, spike_days: int = 2, stuck_run: int = 7, floor: float = 1.0, step: float = 4.0
+    p: Packed, threshold: float = 6.0, ratio: float = 0.5, spike_days: int = 2, stuck_run: int = 7, floor: float = 1.0, step: float = 4.0, steady: int = 2
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flags of the readings of a batch: spike, stuck, and the standardised innovation.
 
@@ -266,7 +266,8 @@ def kalman_flags(
     deviations is withheld from the update. If the series is back within the bounds before more than
     ``spike_days`` days went by, the withheld readings are spikes; otherwise the level itself moved and the
     filter starts again from the newest reading. A spike also has to stand ``step`` times the usual
-    difference clear of the readings at both its ends and keep one height, unlike a rise that builds up.
+    difference clear of the readings at both its ends and keep one height, unlike a rise that builds up; and ``steady``
+    readings must have settled the level it leaves.
     ``stuck_run`` readings on end without any innovation against the last reading are stuck.
     """
     n, total = p.n, len(p.of)
@@ -291,6 +292,7 @@ def kalman_flags(
     head = np.where(k < p.size[:, None], y[np.minimum(p.start[:, None] + k, total - 1)], np.nan)
     level, var = np.nanmedian(head, axis=1), r.copy()
     held, held_from, last_day = np.zeros(n, np.int64), np.zeros(n, np.int64), p.first - 1
+    settled = np.full(n, steady)  # readings taken in since the filter started again
     run = np.zeros(n, np.int64)
     by_length = np.argsort(-p.size, kind="stable")
     alive = np.searchsorted(-p.size[by_length], -np.arange(1, p.size.max() + 1), side="right")
@@ -309,13 +311,14 @@ def kalman_flags(
             f, e = held_from[back], p.start[back] + t
             short = p.day[e - 1] - p.day[f] < spike_days
             edge = np.maximum(f - 1, p.start[back])
-            clear = (np.abs(y[f] - y[edge]) > step * sd[back]) & (np.abs(y[e] - y[e - 1]) > step * sd[back]) & (f > p.start[back])
+            clear = (settled[back] >= steady) & (np.abs(y[f] - y[edge]) > step * sd[back]) & (np.abs(y[e] - y[e - 1]) > step * sd[back]) & (f > p.start[back])
             for width in range(1, spike_days):  # a second large step the same way is a rise that builds up
                 clear &= (f + width >= e) | (np.abs(y[np.minimum(f + width, total - 1)] - y[f + width - 1]) <= step * sd[back])
             for width in range(spike_days):
                 on = short & clear & (f + width < e)
                 spike[f[on] + width] = True
             held[back] = 0
+        settled[s] += ok
         gain = pred / (pred + r[s])
         level[s] = np.where(ok, level[s] + gain * inn, level[s])
         var[s] = np.where(ok, (1 - gain) * pred, pred)
@@ -325,7 +328,7 @@ def kalman_flags(
         held_from[new[fresh]] = p.start[new[fresh]] + t
         held[new] += 1
         lasting = new[p.day[p.start[new] + t] - p.day[held_from[new]] >= spike_days]
-        level[lasting], var[lasting], held[lasting] = y[p.start[lasting] + t], r[lasting], 0
+        level[lasting], var[lasting], held[lasting], settled[lasting] = y[p.start[lasting] + t], r[lasting], 0, 0
         # Vanishing innovations against the last reading.
         same = (y[i] == y[np.maximum(i - 1, 0)]) & (t > 0)
         run[s] = np.where(same, run[s] + 1, 1)

@@ -1,0 +1,56 @@
+import pytest
+
+from lodestream.operators import canonical as C
+
+NAMES = [(1, "Khidhinagar"), (1, "खिधिनगर"), (1, "Tokhehabad"), (2, "Khajipatti"), (3, "Bara Khajipatti"), (4, "Medipur"), (5, "Dhejasar"), (6, "Dhejisar")]
+G = C.Gazetteer(NAMES, ["Sonadesh", "Purvachal Khand"])
+
+
+@pytest.mark.parametrize(
+    ("typed", "entry"),
+    [
+        ("KHIDHINAGAR", 1), ("* Khidhinagar", 1), ("Khidhinagar, Sonadesh", 1), ("City of Tokhehabad #", 1), ("खिधिनगर", 1), ("Khi-dhinagar", 1),
+        ("Khidhinagr", 1), ("Khidhingaar", 1), ("Kheedhinagar", 1), ("Bara Khajipatti (M Corp)", 3), ("Baa Khajipatti", 3), ("bara-khajipatti", 3),
+        ("1. Khajipatti", 2), ("Medipoor", 4), ("Medipore Dist.", 4), ("Dhejsar", 0), ("Dhejasar", 5), ("Sonadesh", 0), ("n/a", 0), ("", 0), ("   ", 0),
+        ("Station 7", 0), ("Westerholt Junction", 0), ("Khidhinagar Khajipatti", 0), ("x" * 50_000, 0),
+    ],
+)
+def test_find(typed, entry):
+    assert G.find(typed)[0] == entry
+
+
+def brute(value):
+    from lodestream.operators.canonical import edits, fold, sound
+
+    form = "".join(fold(value).split())
+    near = {e for e, n in NAMES for f in {form, sound(form)} for g in {"".join(fold(n).split()), sound("".join(fold(n).split()))} if edits(f, g, 1) <= 1}
+    return min(near) if len(near) == 1 else 0
+
+
+def test_similarity_matches_brute_force():
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(300):
+        w = list(rnd.choice([n for _, n in NAMES if n.isascii()]))
+        for _ in range(rnd.choice([1, 1, 2])):
+            k = rnd.randrange(len(w))
+            w[k : k + rnd.choice([0, 1])] = rnd.choice("abcdxyz")
+        value = "".join(w)
+        if not G.find(value)[1] in ("exact", "mention"):
+            assert G.find(value)[0] == brute(value), value
+
+
+def test_map_values(spark):
+    df = spark.createDataFrame([(1, "Khidhinagr", "x"), (2, None, "y"), (3, "Khidhinagr", "z"), (4, "?", "w")], "row_id long, city string, entry string")
+    got = {(r.row_id, r.entry, r.how) for r in C.map_values(df, "row_id", "city", NAMES).collect()}
+    assert got == {(1, 1, "similar"), (3, 1, "similar"), (4, 0, "none")}
+    assert C.map_values(df.where("row_id > 9"), "row_id", "city", NAMES).count() == 0
+
+
+def test_reference_list_is_bounded(spark, monkeypatch):
+    ref = spark.createDataFrame([(1, "a", None, "s"), (2, None, "b", None)], "id long, name string, other string, state string")
+    assert C.reference_entries(ref, "id", ["name", "other"], "state") == ([(1, "a"), (2, "b")], ["s"])
+    monkeypatch.setattr(C, "MAX_ENTRIES", 1)
+    with pytest.raises(ValueError):
+        C.reference_entries(ref, "id", ["name"])
