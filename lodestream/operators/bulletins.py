@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.schemas import BANDS
@@ -21,7 +21,7 @@ def parse_bulletins(files: DataFrame, text: str = "text", header: str = HEADER,
     whose date differs from the date in ``stem`` (yyyyMMdd), where given. A record is cut out whole before its parts are read, so
     missing parts (value, stations) stay aligned."""
     clean = F.regexp_replace(F.col(text), r"[ \t]+\n", "\n")
-    day = F.try_to_date(F.regexp_extract(clean, header, 1), F.lit("MMM d, yyyy"))
+    day = F.try_to_date(F.regexp_extract(clean, header, 1), "MMM d, yyyy")
     dated = files.withColumn("__ls_text", clean).withColumn("date", day).where("date IS NOT NULL")
     if stem:
         dated = dated.where(F.date_format("date", "yyyyMMdd") == F.col(stem))
@@ -118,8 +118,9 @@ def missing_days(landed: DataFrame, first: str, last: str) -> DataFrame:
     return days.join(landed.select("day").distinct(), "day", "left_anti")
 
 
-def ask(spark, cities: Sequence[str], d0: str, d1: str) -> DataFrame:
+def ask(spark: SparkSession, cities: Sequence[str], d0: str, d1: str) -> DataFrame:
     """Cities and one range as input of ``coverage``, bound as parameters."""
-    from pyspark.sql.functions import lit
-
-    return spark.sql("SELECT explode(:c) AS city, CAST(:a AS DATE) AS d0, CAST(:b AS DATE) AS d1", args={"c": F.array(*[lit(c) for c in cities]) if cities else F.array().cast("array<string>"), "a": d0, "b": d1})
+    if not cities:
+        return spark.sql("SELECT CAST(NULL AS STRING) AS city, CAST(:a AS DATE) AS d0, CAST(:b AS DATE) AS d1 LIMIT 0", args={"a": d0, "b": d1})
+    listed = F.array(*map(F.lit, cities))
+    return spark.sql("SELECT explode(:c) AS city, CAST(:a AS DATE) AS d0, CAST(:b AS DATE) AS d1", args={"c": listed, "a": d0, "b": d1})

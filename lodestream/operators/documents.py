@@ -160,6 +160,8 @@ class Packer:
         lines = text.splitlines()
         ruled = len(lines) > 1 and not set(lines[1].replace("|", "").strip()) - set("-: ")
         top = lines[: 1 + ruled]
+        if len(lines) == len(top):  # no rows to cut between
+            return self.by_words(text)
         fits = lambda rows: self.count("\n".join([*top, *rows])) <= self.most
         out, held = [], []
         for row in lines[len(top) :]:
