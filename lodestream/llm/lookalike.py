@@ -106,16 +106,23 @@ class Trie:
     def spell(self, word: str, most: float = 0.0) -> str | None:
         """The cheapest vocabulary word that ``word`` can be read as, within ``most`` edits; the more frequent of equals."""
         # States of the automaton: nodes of the trie with the least cost of coming there.
-        states: dict[int, tuple[dict, float]] = {id(self.root): (self.root, 0.0)}
-
-        def put(to: dict, node: dict, cost: float) -> None:
+        def put(to: dict[int, tuple[dict, float]], node: dict, cost: float) -> None:
             if cost <= most and (id(node) not in to or to[id(node)][1] > cost):
                 to[id(node)] = (node, cost)
 
+        def added(states: dict[int, tuple[dict, float]]) -> dict[int, tuple[dict, float]]:
+            for _ in range(int(most)):
+                for node, cost in list(states.values()):
+                    for c, at in node.items():
+                        if c:
+                            put(states, at, cost + 1)
+            return states
+
+        states = added({id(self.root): (self.root, 0.0)})
         for ch in unicodedata.normalize("NFD", word):
-            after: dict = {}
+            after: dict[int, tuple[dict, float]] = {}
+            options = readings(ch)
             for node, cost in states.values():
-                options = readings(ch)
                 for r in options:
                     at: dict | None = node
                     for c in r:
@@ -129,12 +136,7 @@ class Trie:
                     for c, at in node.items():
                         if c:
                             put(after, at, cost + 1)  # changed
-            if most >= 1:
-                for node, cost in list(after.values()):
-                    for c, at in node.items():
-                        if c:
-                            put(after, at, cost + 1)  # added
-            states = after
+            states = added(after)
             if not states:
                 return None
         ends = [(cost, -node[""][0], node[""][1]) for node, cost in states.values() if "" in node]

@@ -288,11 +288,13 @@ def paragraphs(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """
     lines, ends, _, fixes = analyse(blocks, limits)
     own = lines.where(~F.col("furniture"))
-    marks = ends.where("broken").select("block_id", "at", F.lit(True).alias("broken"), F.col("head").alias("add"))
+    marks = ends.select("block_id", "at", "broken")
     own = own.join(marks, ["block_id", "at"], "left")
     order = Window.partitionBy("doc_id", "kind").orderBy("block_no", "block_id", "at")
-    own = own.withColumn("eaten", F.coalesce(F.lag("broken").over(order), F.lit(False)) & F.col("last_head"))
-    text = F.when(F.col("broken"), F.concat(F.regexp_replace("line", rf"[{HYPHENS}][\s]*$", ""), F.coalesce("add", F.lit("")))).otherwise(F.col("line"))
+    joins = F.col("tail").isNotNull() & (F.coalesce("head", F.lit("")) != "")
+    own = own.withColumn("joins", joins).withColumn("eaten", F.coalesce(F.lag("joins").over(order), F.lit(False)) & F.col("last_head"))
+    bare = F.regexp_replace("line", rf"[{HYPHENS}][\s]*$", "")
+    text = F.when(F.col("joins"), F.concat(bare, F.when(F.col("broken"), "").otherwise("-"), "head")).otherwise(F.col("line"))
     text = F.when(F.col("eaten"), F.regexp_replace(text, rf"^\s*{LETTERS}", "")).otherwise(text)
     own = own.withColumn("text", text)
     cut = own.select("block_id", "at", "ocr", F.posexplode(F.regexp_extract_all("text", F.lit(rf"({WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+)"))).alias("i", "piece"))
