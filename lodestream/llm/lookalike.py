@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.runtime import durable
+
 # Letters of other scripts that look like Latin ones, and hyphens, each with what it looks like.
 # Two readings: the first is taken by the table, the vocabulary may prefer the second.
 LOOK_ALIKES = """
@@ -167,19 +169,33 @@ def spellings(words: DataFrame, vocabulary: DataFrame, most: float = 0.0) -> Dat
 
 
 def _cut(text: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: pieces(t))
+    """``ps``: white space and words in turn, ``fs``: their table forms."""
 
-    return cut(text)
+    @F.pandas_udf("ps array<string>, fs array<string>")
+    def cut(s: pd.Series) -> pd.DataFrame:
+        form = lru_cache(maxsize=100_000)(by_table)
+        ps = s.map(pieces)
+        return pd.DataFrame({"ps": ps, "fs": ps.map(lambda x: [form(p) for p in x])})
 
+    return cut(text)
 
-def _table_form(word: Column) -> Column:
-    @F.pandas_udf("string")
-    def form(s: pd.Series) -> pd.Series:
-        return s.map(by_table)
 
-    return form(word)
+def _forms(distinct: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
+    """Of distinct texts the plain ones (text), and the others with their form (key, text, form)."""
+    plain = distinct.where(~F.col("text").rlike(NOT_PLAIN))
+    other = distinct.where(F.col("text").rlike(NOT_PLAIN)).select(F.md5("text").alias("key"), "text")
+    cut = durable(other.select("key", "text", _cut(F.col("text")).alias("c")).select("key", "text", "c.ps", "c.fs"))
+    each = cut.select("key", F.posexplode(F.arrays_zip("ps", "fs")).alias("at", "x")).where("at % 2 = 1")
+    noisy = each.where("x.ps <> x.fs").select("key", "at", F.col("x.ps").alias("word"))
+    clean = each.where("x.ps = x.fs").select(F.col("x.ps").alias("word"))
+    vocabulary = plain.select(F.explode(F.split("text", r"\s+")).alias("word")).unionByName(clean)
+    vocabulary = vocabulary.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    chosen = spellings(noisy, vocabulary, most)
+    # Only words whose spelling isn't their table form change anything; the rest of a text stays in its array.
+    spelt = noisy.join(chosen, "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("at", "spelling"))).alias("own"))
+    whole = cut.join(spelt, "key", "left")
+    form = F.array_join(F.transform("fs", lambda f, i: F.coalesce(F.element_at(F.coalesce("own", F.create_map().cast("map<int,string>")), i), f)), "")
+    return plain, whole.select("key", "text", form.alias("form"))
 
 
 def one_form(texts: DataFrame, col: str, most: float = 0.0) -> DataFrame:
@@ -188,20 +204,8 @@ def one_form(texts: DataFrame, col: str, most: float = 0.0) -> DataFrame:
     The empty text and texts of ignorable characters only have the empty form.
     """
     distinct = texts.select(F.col(col).alias("text")).where("text IS NOT NULL").distinct()
-    plain = distinct.where(~F.col("text").rlike(NOT_PLAIN))
-    other = distinct.where(F.col("text").rlike(NOT_PLAIN)).withColumn("key", F.md5("text"))
-    cut = other.select("key", F.posexplode(_cut(F.col("text"))).alias("at", "piece"))
-    cut = cut.withColumn("form", _table_form(F.col("piece")))
-    words = cut.where("at % 2 = 1 AND piece <> form").select(F.col("piece").alias("word"))
-    clean = cut.where("at % 2 = 1 AND piece = form").select(F.col("piece").alias("word"))
-    vocabulary = plain.select(F.explode(F.split("text", r"\s+")).alias("word")).unionByName(clean)
-    vocabulary = vocabulary.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    chosen = spellings(words, vocabulary, most)
-    spelt = cut.join(chosen.withColumnRenamed("word", "piece"), "piece", "left")
-    whole = spelt.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("spelling", "form").alias("p")))).alias("ps"))
-    whole = whole.select("key", F.array_join("ps.p", "").alias("form"))
-    formed = other.join(whole, "key").select("text", "form")
-    return plain.select("text", F.col("text").alias("form")).unionByName(formed).withColumnRenamed("text", col)
+    plain, other = _forms(distinct, most)
+    return plain.select("text", F.col("text").alias("form")).unionByName(other.select("text", "form")).withColumnRenamed("text", col)
 
 
 def look_alike_pairs(rows: DataFrame, id_col: str, text_col: str, groups: list[str]) -> DataFrame:
@@ -210,20 +214,25 @@ def look_alike_pairs(rows: DataFrame, id_col: str, text_col: str, groups: list[s
     Only distinct texts are compared; a form that a single text has, however often, is never paired. Rows
     with a null id or text have no pairs; a null group is a group.
     """
-    rows = rows.select(*groups, F.col(id_col).alias("__ls_id"), F.col(text_col).alias("__ls_text")).dropna(subset=["__ls_id", "__ls_text"])
-    forms = one_form(rows, "__ls_text")
-    tagged = rows.join(forms, "__ls_text").select(*groups, "__ls_id", F.md5("__ls_text").alias("text"), F.md5("form").alias("form"))
-    kinds = tagged.select(*groups, "form", "text").distinct()
+    own = [f"__ls_g{k}" for k in range(len(groups))]
+    rows = rows.select(*[F.col(g).alias(o) for g, o in zip(groups, own)], F.col(id_col).alias("__ls_id"), F.col(text_col).alias("text"))
+    rows = rows.dropna(subset=["__ls_id", "text"])
+    distinct = rows.select(*own, "text").distinct()
+    plain, other = _forms(distinct.select("text").distinct(), 0.0)
+    forms = other.select("key", F.md5("form").alias("form"))
+    # Plain texts are their own form; only forms that an other text has can have twins.
+    known = distinct.select(*own, F.md5("text").alias("key"))
+    kinds = known.join(forms, "key").unionByName(known.join(forms.select("form").distinct().withColumnRenamed("form", "key"), "key", "left_semi").withColumn("form", F.col("key"))).distinct()
     a, b = kinds.alias("a"), kinds.alias("b")
     same = F.col("a.form") == F.col("b.form")
-    for g in groups:
-        same &= F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
-    twins = a.join(b, same & (F.col("a.text") < F.col("b.text"))).select(*[F.col(f"a.{g}") for g in groups], F.col("a.text").alias("text_a"), F.col("b.text").alias("text_b"))
-    out = twins
+    for o in own:
+        same &= F.col(f"a.{o}").eqNullSafe(F.col(f"b.{o}"))
+    out = a.join(b, same & (F.col("a.key") < F.col("b.key"))).select(*[F.col(f"a.{o}").alias(o) for o in own], F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
     for side in ("a", "b"):
-        members = tagged.select(*[F.col(g).alias(f"__ls_{g}") for g in groups], F.col("text").alias(f"text_{side}"), F.col("__ls_id").alias(f"id_{side}"))
-        on = out[f"text_{side}"] == members[f"text_{side}"]
-        for g in groups:
-            on &= out[g].eqNullSafe(members[f"__ls_{g}"])
-        out = out.join(members, on).select(*groups, *[c for c in out.columns if c not in groups and c != f"text_{side}"], f"id_{side}")
-    return out.where("id_a <> id_b").select(*groups, F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+        members = rows.select(*[F.col(o).alias(f"m_{o}") for o in own], F.md5("text").alias("m_key"), F.col("__ls_id").alias(f"id_{side}"))
+        on = out[f"key_{side}"] == members["m_key"]
+        for o in own:
+            on &= out[o].eqNullSafe(members[f"m_{o}"])
+        out = out.join(members, on).drop("m_key", f"key_{side}", *[f"m_{o}" for o in own])
+    out = out.where("id_a <> id_b").select(*[F.col(o).alias(g) for o, g in zip(own, groups)], F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return out.distinct()
