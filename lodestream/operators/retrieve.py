@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 #: Queries compared in one pass over the vectors.
 QUERY_BLOCK = 2_000
+SPARSE_BLOCK = 250
 #: Digits that scores are rounded to before they are ranked, so that summation order decides no tie.
 DIGITS = 6
 
@@ -104,10 +105,55 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sparse_search(query_terms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
-    """Top k by the dot product over shared terms. ``query_terms``: query_id, term, weight. A query without terms finds nothing."""
-    q = query_terms.select("query_id", "term", F.col("weight").alias("wq"))
-    hits = posts.join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("wq")).alias("score"))
-    return top(hits, k)
+    """Top k by the dot product over shared terms. ``query_terms``: query_id, term, weight. A query without terms finds nothing.
+
+    Queries go to the tasks in blocks as a matrix of terms by queries; postings are gathered per id, and each
+    batch is a product of matrices of which k candidates per query go on. Joining postings and query terms
+    instead would make a row for every shared common word of every pair.
+    """
+    q = query_terms.select("query_id", "term", "weight").dropna()
+    ids = q.select("query_id").distinct()
+    blocks, out = max(1, -(-ids.count() // SPARSE_BLOCK)), None
+    lists = posts.groupBy("id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("p"))
+    lists = lists.select("id", F.col("p.term").alias("t"), F.col("p.weight").alias("w"))
+    kind = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", posts.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    for n in range(blocks):
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        found = lists.mapInArrow(_sparse(part.toPandas(), k, kind.names), kind)
+        out = found if out is None else out.unionByName(found)
+    return top(out, k)
+
+
+def _sparse(q: pd.DataFrame, k: int, names: list[str]):
+    queries, columns = pd.factorize(q["query_id"])[::-1]
+    terms = pd.Index(q["term"].unique())
+    matrix = np.zeros((len(terms), len(queries)))
+    np.add.at(matrix, (terms.get_indexer(q["term"]), columns), q["weight"].to_numpy(dtype=float))
+    shared = (matrix != 0).astype(np.float32)
+    ids = pa.array(queries)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(queries):
+                continue
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                size = np.diff(part.column("t").offsets.to_numpy())
+                row = terms.get_indexer(part.column("t").flatten().to_pandas())
+                doc = np.repeat(np.arange(part.num_rows), size)
+                hit = np.flatnonzero(row >= 0)
+                if not len(hit):
+                    continue
+                doc, row, w = doc[hit], row[hit], part.column("w").flatten().to_numpy()[hit]
+                start = np.flatnonzero(np.diff(doc, prepend=-1))
+                s = np.add.reduceat(matrix[row] * w[:, None], start, axis=0).T
+                has = np.add.reduceat(shared[row], start, axis=0).T > 0
+                r = np.where(has, np.round(s, DIGITS), -np.inf)
+                keep = has if r.shape[1] <= k else has & (r >= np.partition(r, -k, axis=1)[:, -k][:, None])
+                qi, di = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), part.column("id").take(pa.array(doc[start][di])), pa.array(s[qi, di])], names=names)
+
+    return kernel
 
 
 def fuse(lists: Sequence[DataFrame], weights: Sequence[Column]) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,20 +38,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A durable table, with the hint to broadcast it if it was counted to hold ``rows`` rows at most; else joins shuffle it."""
+    return broadcast(df) if df.count() <= rows else df
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for a written intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in the Python workers of a remote cluster (no-op on local masters)."""
+    """Make the package importable in the Python workers of a remote cluster (no-op on local masters).
+
+    The archive goes to the shared folder, from where every executor fetches it.
+    """
     sc = spark.sparkContext
     if sc.master.startswith("local") or getattr(sc, "_lodestream_shipped", False):
         return
-    root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp()) / "lodestream.zip"
-    with zipfile.ZipFile(path, "w") as z:
+    root, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(path))
+            z.writestr(str(f.relative_to(root.parent)), f.read_bytes())
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'package')}/lodestream.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
     sc._lodestream_shipped = True
