@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.runtime import durable
+from lodestream.runtime import durable, small
 
 # What scanners read, and what stood there.
 CONFUSIONS = """
@@ -188,9 +188,9 @@ def cut_words(lines: DataFrame) -> DataFrame:
     return ends.withColumn("broken", broken).select("doc_id", "block_id", "at", "next_block", "tail", "head", "joined", "broken")
 
 
-def occurrences(lines: DataFrame, ends: DataFrame) -> DataFrame:
-    """Words of the documents' own text, broken ones joined: block_id, ocr, w, last, next (neighbours), other (block of the
-    second part), cut (length of the first part)."""
+def own_words(lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """Lines of the documents' own text as words: block_id, ocr, ws; where the last word was joined over the line's end also
+    other (the block its second part is in) and cut (length of the first part)."""
     own = lines.where(~F.col("furniture"))
     marks = ends.where("broken").select("block_id", "at", "joined", F.length("tail").alias("cut"))
     joined = own.join(marks, ["block_id", "at"], "left")
@@ -200,9 +200,14 @@ def occurrences(lines: DataFrame, ends: DataFrame) -> DataFrame:
     text = F.when(F.col("eaten"), F.regexp_replace(text, rf"^\s*{LETTERS}", "")).otherwise(text)
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD})"))
     found = F.when(F.col("joined").isNotNull(), F.concat(found, F.array("joined"))).otherwise(found)
-    listed = joined.select("block_id", "ocr", "joined", F.col("next_block").alias("other"), "cut", found.alias("ws"))
-    each = listed.select("block_id", "ocr", "joined", "other", "cut", "ws", F.posexplode("ws").alias("i", "w"))
-    at_end = F.col("joined").isNotNull() & (F.col("i") == F.size("ws") - 1)
+    other = F.when(F.col("joined").isNotNull(), F.col("next_block"))
+    return joined.select("block_id", "ocr", found.alias("ws"), other.alias("other"), "cut")
+
+
+def occurrences(listed: DataFrame) -> DataFrame:
+    """Each word of own_words with its neighbours: block_id, ocr, w, last, next, other, cut."""
+    each = listed.select("block_id", "ocr", "other", "cut", "ws", F.posexplode("ws").alias("i", "w"))
+    at_end = F.col("i") == F.size("ws") - 1
     return each.select(
         "block_id", "ocr", "w", F.get("ws", F.col("i") - 1).alias("last"), F.get("ws", F.col("i") + 1).alias("next"),
         F.when(at_end, F.col("other")).alias("other"), F.when(at_end, F.col("cut")).alias("cut"),
@@ -233,12 +238,14 @@ def misreadings(words: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     pairs = durable(counts.groupBy("slot").applyInArrow(match, "w string, fix string, n long, d int"))
     # Context: how often each proposal stands beside a neighbour of the misread form.
-    several = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w")
+    several = small(durable(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w")))
     sides = [words.select("w", F.col(c).alias("by"), F.lit(c).alias("side")) for c in ("last", "next")]
     beside = sides[0].unionByName(sides[1]).where("by IS NOT NULL")
     seen = beside.join(several, "w").groupBy("w", "by", "side").agg(F.count(F.lit(1)).alias("k"))
-    asked = pairs.join(several, "w").select("w", "fix").join(seen, "w").select("w", "fix", "by", "side")
-    support = asked.join(beside.withColumnRenamed("w", "fix").join(asked.select("fix").distinct(), "fix").groupBy("fix", "by", "side").agg(F.count(F.lit(1)).alias("s")), ["fix", "by", "side"])
+    asked = durable(pairs.join(several, "w").select("w", "fix").join(seen, "w").select("w", "fix", "by", "side"))
+    wanted = small(durable(asked.select("fix", "by", "side").distinct()))
+    stands = beside.withColumnRenamed("w", "fix").join(wanted, ["fix", "by", "side"]).groupBy("fix", "by", "side").agg(F.count(F.lit(1)).alias("s"))
+    support = asked.join(stands, ["fix", "by", "side"])
     support = support.groupBy("w", "fix").agg(F.sum("s").alias("s"))
     ranked = pairs.join(support, ["w", "fix"], "left").fillna(0, ["s"])
     best = ranked.groupBy("w").agg(F.max_by("fix", F.struct("s", -F.col("d"), "n", "fix")).alias("fix"))
@@ -258,7 +265,7 @@ def analyse(blocks: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Da
     """Lines, line ends with a hyphen, words and misreadings of all blocks."""
     lines = durable(own_lines(blocks, limits))
     ends = durable(cut_words(lines))
-    words = durable(occurrences(lines, ends))
+    words = occurrences(durable(own_words(lines, ends)))
     return lines, ends, words, durable(misreadings(words, limits))
 
 
@@ -273,7 +280,7 @@ def defects(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     furniture = scans.where("furniture").select("block_id", F.lit("furniture").alias("defect"))
     own = scans.where("NOT whole").select("block_id", "at")
     hyphen = ends.where("broken").join(own, ["block_id", "at"], "left_semi").select("block_id", F.lit("hyphen").alias("defect"))
-    hit = words.where("ocr").join(fixes, "w")
+    hit = words.where("ocr").join(small(fixes), "w")
     where = F.when(F.col("other").isNotNull() & (F.col("d") >= F.col("cut")), F.col("other")).otherwise(F.col("block_id"))
     misread = hit.select(where.alias("block_id"), F.lit("misread").alias("defect"))
     return furniture.unionByName(hyphen).unionByName(misread).distinct()
@@ -298,7 +305,7 @@ def paragraphs(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     text = F.when(F.col("eaten"), F.regexp_replace(text, rf"^\s*{LETTERS}", "")).otherwise(text)
     own = own.withColumn("text", text)
     cut = own.select("block_id", "at", "ocr", F.posexplode(F.regexp_extract_all("text", F.lit(rf"({WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+)"))).alias("i", "piece"))
-    fixed = cut.withColumn("w", F.when(F.col("ocr"), F.lower("piece"))).join(fixes.select("w", "fix"), "w", "left")
+    fixed = cut.withColumn("w", F.when(F.col("ocr"), F.lower("piece"))).join(small(fixes).select("w", "fix"), "w", "left")
     capital = F.col("piece").rlike(r"^\p{Lu}")
     shaped = F.when(F.col("piece").rlike(r"^\p{Lu}{2,}"), F.upper("fix")).when(capital, F.concat(F.upper(F.substring("fix", 1, 1)), F.expr("substring(fix, 2)"))).otherwise(F.col("fix"))
     fixed = fixed.select("block_id", "at", F.struct("i", F.when(F.col("fix").isNotNull(), shaped).otherwise(F.col("piece")).alias("p")).alias("p"))
