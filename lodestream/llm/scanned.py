@@ -36,6 +36,8 @@ STROKES = {"m": "iii", "n": "ii", "u": "ii", "h": "ii", "b": "ii", "6": "ii", "8
 
 WORD = r"[\p{L}\p{M}\p{N}]+"
 LETTERS = r"[\p{L}\p{M}]+"
+# A word, misread letters included, of which a letter is left.
+LETTERED = r"(?=\p{N}*\p{L})[\p{L}\p{M}\p{N}]+"
 HYPHENS = "-‐‑¬­"
 # A number of which digits may be read as letters, and the forms of page numbers.
 NUMBER = r"(?:[\dlIOo]*\d[\dlIOo]*|[lI])"
@@ -154,10 +156,10 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     running = (F.col("kind") == "text") & ~F.col("furniture") & (F.trim("line") != "")
     order = Window.partitionBy("doc_id", running).orderBy("block_no", "block_id", "at")
-    tail = F.regexp_extract("line", rf"({LETTERS})[{HYPHENS}][\s]*$", 1)
+    tail = F.regexp_extract("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}])({LETTERED})[{HYPHENS}][\s]*$", 1)
     lines = lines.withColumn("tail", F.when(running & (tail != ""), tail))
     lines = lines.withColumn("mark", F.when(F.col("tail").isNotNull(), F.regexp_extract("line", rf"([{HYPHENS}])[\s]*$", 1)))
-    head = F.regexp_extract("line", rf"^\s*({LETTERS})", 1)
+    head = F.regexp_extract("line", rf"^\s*({LETTERED})", 1)
     lines = lines.withColumn("head", F.when(F.col("tail").isNotNull(), F.lead(head).over(order)))
     lines = lines.withColumn("next_block", F.when(F.col("tail").isNotNull(), F.lead("block_id").over(order)))
     lines = lines.withColumn("last_head", F.coalesce(running & F.lag("tail").over(order).isNotNull(), F.lit(False)))
@@ -166,8 +168,8 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def _inside() -> Column:
     """The line without the parts of words that a line end may have cut."""
-    c = F.when(F.col("tail").isNotNull(), F.regexp_replace("line", rf"{LETTERS}[{HYPHENS}][\s]*$", "")).otherwise(F.col("line"))
-    return F.when(F.col("last_head"), F.regexp_replace(c, rf"^\s*{LETTERS}", "")).otherwise(c)
+    c = F.when(F.col("tail").isNotNull(), F.regexp_replace("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){LETTERED}[{HYPHENS}][\s]*$", "")).otherwise(F.col("line"))
+    return F.when(F.col("last_head"), F.regexp_replace(c, rf"^\s*{LETTERED}", "")).otherwise(c)
 
 
 def cut_words(lines: DataFrame) -> DataFrame:
@@ -196,8 +198,8 @@ def own_words(lines: DataFrame, ends: DataFrame) -> DataFrame:
     joined = own.join(marks, ["block_id", "at"], "left")
     order = Window.partitionBy("doc_id", "kind").orderBy("block_no", "block_id", "at")
     joined = joined.withColumn("eaten", F.coalesce(F.lag(F.col("joined").isNotNull()).over(order), F.lit(False)) & F.col("last_head"))
-    text = F.when(F.col("joined").isNotNull(), F.regexp_replace("line", rf"{LETTERS}[{HYPHENS}][\s]*$", "")).otherwise(F.col("line"))
-    text = F.when(F.col("eaten"), F.regexp_replace(text, rf"^\s*{LETTERS}", "")).otherwise(text)
+    text = F.when(F.col("joined").isNotNull(), F.regexp_replace("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){LETTERED}[{HYPHENS}][\s]*$", "")).otherwise(F.col("line"))
+    text = F.when(F.col("eaten"), F.regexp_replace(text, rf"^\s*{LETTERED}", "")).otherwise(text)
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD})"))
     found = F.when(F.col("joined").isNotNull(), F.concat(found, F.array("joined"))).otherwise(found)
     other = F.when(F.col("joined").isNotNull(), F.col("next_block"))
@@ -302,7 +304,7 @@ def paragraphs(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     own = own.withColumn("joins", joins).withColumn("eaten", F.coalesce(F.lag("joins").over(order), F.lit(False)) & F.col("last_head"))
     bare = F.regexp_replace("line", rf"[{HYPHENS}][\s]*$", "")
     text = F.when(F.col("joins"), F.concat(bare, F.when(F.col("broken"), "").otherwise("-"), "head")).otherwise(F.col("line"))
-    text = F.when(F.col("eaten"), F.regexp_replace(text, rf"^\s*{LETTERS}", "")).otherwise(text)
+    text = F.when(F.col("eaten"), F.regexp_replace(text, rf"^\s*{LETTERED}", "")).otherwise(text)
     own = own.withColumn("text", text)
     cut = own.select("block_id", "at", "ocr", F.posexplode(F.regexp_extract_all("text", F.lit(rf"({WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+)"))).alias("i", "piece"))
     fixed = cut.withColumn("w", F.when(F.col("ocr"), F.lower("piece"))).join(small(fixes).select("w", "fix"), "w", "left")
