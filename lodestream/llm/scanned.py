@@ -105,14 +105,15 @@ def _glyphs(c: Column) -> Column:
 
 def _masked(name: str) -> Column:
     """Numbers and roman numerals masked, those at the end taken off, and the skeleton of the rest."""
-    c = F.regexp_replace(F.lower(F.trim(F.col(name))), r"(?<![\p{L}\p{N}])(?:\p{N}+|[ivxl]{1,6})(?![\p{L}\p{N}])", "#")
+    c = F.regexp_replace(F.lower(F.trim(F.col(name))), r"(?<![\p{L}\p{N}])(?:[\p{N}lio]*\p{N}[\p{N}lio]*|[ivxl]{1,6})(?![\p{L}\p{N}])", "#")
     c = F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"(?: ?#)+$", "")
     return _glyphs(c)
 
 
 def _template(name: str) -> Column:
     """The masked form with capitalised words alike, so that headers naming different bodies are of one form."""
-    c = F.regexp_replace(F.trim(F.col(name)), r"(?<![\p{L}\p{N}])(?:\p{Lu}|\p{N}(?=\p{L}))[\p{L}\p{M}\p{N}]*", "@")
+    c = F.regexp_replace(F.trim(F.col(name)), r"(?<![\p{L}\p{N}])[\p{N}lIOo]*\p{N}[\p{N}lIOo]*(?![\p{L}\p{N}])", "#")
+    c = F.regexp_replace(c, r"(?<![\p{L}\p{N}])(?:\p{Lu}|\p{N}(?=\p{L}))[\p{L}\p{M}\p{N}]*", "@")
     c = F.regexp_replace(F.regexp_replace(c, r"\p{N}+", "#"), r"\s+", " ")
     return F.regexp_replace(c, r"(?: ?#)+$", "")
 
