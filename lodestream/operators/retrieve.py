@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.runtime import durable
+
 #: Queries compared in one pass over the vectors.
 QUERY_BLOCK = 2_000
 SPARSE_BLOCK = 250
@@ -111,9 +113,8 @@ def sparse_search(query_terms: DataFrame, posts: DataFrame, k: int) -> DataFrame
     batch is a product of matrices of which k candidates per query go on. Joining postings and query terms
     instead would make a row for every shared common word of every pair.
     """
-    q = query_terms.select("query_id", "term", "weight").dropna()
-    ids = q.select("query_id").distinct()
-    blocks, out = max(1, -(-ids.count() // SPARSE_BLOCK)), None
+    q = durable(query_terms.select("query_id", "term", "weight").dropna())
+    blocks, out = max(1, -(-q.agg(F.countDistinct("query_id")).first()[0] // SPARSE_BLOCK)), None
     lists = posts.groupBy("id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("p"))
     lists = lists.select("id", F.col("p.term").alias("t"), F.col("p.weight").alias("w"))
     kind = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", posts.schema["id"].dataType), T.StructField("score", T.DoubleType())])

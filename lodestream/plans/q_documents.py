@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from lodestream.functions import text as X
 from lodestream.operators import documents as D
 from lodestream.operators.retrieve import Filter
-from lodestream.runtime import table
+from lodestream.runtime import spread, table
 from lodestream.sources import manifest as M
 
 
 def blocks(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "parsed_blocks").where("text IS NOT NULL")
+    return spread(table(s, d, "parsed_blocks").where("text IS NOT NULL"))
 
 
 def body_size_mode(s: SparkSession, d: str) -> DataFrame:

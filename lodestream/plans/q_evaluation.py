@@ -11,7 +11,7 @@ from lodestream.functions import routing
 from lodestream.functions import text as X
 from lodestream.operators import evaluate as E
 from lodestream.operators import retrieve as R
-from lodestream.runtime import table
+from lodestream.runtime import durable, spread, table
 
 HALF = 12
 
@@ -22,7 +22,7 @@ def _items(s: SparkSession, d: str) -> DataFrame:
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
     """The ten best documents for every passage, by shared terms."""
-    posts = R.postings(table(s, d, "documents"), "doc_id", "text")
+    posts = durable(R.postings(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text"))
     words = F.array_distinct(F.filter(F.split(F.lower("passage"), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != ""))
     q = _items(s, d).select(F.col("item_id").alias("query_id"), F.explode(words).alias("term"), F.lit(1.0).alias("weight"))
     return R.sparse_search(q, posts, 10)
@@ -37,7 +37,7 @@ def _facts(s: SparkSession, d: str) -> DataFrame:
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
     texts = table(s, d, "documents").select(F.col("doc_id").alias("id"), "doc_id", X.comparison_form(F.col("text")).alias("form"))
-    ranked = _ranked(s, d)
+    ranked = durable(_ranked(s, d))
     evidence = _facts(s, d).join(ranked.select("query_id", F.col("id").alias("doc_id")), "query_id")
     return E.first_ranks(ranked, texts, evidence)
 

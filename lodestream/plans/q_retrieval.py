@@ -16,7 +16,7 @@ from lodestream.operators import documents as D
 from lodestream.operators import retrieve as R
 from lodestream.plans import answer
 from lodestream.plans.q_documents import SECTIONS_SQL as _SECTIONS
-from lodestream.runtime import table
+from lodestream.runtime import durable, spread, table
 
 K = 10
 _LIST = ("query_id", "id", "rank", "score")
@@ -30,13 +30,17 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     return _vectors(s, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "documents").select("doc_id", "text")).where("text IS NOT NULL")
+
+
 def _posts(s: SparkSession, d: str) -> DataFrame:
-    return R.postings(table(s, d, "documents"), "doc_id", "text")
+    return R.postings(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-def _asked_terms(s: SparkSession, d: str) -> DataFrame:
+def _asked_terms(s: SparkSession, d: str, posts: DataFrame) -> DataFrame:
     ids = _asked(s, d).select(F.col("query_id").alias("id"))
-    return _posts(s, d).join(ids, "id", "left_semi").select(F.col("id").alias("query_id"), "term", "weight")
+    return posts.join(ids, "id", "left_semi").select(F.col("id").alias("query_id"), "term", "weight")
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -47,8 +51,9 @@ def dense(s: SparkSession, d: str, k: int = 50) -> DataFrame:
     return R.dense_search(_asked(s, d), _vectors(s, d), k)
 
 
-def sparse(s: SparkSession, d: str, k: int = 50) -> DataFrame:
-    return R.sparse_search(_asked_terms(s, d), _posts(s, d), k)
+def sparse(s: SparkSession, d: str, k: int = 50, posts: DataFrame | None = None) -> DataFrame:
+    posts = durable(_posts(s, d)) if posts is None else posts
+    return R.sparse_search(_asked_terms(s, d, posts), posts, k)
 
 
 def dense_topk(s: SparkSession, d: str) -> DataFrame:
@@ -76,8 +81,9 @@ def weighted_fusion(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    fused = R.rrf([dense(s, d), sparse(s, d)]).where("rank <= 30")
-    return R.overlap_score(_asked_terms(s, d), _posts(s, d), fused)
+    posts = durable(_posts(s, d))
+    fused = R.rrf([dense(s, d), sparse(s, d, posts=posts)]).where("rank <= 30")
+    return R.overlap_score(_asked_terms(s, d, posts), posts, fused)
 
 
 def rerank_gate(s: SparkSession, d: str) -> DataFrame:
@@ -111,7 +117,7 @@ def small_to_big(s: SparkSession, d: str) -> DataFrame:
 
 
 def hashed_embedding_norms(s: SparkSession, d: str) -> DataFrame:
-    v = R.hashed_vectors(table(s, d, "documents"), "doc_id", "text")
+    v = R.hashed_vectors(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return v.select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 3).alias("norm"))
 
 
@@ -120,19 +126,19 @@ def collection_fingerprint(s: SparkSession, d: str) -> DataFrame:
 
 
 def language_detect(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", routing.language(F.col("text")).alias("language"))
+    return _texts(s, d).select("doc_id", routing.language(F.col("text")).alias("language"))
 
 
 def time_ranges(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", routing.time_range(F.col("text")).alias("time_range"))
+    return _texts(s, d).select("doc_id", routing.time_range(F.col("text")).alias("time_range"))
 
 
 def history_filter(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", (~routing.wants_history(F.col("text"))).alias("current_only"))
+    return _texts(s, d).select("doc_id", (~routing.wants_history(F.col("text"))).alias("current_only"))
 
 
 def rules_router(s: SparkSession, d: str) -> DataFrame:
-    q = table(s, d, "documents").where("text IS NOT NULL")
+    q = _texts(s, d)
     return q.select("doc_id", routing.routed(F.col("text")).alias("r")).select("doc_id", "r.route", "r.language", F.array_join("r.cities", ";").alias("cities"), "r.time_range")
 
 

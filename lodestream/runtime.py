@@ -38,6 +38,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, where it has fewer partitions than there are cores (small inputs in few files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A durable table, with the hint to broadcast it if it was counted to hold ``rows`` rows at most; else joins shuffle it."""
     return broadcast(df) if df.count() <= rows else df
