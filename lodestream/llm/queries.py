@@ -8,33 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import leaks, lookalike, scanned, subjects, tokens
-from lodestream.runtime import table
+from lodestream.runtime import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "parsed_blocks").select(F.lit("parsed_blocks").alias("tbl"), F.col("block_id").alias("id"), "text")
     chunks = table(spark, d, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("id"), "text")
-    return lookalike.look_alike_pairs(blocks.unionByName(chunks), "id", "text", ["tbl"])
+    return lookalike.look_alike_pairs(spread(blocks.unionByName(chunks)), "id", "text", ["tbl"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return scanned.defects(table(spark, d, "parsed_blocks"))
+    return scanned.defects(spread(table(spark, d, "parsed_blocks")))
 
 
 def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return scanned.paragraphs(table(spark, d, "parsed_blocks"))
+    return scanned.paragraphs(spread(table(spark, d, "parsed_blocks")))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+    return tokens.encode(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
+    return leaks.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    found = subjects.subject_areas(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
+    found = subjects.subject_areas(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "subject_areas"), table(spark, d, "subject_labels"))
     return found.select("doc_id", "subject")
 
 
