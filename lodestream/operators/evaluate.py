@@ -68,18 +68,25 @@ def confusion(rows: DataFrame, gold: str, predicted: str, labels: Sequence[str])
     return rows.groupBy(F.col(gold).alias("gold")).agg(*[F.count_if(F.col(predicted) == x).alias(x) for x in labels])
 
 
-def threshold_sweep(scores: DataFrame) -> DataFrame:
+def threshold_sweep(scores: DataFrame, bins: int = 1000) -> DataFrame:
     """For every distinct score: shares of answerable kept and unanswerable rejected, balanced accuracy.
 
-    ``scores``: score, answerable. Running counts over the distinct scores; no join of thresholds and scores.
+    ``scores``: score, answerable. Running counts in two steps, over ``bins`` equal ranges of scores and within each,
+    so no task sorts all scores; no join of thresholds and scores.
     """
     per = scores.where("score IS NOT NULL").groupBy("score").agg(F.count_if(F.col("answerable")).alias("a"), F.count_if(~F.col("answerable")).alias("u"))
-    total = per.agg(F.sum("a").alias("ta"), F.sum("u").alias("tu"))
-    w = Window.orderBy("score")  # as many rows as distinct scores
-    below = w.rowsBetween(Window.unboundedPreceding, -1)
-    p = per.withColumn("ba", F.coalesce(F.sum("a").over(below), F.lit(0))).withColumn("bu", F.coalesce(F.sum("u").over(below), F.lit(0))).crossJoin(total)
-    keep, reject = (F.col("ta") - F.col("ba")) / F.nullif(F.col("ta"), F.lit(0)), F.col("bu") / F.nullif(F.col("tu"), F.lit(0))
-    return p.select(F.col("score").alias("threshold"), F.round(keep, 6).alias("kept"), F.round(reject, 6).alias("rejected"), F.round((keep + reject) / 2, 6).alias("balanced"))
+    ends = per.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("a").alias("ta"), F.sum("u").alias("tu"))
+    wide = F.col("hi") > F.col("lo")
+    place = F.when(wide, F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (bins - 1))).otherwise(F.lit(0))
+    p = per.crossJoin(ends).withColumn("bin", place)  # one row
+    by_bin = p.groupBy("bin").agg(F.sum("a").alias("a"), F.sum("u").alias("u"))
+    below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # ``bins`` rows at most
+    before = by_bin.select("bin", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"bin_{c}") for c in "au"])
+    within = Window.partitionBy("bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    lower = lambda c: F.col(f"bin_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))
+    keep = (F.col("ta") - lower("a")) / F.nullif(F.col("ta"), F.lit(0))
+    t = p.join(before, "bin").select("score", keep.alias("k"), (lower("u") / F.nullif(F.col("tu"), F.lit(0))).alias("r"))
+    return t.select(F.col("score").alias("threshold"), F.round("k", 6).alias("kept"), F.round("r", 6).alias("rejected"), F.round((F.col("k") + F.col("r")) / 2, 6).alias("balanced"))
 
 
 def best_threshold(sweep: DataFrame, least: float = 0.9) -> DataFrame:
