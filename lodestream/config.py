@@ -88,7 +88,7 @@ class Pipeline:
 
     @property
     def collection(self) -> str:
-        """Chunk set and embedder name a collection, so a new model never overwrites an index."""
+        """Chunk set and embedder together: another model gets a collection of its own."""
         return f"{self.chunk_set}__{self.embedder.model.rpartition('/')[2].lower()}"
 
 
