@@ -33,7 +33,8 @@ LOOK_ALIKES = """
 """
 # Kinds of compatibility forms that look like the characters they stand for.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<small>", "<isolated>", "<initial>", "<medial>", "<final>", "<vertical>"}
-BUCKETS = 256
+#: Buckets of words at least, and words of a bucket about at most, which bounds a trie.
+BUCKETS, BUCKET_WORDS = 256, 20_000
 
 _LIKE = {x.split()[0]: x.split()[1:] for line in LOOK_ALIKES.split("\n") for x in line.split("|") if x.strip()}
 #: Plain texts: nothing in them has another form.
@@ -152,10 +153,11 @@ def spellings(words: DataFrame, vocabulary: DataFrame, most: float = 0.0) -> Dat
         for b in it:
             yield b.assign(key=[bucket_key(by_table(w)) for w in b["word"]])
 
-    noisy = words.select("word").distinct().withColumn("n", F.lit(0).cast("long")).mapInPandas(keyed, "word string, n long, key string")
+    noisy = durable(words.select("word").distinct().withColumn("n", F.lit(0).cast("long")).mapInPandas(keyed, "word string, n long, key string"))
     plain = vocabulary.select("word", "n").mapInPandas(keyed, "word string, n long, key string")
-    plain = plain.join(noisy.select("key").distinct(), "key", "left_semi")
-    slot = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("slot")
+    plain = durable(plain.join(noisy.select("key").distinct(), "key", "left_semi"))
+    buckets = max(BUCKETS, (noisy.count() + plain.count()) // BUCKET_WORDS)
+    slot = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("slot")
 
     def match(a: pa.Table, b: pa.Table) -> pa.Table:
         trie = Trie(zip(b.column("word").to_pylist(), b.column("n").to_pylist()))

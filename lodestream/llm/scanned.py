@@ -44,7 +44,8 @@ NUMBER = r"(?:[\dlIOo]*\d[\dlIOo]*|[lI])"
 PAGE_NUMBER = rf"(?i)^\s*(?:{NUMBER}|[ivxl]+|\[\s*{NUMBER}\s*\]|[-–—]\s*{NUMBER}\s*[-–—]|p\w{{3}}\s+{NUMBER}(?:\s+of\s+{NUMBER})?|{NUMBER}\s*(?:/|of)\s*{NUMBER}|{NUMBER}\s*\|\s*\w\s?\w\s?\w\s?\w)\s*$"
 INVISIBLE = "[\\u200b-\\u200f\\u2060\\ufeff]"
 SENTENCE_END = r"[.!?।;:,]['\")\]»”]*\s*$"
-SLOTS = 256
+#: Groups of skeletons at least, and words of a group about at most.
+SLOTS, SLOT_WORDS = 256, 50_000
 
 
 @dataclass(frozen=True)
@@ -221,7 +222,9 @@ def misreadings(words: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``w``, ``fix``, ``d`` (place of the first difference): forms that are misreadings. ``words`` as from occurrences."""
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ocr")).alias("digital"))
     counts = counts.where(~F.col("w").rlike(r"^\p{N}+$"))
-    counts = durable(counts.withColumn("slot", F.pmod(F.xxhash64(_glyphs(F.col("w"))), F.lit(SLOTS))))
+    counts = durable(counts)
+    slots = max(SLOTS, counts.count() // SLOT_WORDS)
+    counts = counts.withColumn("slot", F.pmod(F.xxhash64(_glyphs(F.col("w"))), F.lit(slots)))
 
     def match(t: pa.Table) -> pa.Table:
         by_skeleton: dict[str, list[tuple[int, int, str]]] = {}

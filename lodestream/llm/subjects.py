@@ -262,6 +262,8 @@ def subject_areas(docs: DataFrame, id_col: str, text_col: str, areas: DataFrame,
     given = given.groupBy("__ls_id").agg(F.array_sort(F.collect_set("k")).alias("labels"))
     rows = document_terms(docs, id_col, text_col, m)
     rows = durable(rows.join(given, rows[id_col] == given["__ls_id"], "left").select("at", "n", "labels"))
+    # A pass hands on one set of profiles a task: no more tasks than keep the cores busy.
+    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
     if rows.where("labels IS NOT NULL").isEmpty():
         return schema
     firmness = fit(rows, len(names), m)
