@@ -201,7 +201,7 @@ def find_leaks(
             return pdf[pdf[item_col].isin(accept(hits, least, rate))]
 
         found = found.groupBy(id_col).applyInPandas(settle, schema)
-    return found.select(id_col, item_col).distinct() if blocks > 1 else found.select(id_col, item_col)
+    return found.select(id_col, item_col).distinct()
 
 
 def _matcher(rows: list[tuple[int, str]], schema: T.StructType, gap: int, limits: tuple[int, float] | None):

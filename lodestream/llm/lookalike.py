@@ -230,8 +230,10 @@ def look_alike_pairs(rows: DataFrame, id_col: str, text_col: str, groups: list[s
     for o in own:
         same &= F.col(f"a.{o}").eqNullSafe(F.col(f"b.{o}"))
     out = a.join(b, same & (F.col("a.key") < F.col("b.key"))).select(*[F.col(f"a.{o}").alias(o) for o in own], F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
+    twins = kinds.select("key").distinct().withColumnRenamed("key", "m_key")
     for side in ("a", "b"):
         members = rows.select(*[F.col(o).alias(f"m_{o}") for o in own], F.md5("text").alias("m_key"), F.col("__ls_id").alias(f"id_{side}"))
+        members = members.join(twins, "m_key", "left_semi").distinct()
         on = out[f"key_{side}"] == members["m_key"]
         for o in own:
             on &= out[o].eqNullSafe(members[f"m_{o}"])

@@ -44,6 +44,8 @@ NUMBER = r"(?:[\dlIOo]*\d[\dlIOo]*|[lI])"
 PAGE_NUMBER = rf"(?i)^\s*(?:{NUMBER}|[ivxl]+|\[\s*{NUMBER}\s*\]|[-–—]\s*{NUMBER}\s*[-–—]|p\w{{3}}\s+{NUMBER}(?:\s+of\s+{NUMBER})?|{NUMBER}\s*(?:/|of)\s*{NUMBER}|{NUMBER}\s*\|\s*\w\s?\w\s?\w\s?\w)\s*$"
 INVISIBLE = "[\\u200b-\\u200f\\u2060\\ufeff]"
 SENTENCE_END = r"[.!?।;:,]['\")\]»”]*\s*$"
+#: Blocks of a document whose lines are put in order together.
+SHARD = 512
 #: Groups of skeletons at least, and words of a group about at most.
 SLOTS, SLOT_WORDS = 256, 50_000
 
@@ -125,10 +127,10 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Columns: doc_id, block_id, block_no, kind, ocr, at (line of the block), line, whole (the block is
     furniture), furniture (the line is), and for lines of the document's own running text: tail (letters
     before a hyphen at the line's end), mark (that hyphen), head (letters at the start of the next such
-    line), next_block (the block it is in), last_head (whether the line before ends in a hyphen).
+    line), next_block and next_at (where that line is), last_head (whether the line before ends in a hyphen).
     """
     b = blocks.select("doc_id", "block_id", "block_no", "page", "kind", "text", "size", F.coalesce("ocr", F.lit(False)).alias("ocr"))
-    b = b.dropna(subset=["block_id", "text"]).withColumn("text", F.regexp_replace("text", INVISIBLE, ""))
+    b = b.dropna(subset=["block_id", "text"]).dropDuplicates().withColumn("text", F.regexp_replace("text", INVISIBLE, ""))
     chars = F.length("text")
     sizes = b.where("kind = 'text' AND size IS NOT NULL").groupBy("doc_id", "size").agg(F.sum(chars).alias("chars"))
     body = sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", "size")).alias("body"))
@@ -157,15 +159,25 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     lines = lines.withColumn("furniture", F.coalesce(furniture, F.lit(False)))
 
     running = (F.col("kind") == "text") & ~F.col("furniture") & (F.trim("line") != "")
-    order = Window.partitionBy("doc_id", running).orderBy("block_no", "block_id", "at")
+    lines = lines.withColumn("running", running)
     tail = F.regexp_extract("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}])({LETTERED})[{HYPHENS}][\s]*$", 1)
-    lines = lines.withColumn("tail", F.when(running & (tail != ""), tail))
-    lines = lines.withColumn("mark", F.when(F.col("tail").isNotNull(), F.regexp_extract("line", rf"([{HYPHENS}])[\s]*$", 1)))
-    head = F.regexp_extract("line", rf"^\s*({LETTERED})", 1)
-    lines = lines.withColumn("head", F.when(F.col("tail").isNotNull(), F.lead(head).over(order)))
-    lines = lines.withColumn("next_block", F.when(F.col("tail").isNotNull(), F.lead("block_id").over(order)))
-    lines = lines.withColumn("last_head", F.coalesce(running & F.lag("tail").over(order).isNotNull(), F.lit(False)))
-    return lines.select("doc_id", "block_id", "block_no", "kind", "ocr", "at", "line", "whole", "furniture", "tail", "mark", "head", "next_block", "last_head")
+    text = lines.where("running").withColumn("tail", F.when(tail != "", tail))
+    text = text.withColumn("begin", F.struct(F.regexp_extract("line", rf"^\s*({LETTERED})", 1).alias("head"), "block_id", "at"))
+    text = text.withColumn("shard", F.floor(F.coalesce("block_no", F.lit(0)) / SHARD)).withColumn("place", F.struct("block_no", "block_id", "at"))
+    # The order of a long document is kept in shards; their first and last lines link them.
+    links = text.groupBy("doc_id", "shard").agg(F.min_by("begin", "place").alias("first"), F.max_by(F.col("tail").isNotNull(), "place").alias("open"))
+    over = Window.partitionBy("doc_id").orderBy("shard")
+    links = links.select(F.col("doc_id").alias("n_doc"), F.col("shard").alias("n_shard"), F.lead("first").over(over).alias("after"), F.lag("open").over(over).alias("before"))
+    text = text.join(links, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("shard") == F.col("n_shard")))
+    order = Window.partitionBy("doc_id", "shard").orderBy("place")
+    following = F.coalesce(F.lead("begin").over(order), F.col("after"))
+    text = text.withColumn("next", F.when(F.col("tail").isNotNull(), following))
+    text = text.withColumn("last_head", F.coalesce(F.lag(F.col("tail").isNotNull()).over(order), F.col("before"), F.lit(False)))
+    text = text.withColumn("mark", F.when(F.col("tail").isNotNull(), F.regexp_extract("line", rf"([{HYPHENS}])[\s]*$", 1)))
+    kept = ["doc_id", "block_id", "block_no", "kind", "ocr", "at", "line", "whole", "furniture"]
+    text = text.select(*kept, "tail", "mark", F.col("next.head").alias("head"), F.col("next.block_id").alias("next_block"), F.col("next.at").alias("next_at"), "last_head")
+    rest = lines.where("NOT running").select(*kept, F.lit(False).alias("last_head"))
+    return text.unionByName(rest, allowMissingColumns=True)
 
 
 def _inside() -> Column:
@@ -175,12 +187,12 @@ def _inside() -> Column:
 
 
 def cut_words(lines: DataFrame) -> DataFrame:
-    """Line ends with a hyphen: doc_id, block_id, at, next_block, tail, head, joined, broken (the hyphen isn't the word's own)."""
+    """Line ends with a hyphen: doc_id, block_id, at, next_block, next_at, tail, head, joined, broken (the hyphen isn't the word's own)."""
     inside = lines.where(~F.col("furniture")).select(F.lower(_inside()).alias("line"))
     words = inside.select(F.explode(F.regexp_extract_all("line", F.lit(rf"({WORD})"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     pairs = inside.select(F.explode(F.regexp_extract_all("line", F.lit(rf"(?<![\p{{L}}\p{{M}}])(?=({LETTERS}[-‐‑]{LETTERS}))"))).alias("w"))
     pairs = pairs.select(F.regexp_replace("w", "[‐‑]", "-").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    ends = lines.where("tail IS NOT NULL").select("doc_id", "block_id", "at", "next_block", "mark", F.lower("tail").alias("tail"), F.lower("head").alias("head"))
+    ends = lines.where("tail IS NOT NULL").select("doc_id", "block_id", "at", "next_block", "next_at", "mark", F.lower("tail").alias("tail"), F.lower("head").alias("head"))
     none = F.coalesce("head", F.lit("")) == ""
     ends = ends.withColumn("joined", F.concat("tail", F.coalesce("head", F.lit("")))).withColumn("pair", F.concat("tail", F.lit("-"), F.coalesce("head", F.lit(""))))
     for name, source, key in (("n_joined", words, "joined"), ("n_tail", words, "tail"), ("n_head", words, "head"), ("n_pair", pairs, "pair")):
@@ -189,7 +201,12 @@ def cut_words(lines: DataFrame) -> DataFrame:
     both = (F.col("n_tail") >= 3) & (F.col("n_head") >= 3)
     broken = never | (F.col("n_joined") > F.col("n_pair")) | ((F.col("n_joined") == F.col("n_pair")) & ~both)
     broken = F.when(none, never | (F.col("n_tail") < 3)).otherwise(broken)
-    return ends.withColumn("broken", broken).select("doc_id", "block_id", "at", "next_block", "tail", "head", "joined", "broken")
+    return ends.withColumn("broken", broken).select("doc_id", "block_id", "at", "next_block", "next_at", "tail", "head", "joined", "broken")
+
+
+def _eaten(ends: DataFrame) -> DataFrame:
+    """Lines whose first word went to the line before: block_id, at, eaten."""
+    return ends.where("next_block IS NOT NULL").select(F.col("next_block").alias("block_id"), F.col("next_at").alias("at"), F.lit(True).alias("eaten")).distinct()
 
 
 def own_words(lines: DataFrame, ends: DataFrame) -> DataFrame:
@@ -198,10 +215,9 @@ def own_words(lines: DataFrame, ends: DataFrame) -> DataFrame:
     own = lines.where(~F.col("furniture"))
     marks = ends.where("broken").select("block_id", "at", "joined", F.length("tail").alias("cut"))
     joined = own.join(marks, ["block_id", "at"], "left")
-    order = Window.partitionBy("doc_id", "kind").orderBy("block_no", "block_id", "at")
-    joined = joined.withColumn("eaten", F.coalesce(F.lag(F.col("joined").isNotNull()).over(order), F.lit(False)) & F.col("last_head"))
+    joined = joined.join(_eaten(ends.where("broken")), ["block_id", "at"], "left")
     text = F.when(F.col("joined").isNotNull(), F.regexp_replace("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){LETTERED}[{HYPHENS}][\s]*$", "")).otherwise(F.col("line"))
-    text = F.when(F.col("eaten"), F.regexp_replace(text, rf"^\s*{LETTERED}", "")).otherwise(text)
+    text = F.when(F.col("eaten").isNotNull(), F.regexp_replace(text, rf"^\s*{LETTERED}", "")).otherwise(text)
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD})"))
     found = F.when(F.col("joined").isNotNull(), F.concat(found, F.array("joined"))).otherwise(found)
     other = F.when(F.col("joined").isNotNull(), F.col("next_block"))
@@ -303,12 +319,11 @@ def paragraphs(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     own = lines.where(~F.col("furniture"))
     marks = ends.select("block_id", "at", "broken")
     own = own.join(marks, ["block_id", "at"], "left")
-    order = Window.partitionBy("doc_id", "kind").orderBy("block_no", "block_id", "at")
     joins = F.col("tail").isNotNull() & (F.coalesce("head", F.lit("")) != "")
-    own = own.withColumn("joins", joins).withColumn("eaten", F.coalesce(F.lag("joins").over(order), F.lit(False)) & F.col("last_head"))
+    own = own.withColumn("joins", joins).join(_eaten(ends.where("head <> ''")), ["block_id", "at"], "left")
     bare = F.regexp_replace("line", rf"[{HYPHENS}][\s]*$", "")
     text = F.when(F.col("joins"), F.concat(bare, F.when(F.col("broken"), "").otherwise("-"), "head")).otherwise(F.col("line"))
-    text = F.when(F.col("eaten"), F.regexp_replace(text, rf"^\s*{LETTERED}", "")).otherwise(text)
+    text = F.when(F.col("eaten").isNotNull(), F.regexp_replace(text, rf"^\s*{LETTERED}", "")).otherwise(text)
     own = own.withColumn("text", text)
     cut = own.select("block_id", "at", "ocr", F.posexplode(F.regexp_extract_all("text", F.lit(rf"({WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+)"))).alias("i", "piece"))
     fixed = cut.withColumn("w", F.when(F.col("ocr"), F.lower("piece"))).join(small(fixes).select("w", "fix"), "w", "left")

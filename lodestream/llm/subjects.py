@@ -268,4 +268,4 @@ def subject_areas(docs: DataFrame, id_col: str, text_col: str, areas: DataFrame,
         return schema
     firmness = fit(rows, len(names), m)
     found = assign(docs, id_col, text_col, firmness, names, m)
-    return found.where(F.col("sentences") >= m.share * F.col("of")).select(id_col, "subject", (F.col("sentences") / F.col("of")).alias("share"))
+    return found.where(F.col("sentences") >= m.share * F.col("of")).select(id_col, "subject", (F.col("sentences") / F.col("of")).alias("share")).distinct()

@@ -59,3 +59,11 @@ def test_edges(spark, blocks):
     assert S.paragraphs(blocks.where("block_id = 'none'")).count() == 0
     long = spark.createDataFrame([("x", "d", 1, 0, "text", "word " * 100_000, None, True, "x"), ("x", "d", 1, 0, "text", "word " * 100_000, None, True, "x"), ("y", None, None, None, "text", "1", None, True, "x")], SCHEMA)
     assert {(r.block_id, r.defect) for r in S.defects(long).collect()} == {("y", "furniture")}
+
+
+def test_shards_and_repeats_change_nothing(spark, blocks, monkeypatch):
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    want = as_set(S.defects(blocks)), as_set(S.paragraphs(blocks))
+    monkeypatch.setattr(S, "SHARD", 2)
+    twice = blocks.unionByName(blocks.where("doc_id = 's'")).unionByName(blocks.where("block_id = 's1'"))
+    assert (as_set(S.defects(twice)), as_set(S.paragraphs(twice))) == want
