@@ -256,18 +256,20 @@ def readings_of_trees(trees: DataFrame, keys: Sequence[str], shard_days: int = 6
 
 
 def kalman_flags(
-    p: Packed, threshold: float = 6.0, ratio: float = 0.5, spike_days: int = 2, stuck_run: int = 7, floor: float = 1.0, step: float = 4.0, steady: int = 2
+    p: Packed, threshold: float = 6.0, ratio: float = 0.5, spike_days: int = 2, stuck_run: int = 7, floor: float = 1.0, step: float = 4.0, steady: int = 2,
+    longest_gap: float = 4.0,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flags of the readings of a batch: spike, stuck, and the standardised innovation.
 
     A local level model per series, all series of the batch at once: level' = level + N(0, ratio*r) for each
-    usual distance of its readings, reading = level + N(0, r). r comes from the median absolute difference of successive readings, so that
-    neither spikes nor shifts inflate it. A reading whose innovation exceeds ``threshold`` standard
-    deviations is withheld from the update. If the series is back within the bounds before more than
-    ``spike_days`` days went by, the withheld readings are spikes; otherwise the level itself moved and the
-    filter starts again from the newest reading. A spike also has to stand ``step`` times the usual
-    difference clear of the readings at both its ends and keep one height, unlike a rise that builds up; and ``steady``
-    readings must have settled the level it leaves.
+    usual distance of its readings (``longest_gap`` of them at most, unless a return is waited for), reading =
+    level + N(0, r). r comes from the
+    median absolute difference of successive readings, so that neither spikes nor shifts inflate it. A reading
+    whose innovation exceeds ``threshold`` standard deviations is withheld from the update. If the series is
+    back within the bounds before more than ``spike_days`` days went by, the withheld readings are spikes;
+    otherwise the level itself moved and the filter starts again from the newest reading. A spike also has to
+    stand ``step`` times the usual difference clear of the readings at both its ends and keep one height, unlike
+    a rise that builds up; and ``steady`` readings must have settled the level it leaves.
     ``stuck_run`` readings on end without any innovation against the last reading are stuck.
     """
     n, total = p.n, len(p.of)
@@ -283,11 +285,12 @@ def kalman_flags(
     a, b = diff[order[p.start + (mid - 1) // 2]], diff[order[p.start + mid // 2]]
     sd = np.maximum(1.4826 * np.nan_to_num((a + b) / 2), floor)
     r = sd**2 / (2 + ratio)
-    # Start: the median of the first five readings.
+    # The usual distance of readings in days, found likewise.
     gaps = np.diff(p.day, append=0).astype(np.float64)
     gaps[p.start + p.size - 1] = np.nan
     order = np.lexsort((gaps, p.of))
     usual = np.maximum(np.nan_to_num(gaps[order[p.start + (mid - 1) // 2]]), 1)
+    # Start: the median of the first five readings.
     k = np.arange(5)
     head = np.where(k < p.size[:, None], y[np.minimum(p.start[:, None] + k, total - 1)], np.nan)
     level, var = np.nanmedian(head, axis=1), r.copy()
@@ -299,7 +302,8 @@ def kalman_flags(
     for t in range(p.size.max()):
         s = by_length[: alive[t]]
         i = p.start[s] + t
-        pred = var[s] + ratio * r[s] * np.maximum((p.day[i] - last_day[s]) / usual[s], 1)
+        gap = np.maximum((p.day[i] - last_day[s]) / usual[s], 1)
+        pred = var[s] + ratio * r[s] * np.where(held[s] > 0, gap, np.minimum(gap, longest_gap))
         inn = y[i] - level[s]
         score = inn / np.sqrt(pred + r[s])
         z[i] = score
@@ -313,7 +317,8 @@ def kalman_flags(
             edge = np.maximum(f - 1, p.start[back])
             clear = (settled[back] >= steady) & (np.abs(y[f] - y[edge]) > step * sd[back]) & (np.abs(y[e] - y[e - 1]) > step * sd[back]) & (f > p.start[back])
             for width in range(1, spike_days):  # a second large step the same way is a rise that builds up
-                clear &= (f + width >= e) | (np.abs(y[np.minimum(f + width, total - 1)] - y[f + width - 1]) <= step * sd[back])
+                on = y[np.minimum(f + width, total - 1)] - y[f + width - 1]
+                clear &= (f + width >= e) | (on * np.sign(y[f] - y[edge]) <= step * sd[back])
             for width in range(spike_days):
                 on = short & clear & (f + width < e)
                 spike[f[on] + width] = True
@@ -328,7 +333,11 @@ def kalman_flags(
         held_from[new[fresh]] = p.start[new[fresh]] + t
         held[new] += 1
         lasting = new[p.day[p.start[new] + t] - p.day[held_from[new]] >= spike_days]
-        level[lasting], var[lasting], held[lasting], settled[lasting] = y[p.start[lasting] + t], r[lasting], 0, 0
+        at = p.start[lasting] + t
+        level[lasting], var[lasting], held[lasting] = y[at], r[lasting], 0
+        # Withheld readings that agree have settled the new level already.
+        near = np.abs(y[at] - y[np.maximum(at - 1, 0)]) <= step * sd[lasting]
+        settled[lasting] = np.where(near, 1 + (np.abs(y[at] - y[np.maximum(at - 2, 0)]) <= step * sd[lasting]), 0)
         # Vanishing innovations against the last reading.
         same = (y[i] == y[np.maximum(i - 1, 0)]) & (t > 0)
         run[s] = np.where(same, run[s] + 1, 1)
