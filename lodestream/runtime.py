@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import uuid
 import zipfile
 from pathlib import Path
@@ -12,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
 
+_OWN: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,13 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a single machine) the working directory's ``.lodestream``
-    becomes it; a cluster always names its own.
+    Where the session has none (tests, a single machine) a folder of this process under the working
+    directory's ``.lodestream`` becomes it, and goes with the process; a cluster always names its own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"file://{os.path.abspath(os.environ.get('LODESTREAM_SHARED_DIR', '.lodestream'))}"
+        own = os.path.abspath(f".lodestream/{os.getpid()}")
+        if own not in _OWN:
+            _OWN.add(own)
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named
