@@ -117,6 +117,7 @@ def sparse_search(query_terms: DataFrame, posts: DataFrame, k: int) -> DataFrame
     blocks, out = max(1, -(-q.agg(F.countDistinct("query_id")).first()[0] // SPARSE_BLOCK)), None
     lists = posts.groupBy("id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("p"))
     lists = lists.select("id", F.col("p.term").alias("t"), F.col("p.weight").alias("w"))
+    lists = durable(lists) if blocks > 1 else lists  # gathered once for all blocks
     kind = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", posts.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     for n in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
@@ -131,6 +132,7 @@ def _sparse(q: pd.DataFrame, k: int, names: list[str]):
     matrix = np.zeros((len(terms), len(queries)))
     np.add.at(matrix, (terms.get_indexer(q["term"]), columns), q["weight"].to_numpy(dtype=float))
     shared = (matrix != 0).astype(np.float32)
+    positive = bool((matrix >= 0).all())  # then a score is above 0 exactly where a term is shared
     ids = pa.array(queries)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +149,8 @@ def _sparse(q: pd.DataFrame, k: int, names: list[str]):
                     continue
                 doc, row, w = doc[hit], row[hit], part.column("w").flatten().to_numpy()[hit]
                 start = np.flatnonzero(np.diff(doc, prepend=-1))
-                s = np.add.reduceat(matrix[row] * w[:, None], start, axis=0).T
-                has = np.add.reduceat(shared[row], start, axis=0).T > 0
+                s = _sums(matrix, row, w, start).T
+                has = s > 0 if positive and w.min() > 0 else _sums(shared, row, None, start).T > 0
                 r = np.where(has, np.round(s, DIGITS), -np.inf)
                 keep = has if r.shape[1] <= k else has & (r >= np.partition(r, -k, axis=1)[:, -k][:, None])
                 qi, di = np.nonzero(keep)
@@ -157,6 +159,18 @@ def _sparse(q: pd.DataFrame, k: int, names: list[str]):
     return kernel
 
 
+def _sums(matrix: np.ndarray, row: np.ndarray, w: np.ndarray | None, start: np.ndarray) -> np.ndarray:
+    """Rows of the matrix, times ``w``, summed from each start to the next; a few texts at a time, which stay in the cache."""
+    out, ends = np.empty((len(start), matrix.shape[1])), np.append(start, len(row))
+    for a in range(0, len(start), 4):
+        e = min(a + 4, len(start))
+        part = matrix[row[ends[a] : ends[e]]]
+        if w is not None:
+            part *= w[ends[a] : ends[e], None]
+        np.add.reduceat(part, start[a:e] - start[a], axis=0, out=out[a:e])
+    return out
+
+
 def fuse(lists: Sequence[DataFrame], weights: Sequence[Column]) -> DataFrame:
     """One list: the sum of what each list gives an id; ties go to the first list, then the better rank in it, then the id.
 

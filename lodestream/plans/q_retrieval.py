@@ -1,7 +1,8 @@
 """Queries over vectors and postings: search, fusion, reranking, diversity, context, routing.
 
-Search queries are the vectors and documents whose id is divisible by 20, against all; ids of vectors and
-documents are one id space, so dense and sparse lists can be fused.
+Dense queries are all vectors whose id is divisible by 20, sparse queries all documents whose id is, each against
+all; ids of vectors and documents are one id space. Fused are the lists of either kind: a query that only one
+table has keeps the one list it gets.
 """
 
 from __future__ import annotations
@@ -38,9 +39,8 @@ def _posts(s: SparkSession, d: str) -> DataFrame:
     return R.postings(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-def _asked_terms(s: SparkSession, d: str, posts: DataFrame) -> DataFrame:
-    ids = _asked(s, d).select(F.col("query_id").alias("id"))
-    return posts.join(ids, "id", "left_semi").select(F.col("id").alias("query_id"), "term", "weight")
+def _asked_terms(posts: DataFrame) -> DataFrame:
+    return posts.where("id % 20 = 0").select(F.col("id").alias("query_id"), "term", "weight")
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def dense(s: SparkSession, d: str, k: int = 50) -> DataFrame:
 
 def sparse(s: SparkSession, d: str, k: int = 50, posts: DataFrame | None = None) -> DataFrame:
     posts = durable(_posts(s, d)) if posts is None else posts
-    return R.sparse_search(_asked_terms(s, d, posts), posts, k)
+    return R.sparse_search(_asked_terms(posts), posts, k)
 
 
 def dense_topk(s: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def weighted_fusion(s: SparkSession, d: str) -> DataFrame:
 def _scored(s: SparkSession, d: str) -> DataFrame:
     posts = durable(_posts(s, d))
     fused = R.rrf([dense(s, d), sparse(s, d, posts=posts)]).where("rank <= 30")
-    return R.overlap_score(_asked_terms(s, d, posts), posts, fused)
+    return R.overlap_score(_asked_terms(posts), posts, fused)
 
 
 def rerank_gate(s: SparkSession, d: str) -> DataFrame:
