@@ -89,8 +89,7 @@ def summary_by_category(s: SparkSession, d: str) -> DataFrame:
 
 
 def comparison_form(s: SparkSession, d: str) -> DataFrame:
-    plain = table(s, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("doc_id", X.comparison_form(F.col("text")).alias("form"))
+    return table(s, d, "documents").select("doc_id", X.comparison_form(F.col("text")).alias("form"))
 
 
 def faithfulness(s: SparkSession, d: str) -> DataFrame:

@@ -3,11 +3,12 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lodestream.plans import q_retrieval
+from lodestream.plans import q_evaluation, q_retrieval
 
 
 def save(spark, path, **tables):
@@ -37,3 +38,18 @@ def test_sparse_queries_are_all_documents_divisible_by_20(spark, tmp_path):
     asked = lambda f: {r.query_id for r in f(spark, d).select("query_id").distinct().collect()}
     assert asked(q_retrieval.dense_topk) == {0, 20, 40, 140}
     assert asked(q_retrieval.rrf_fusion) == asked(q_retrieval.hybrid_pipeline) == {0, 20, 40, 60, 140}
+
+
+def plain_form(text):
+    if text is None:
+        return None
+    t = unicodedata.normalize("NFKC", text)
+    for old, new in (("‘’", "'"), ("“”", '"'), ("–—−", "-")):
+        t = re.sub(f"[{old}]", new, t)
+    return re.sub(r"\s+", " ", re.sub(r"[|*_`#]", " ", t.lower())).strip()
+
+
+def test_comparison_form_takes_every_document(spark, tmp_path):
+    texts = ["Plain | **text**", "“Limit” – of ‘PM’ — 60−80", "वायु  गुणवत्ता सूचकांक", "Café ﬁne ½ Ｋ", "µg μg ²", "# _Ärger_", "", None]
+    d = save(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.form for r in q_evaluation.comparison_form(spark, d).collect()} == {k: plain_form(t) for k, t in enumerate(texts)}
