@@ -40,8 +40,7 @@ def pages_for_ocr(s: SparkSession, d: str) -> DataFrame:
 
 
 def clean_prose(s: SparkSession, d: str) -> DataFrame:
-    plain = blocks(s, d).where("kind <> 'table'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return plain.select("block_id", X.clean_prose(F.col("text")).alias("text"))
+    return blocks(s, d).where("kind <> 'table'").select("block_id", X.clean_prose(F.col("text")).alias("text"))
 
 
 def clean_table(s: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lodestream.plans import q_evaluation, q_retrieval
+from lodestream.plans import q_documents, q_evaluation, q_retrieval
 
 
 def save(spark, path, **tables):
@@ -53,3 +53,11 @@ def test_comparison_form_takes_every_document(spark, tmp_path):
     texts = ["Plain | **text**", "“Limit” – of ‘PM’ — 60−80", "वायु  गुणवत्ता सूचकांक", "Café ﬁne ½ Ｋ", "µg μg ²", "# _Ärger_", "", None]
     d = save(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id: r.form for r in q_evaluation.comparison_form(spark, d).collect()} == {k: plain_form(t) for k, t in enumerate(texts)}
+
+
+def test_clean_prose_takes_every_block(spark, tmp_path):
+    texts = ["imple-\nmentation  of\trules", "वायु \n गुणवत्ता", "a b  c", "no\u00a0break\u2003space", "soft­hyphen — café　x", " ", "", None]
+    rows = [(f"b{k}", "text", t) for k, t in enumerate(texts)] + [("t", "table", "|é|")]
+    d = save(spark, tmp_path, parsed_blocks=(rows, "block_id string, kind string, text string"))
+    want = {f"b{k}": re.sub(r"\s+", " ", re.sub(r"([a-z])-\n([a-z])", r"\1\2", t)).strip() for k, t in enumerate(texts) if t is not None}
+    assert {r.block_id: r.text for r in q_documents.clean_prose(spark, d).collect()} == want
