@@ -4,7 +4,8 @@ Texts become sequences of words (compatibility forms, case folded, invisible cha
 off), so that case, punctuation, spacing and layout don't matter. The fingerprints of a text are the
 minima of the hashes of its k-grams over each window of w grams; two texts that share k+w-1 words on end
 share a fingerprint, whatever surrounds them. Fingerprints of corpus and items are joined, every hit is
-extended to the whole run of equal words, and runs that follow one another in both texts with at most
+extended to the whole run of equal words and on over at most ``gap`` other words on either side, where
+shorter runs need no fingerprint of their own; runs that follow one another in both texts with at most
 ``gap`` other words between them form one shared stretch.
 """
 
@@ -109,6 +110,27 @@ class Items:
         self.hash, self.at = h[order], at[order]
 
 
+def _grow(doc: np.ndarray, own: list[int], lo: int, found: set[tuple[int, int, int]], gap: int) -> None:
+    """Adds the runs that lie at most ``gap`` other words from a found one, and from those on. ``own``: the item's words, from lo."""
+    todo = list(found)
+    while todo:
+        d, p, n = todo.pop()
+        for gd in range(gap + 1):
+            for gp in range(gap + 1):
+                for e, f in ((d + n + gd, p + n + gp - lo), (d - 1 - gd, p - 1 - gp - lo)):
+                    if not (0 <= e < len(doc) and 0 <= f < len(own) and doc[e] == own[f]):
+                        continue
+                    a, b, x, y = e, f, e + 1, f + 1
+                    while a > 0 and b > 0 and doc[a - 1] == own[b - 1]:
+                        a, b = a - 1, b - 1
+                    while x < len(doc) and y < len(own) and doc[x] == own[y]:
+                        x, y = x + 1, y + 1
+                    run = (a, b + lo, x - a)
+                    if (gd == gp or x - a > 1) and run not in found:  # one word off the diagonal is chance
+                        found.add(run)
+                        todo.append(run)
+
+
 def shared(doc: np.ndarray, numeric: np.ndarray, seeds: list[tuple[int, int]], items: Items, gap: int) -> dict[int, tuple[int, int, int, int, int]]:
     """Of each item the best stretch: (words alike, changes, longest run on end, first and last word of the document)."""
     runs: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
@@ -129,6 +151,8 @@ def shared(doc: np.ndarray, numeric: np.ndarray, seeds: list[tuple[int, int]], i
         runs[item].add((a, b, e - a))
     out = {}
     for item, found in runs.items():
+        lo, hi = items.start[item], items.end[item]
+        _grow(doc, codes[lo:hi].tolist(), int(lo), found, gap)
         chain: list[tuple[int, int, int, int, int, int, int]] = []
         best = None
         for d, p, n in sorted(found):
@@ -178,7 +202,8 @@ def find_leaks(
     """``id_col`` and ``item_col``: every document that holds at least ``least`` words of a passage on end.
 
     Small changes (case, punctuation, spacing, layout, a changed or added word here and there: one in
-    1/rate words at most) don't interrupt a stretch. Null and empty texts and passages share nothing; items
+    1/rate words at most) don't interrupt a stretch, but the one or two words beyond a last change don't
+    count, as they can be alike by chance. Null and empty texts and passages share nothing; items
     that are given twice are one. The corpus is read once for each BLOCK of items and never shuffled; items
     travel with the tasks, BLOCK of them at most.
     """

@@ -71,3 +71,29 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], ITEMS)
     corpus = spark.createDataFrame([(1, "x", "some text of a few words here")], DOCS)
     assert L.find_leaks(corpus, "doc_id", "text", empty, "item_id", "passage").count() == 0
+
+
+def test_short_leaks_with_a_change_near_an_end(spark):
+    docs, want = {}, set()
+    for n in range(13, 17):
+        for at in (3, n - 4):
+            part = P[n % 8][9 : 9 + n]
+            part[at] = "perhaps"
+            docs[n * 100 + at] = " ".join(noise(15, n) + part + noise(15, at))
+            want.add((n * 100 + at, n % 8))
+    part = P[5][4:16]
+    part[3] = "perhaps"
+    docs[1] = " ".join(noise(15, 1) + part + noise(15, 2))  # eleven words alike
+    part = P[6][2:28]
+    for at in (8, 13, 17):
+        part[at] = "perhaps"
+    docs[2] = " ".join(noise(15, 3) + part + noise(15, 4))  # runs of 8, 4, 3 and 8
+    assert run(spark, docs.items()) == want | {(2, 6)}
+
+
+def test_runs_between_changes_need_no_fingerprint():
+    items = L.Items([(1, " ".join(P[1]))])
+    doc = P[1][:9] + ["x"] + P[1][10:12] + ["y"] + P[1][13:30]
+    codes = L.word_codes(doc).tolist()
+    found = L.shared(codes, [False] * len(doc), [(0, 0), (13, 13)], items, 3)
+    assert found[1][:3] == (28, 2, 17)
