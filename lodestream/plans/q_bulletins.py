@@ -77,8 +77,7 @@ def coverage_by_city_range(s: SparkSession, d: str) -> DataFrame:
 
 
 def landing_gaps(s: SparkSession, d: str) -> DataFrame:
-    landed = table(s, d, "city_aqi_daily").where("city IS NULL OR city LIKE 'J%'").select(F.col("date").alias("day"))
-    return B.missing_days(landed, FIRST, LAST)
+    return B.missing_days(table(s, d, "city_aqi_daily").select(F.col("date").alias("day")), FIRST, LAST)
 
 
 def live_facts(s: SparkSession, d: str) -> DataFrame:

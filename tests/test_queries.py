@@ -1,5 +1,6 @@
 """Registered queries over small tables of their own, compared with brute force."""
 
+import datetime as dt
 import math
 import random
 import re
@@ -8,7 +9,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lodestream.plans import q_documents, q_evaluation, q_retrieval
+from lodestream.plans import q_bulletins, q_documents, q_evaluation, q_retrieval
 
 
 def save(spark, path, **tables):
@@ -61,3 +62,11 @@ def test_clean_prose_takes_every_block(spark, tmp_path):
     d = save(spark, tmp_path, parsed_blocks=(rows, "block_id string, kind string, text string"))
     want = {f"b{k}": re.sub(r"\s+", " ", re.sub(r"([a-z])-\n([a-z])", r"\1\2", t)).strip() for k, t in enumerate(texts) if t is not None}
     assert {r.block_id: r.text for r in q_documents.clean_prose(spark, d).collect()} == want
+
+
+def test_landing_gaps_take_every_city(spark, tmp_path):
+    first, last = map(dt.date.fromisoformat, (q_bulletins.FIRST, q_bulletins.LAST))
+    days = [first + dt.timedelta(k) for k in range((last - first).days + 1)]
+    rows = [(("Jabalpur", "Kanpur", None)[k % 3], x) for k, x in enumerate(days) if k not in (4, 100)] + [("Kanpur", None)]
+    d = save(spark, tmp_path, city_aqi_daily=(rows, "city string, date date"))
+    assert sorted(r.day for r in q_bulletins.landing_gaps(spark, d).collect()) == [days[4], days[100]]
