@@ -35,8 +35,10 @@ def outline(s: SparkSession, d: str) -> DataFrame:
 
 
 def pages_for_ocr(s: SparkSession, d: str) -> DataFrame:
-    pages = blocks(s, d).groupBy("doc_id", "page").agg(F.sum(F.length(F.trim("text"))).alias("chars"))
-    return pages.where(F.col("chars") < 300)
+    """Pages of under 300 characters; a page of nothing but null blocks has none."""
+    b = spread(table(s, d, "parsed_blocks")).select("doc_id", "page", F.struct("block_no", F.trim(F.coalesce("text", F.lit(""))).alias("text")).alias("b"))
+    pages = b.groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_list("b"))["text"], "").alias("text"))
+    return D.needs_ocr(pages, least=300).select("doc_id", "page", F.length("text").cast("long").alias("chars"))
 
 
 def clean_prose(s: SparkSession, d: str) -> DataFrame:

@@ -70,3 +70,9 @@ def test_landing_gaps_take_every_city(spark, tmp_path):
     rows = [(("Jabalpur", "Kanpur", None)[k % 3], x) for k, x in enumerate(days) if k not in (4, 100)] + [("Kanpur", None)]
     d = save(spark, tmp_path, city_aqi_daily=(rows, "city string, date date"))
     assert sorted(r.day for r in q_bulletins.landing_gaps(spark, d).collect()) == [days[4], days[100]]
+
+
+def test_pages_for_ocr_take_pages_without_text(spark, tmp_path):
+    rows = [("a", 1, 0, None), ("a", 1, 1, None), ("a", 2, 0, "x" * 200), ("a", 2, 1, " " + "y" * 100), ("a", 3, 0, " short "), ("a", 3, 1, None), ("b", 1, 0, "")]
+    d = save(spark, tmp_path, parsed_blocks=(rows, "doc_id string, page int, block_no int, text string"))
+    assert {tuple(r) for r in q_documents.pages_for_ocr(spark, d).collect()} == {("a", 1, 0), ("a", 3, 5), ("b", 1, 0)}
