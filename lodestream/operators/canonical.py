@@ -2,8 +2,9 @@
 
 An automaton over all names and aliases finds the mentions embedded in a value; the longest mentions that
 don't overlap win. A value whose remaining words are mere decoration is mapped by its mention. All other
-values go to token-set similarity: what is left after taking decoration away is compared with every name
-within two typing errors, found over deletion neighbourhoods, so no value is compared with the whole list.
+values are compared, without decoration, with the names within ``most`` typing errors (one by default): as
+joined words and their rotations, and word by word in any order. Names are found over deletion
+neighbourhoods, so no value is compared with the whole list. A value with further words means none.
 """
 
 from __future__ import annotations
@@ -96,6 +97,16 @@ class Gazetteer:
         for form in self.joined:
             for d in deletions(form, 1 if len(form) < 4 else most):
                 self.near.setdefault(d, set()).add(form)
+        # Names of three words and more, by their words: orders that aren't a rotation.
+        self.holding: dict[str, set[str]] = {}
+        for key in self.exact:
+            if len(key.split()) > 2:
+                for w in key.split():
+                    self.holding.setdefault(w, set()).add(key)
+        self.parts: dict[str, set[str]] = {}
+        for w in self.holding:
+            for d in deletions(w, most):
+                self.parts.setdefault(d, set()).add(w)
 
     def mentions(self, text: str) -> list[tuple[int, int, str]]:
         """Start, end and name of the longest mentions that don't overlap, in order; the name is empty for an extra."""
@@ -128,8 +139,28 @@ class Gazetteer:
             return 0, "ambiguous"
         return self.similar(text, spans)
 
+    def reordered(self, words: list[str]) -> dict[str, int]:
+        """Names of the same words in any order, with their typing errors; each word has an error for each ``letters`` letters."""
+        if len(words) < 3 or not self.parts:
+            return {}
+        like: list[dict[str, int]] = []
+        for w in words:
+            most = min(self.most, len(w) // self.letters)
+            seen = {t for d in deletions(w, most) for t in self.parts.get(d, ())}
+            like.append({t: n for t in seen if (n := edits(w, t, most)) <= most})
+        keys = set.intersection(*({k for t in x for k in self.holding[t]} for x in like))
+
+        def errors(at: int, rest: tuple[str, ...]) -> int:
+            if at == len(like):
+                return 0
+            each = [like[at][t] + errors(at + 1, rest[:i] + rest[i + 1 :]) for i, t in enumerate(rest) if t in like[at] and t not in rest[:i]]
+            return min(each, default=self.most + 1)
+
+        found = {k: errors(0, tuple(k.split())) for k in keys if len(k.split()) == len(words)}
+        return {k: n for k, n in found.items() if n <= self.most}
+
     def similar(self, text: str, spans: list[tuple[int, int, str]]) -> tuple[int, str]:
-        """By token-set similarity: the fewest typing errors over the whole of the words, whatever their order."""
+        """The entry of the fewest typing errors over the whole of the words, whatever their order."""
         kept = " " + text + " "
         for a, b, name in spans:
             if not name and text[:a].strip():
@@ -147,6 +178,10 @@ class Gazetteer:
                     n = edits(form, cand, most)
                     if n <= most:
                         best[cand] = min(best.get(cand, 9), n)
+        for listed in (words, core):
+            for key, n in self.reordered(listed).items():
+                form = "".join(key.split())
+                best[form] = min(best.get(form, 9), n)
         if not best:
             return 0, "none"
         least = min(best.values())

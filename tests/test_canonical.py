@@ -54,3 +54,13 @@ def test_reference_list_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(C, "MAX_ENTRIES", 1)
     with pytest.raises(ValueError):
         C.reference_entries(ref, "id", ["name"])
+
+
+def test_words_in_any_order():
+    from lodestream.operators.canonical import Gazetteer
+
+    g = Gazetteer([(1, "Mirapur Kalan East"), (2, "Mirapur Khurd East"), (3, "Old Port Blair Harbour"), (4, "Lone")])
+    assert g.find("East Kalan Mirapur") == (1, "similar")  # no rotation
+    assert g.find("East Kaln Mirapur") == (1, "similar") and g.find("Harbour Port Old Blair") == (3, "similar")
+    assert g.find("East Kln Mirapr") == (0, "none") and g.find("East Mirapur Mirapur") == (0, "none")
+    assert g.find("Kalan East Mirapur")[0] == 1 and g.find("Lone Harbour")[0] == 0
