@@ -42,6 +42,8 @@ HYPHENS = "-‐‑¬­"
 # A number of which digits may be read as letters, and the forms of page numbers.
 NUMBER = r"(?:[\dlIOo]*\d[\dlIOo]*|[lI])"
 PAGE_NUMBER = rf"(?i)^\s*(?:{NUMBER}|[ivxl]+|\[\s*{NUMBER}\s*\]|[-–—]\s*{NUMBER}\s*[-–—]|p\w{{3}}\s+{NUMBER}(?:\s+of\s+{NUMBER})?|{NUMBER}\s*(?:/|of)\s*{NUMBER}|{NUMBER}\s*\|\s*\w\s?\w\s?\w\s?\w)\s*$"
+# Of these the forms that are page numbers wherever they stand.
+SURE_NUMBER = rf"(?i)^\s*(?:\[\s*{NUMBER}\s*\]|[-–—]\s*{NUMBER}\s*[-–—]|p\w{{3}}\s+{NUMBER}(?:\s+of\s+{NUMBER})?)\s*$"
 INVISIBLE = "[\\u200b-\\u200f\\u2060\\ufeff]"
 SENTENCE_END = r"[.!?।;:,]['\")\]»”]*\s*$"
 #: Blocks of a document whose lines are put in order together.
@@ -54,12 +56,13 @@ SLOTS, SLOT_WORDS = 256, 50_000
 class Limits:
     """pages: pages of a document that show a header's form; documents: documents that make a form known everywhere;
     small: share of the body size below which print is small; rarer: times a form must be rarer than what it is
-    taken for; firm: the same where digital pages have the form too; confusions: most of one word."""
+    taken for; running: pages whose bare numbers at the ends of blocks must count on with the pages; firm: the same where digital pages have the form too; confusions: most of one word."""
 
     pages: int = 2
     documents: int = 3
     small: float = 0.9
     rarer: int = 8
+    running: int = 3
     firm: int = 200
     confusions: int = 2
     longest: int = 200
@@ -143,18 +146,25 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     b = b.join(headers, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("form") == F.col("h_form")), "left")
     small = F.col("size") < limits.small * F.greatest(F.coalesce("body", "usual"), F.col("usual"))
     whole = F.col("single") & (F.col("text").rlike(PAGE_NUMBER) | F.coalesce(small, F.lit(False)) | F.col("h_form").isNotNull())
-    b = durable(b.withColumn("whole", F.coalesce(whole, F.lit(False))).select("doc_id", "block_id", "block_no", "kind", "ocr", "text", "form", "whole"))
+    b = durable(b.withColumn("whole", F.coalesce(whole, F.lit(False))).select("doc_id", "block_id", "block_no", "page", "kind", "ocr", "text", "form", "whole"))
 
     found = b.where("whole").withColumn("template", _template("text"))
     local = found.select(F.col("doc_id").alias("l_doc"), F.col("form").alias("l_form")).where("l_form <> ''").distinct()
     known = found.where(F.length("template") > 3).groupBy("template").agg(F.countDistinct("doc_id").alias("n"))
     known = known.where(F.col("n") >= limits.documents).select(F.col("template").alias("k_form"))
-    lines = b.select("doc_id", "block_id", "block_no", "kind", "ocr", "whole", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.size(F.split("text", "\n")).alias("of"))
+    lines = b.select("doc_id", "block_id", "block_no", "page", "kind", "ocr", "whole", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.size(F.split("text", "\n")).alias("of"))
     inner = (F.col("kind") == "text") & (F.col("of") > 1) & ~F.col("whole") & ~F.col("line").rlike(SENTENCE_END) & (F.length("line") <= limits.longest)
     lines = lines.withColumn("form", F.when(inner, _masked("line"))).withColumn("template", F.when(inner, _template("line")))
     lines = lines.join(local, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("form") == F.col("l_form")), "left")
     lines = lines.join(known, F.col("template") == F.col("k_form"), "left")
-    number = inner & F.col("line").rlike(PAGE_NUMBER) & (F.col("at") > 0) & (F.col("at") < F.col("of") - 1)
+    # A bare number first or last in a block is one if numbers so placed count on with the pages.
+    within = (F.col("at") > 0) & (F.col("at") < F.col("of") - 1)
+    bare = F.when(inner & ~within & F.col("line").rlike(rf"^\s*{NUMBER}\s*$"), F.translate(F.trim("line"), "lIOo", "1100"))
+    lines = lines.withColumn("ahead", F.when(F.length(bare) <= 5, bare.try_cast("int") - F.col("page")))
+    counted = lines.where("ahead IS NOT NULL").groupBy("doc_id", "ahead").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= limits.running)
+    counted = counted.select(F.col("doc_id").alias("c_doc"), F.col("ahead").alias("c_ahead"))
+    lines = lines.join(counted, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("ahead") == F.col("c_ahead")), "left")
+    number = inner & ((F.col("line").rlike(PAGE_NUMBER) & within) | F.col("line").rlike(SURE_NUMBER) | F.col("c_ahead").isNotNull())
     furniture = F.col("whole") | number | F.col("l_form").isNotNull() | F.col("k_form").isNotNull()
     lines = lines.withColumn("furniture", F.coalesce(furniture, F.lit(False)))
 

@@ -67,3 +67,14 @@ def test_shards_and_repeats_change_nothing(spark, blocks, monkeypatch):
     monkeypatch.setattr(S, "SHARD", 2)
     twice = blocks.unionByName(blocks.where("doc_id = 's'")).unionByName(blocks.where("block_id = 's1'"))
     assert (as_set(S.defects(twice)), as_set(S.paragraphs(twice))) == want
+
+
+def test_page_numbers_at_the_ends_of_blocks(spark):
+    texts = [
+        (1, "The board measured smog\n[ 4 ]"), (1, "Page 4 of 9\nThe office must report"), (2, "The board measured smog in\n- 5 -"), (2, "No smog in\n77"),
+        (4, "The board measured smog\n6"), (5, "7\nThe board measured smog"), (6, "The board measured smog\n8"), (7, "9\nThe board measured smog\nin"), (8, "The office\n3"),
+    ]
+    b = spark.createDataFrame(rows([(p, "text", t, 10.0, True) for p, t in texts]), SCHEMA)
+    got = {(r.block_id, r.line) for r in S.own_lines(b).where("furniture").collect()}
+    assert got == {("s0", "[ 4 ]"), ("s1", "Page 4 of 9"), ("s2", "- 5 -"), ("s4", "6"), ("s5", "7"), ("s6", "8"), ("s7", "9")}
+    assert not any("Page" in r.text or "[" in r.text for r in S.paragraphs(b).where("doc_id = 's'").collect())
