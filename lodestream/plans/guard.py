@@ -1,7 +1,8 @@
 """Guard for ad-hoc SQL: one SELECT over known relations, known functions only, bounded by a limit.
 
 What is checked is the plan that Spark's own parser makes, and that plan's text is what runs. Everything is an
-allow-list: node kinds, relations, functions. Messages are written for whoever has to repair the query.
+allow-list: kinds of nodes, kinds of expressions, relations, functions, generators. A kind that isn't known is
+refused, whatever it may do. Messages are written for whoever has to repair the query.
 """
 
 from __future__ import annotations
@@ -17,6 +18,14 @@ from lodestream.schemas import RELATIONS
 NODES = set("""Project Filter Join Aggregate Sort GlobalLimit LocalLimit Offset SubqueryAlias UnresolvedRelation UnresolvedWith Window
 Union Intersect Except Distinct UnresolvedHaving UnresolvedSubqueryColumnAliases OneRowRelation UnresolvedInlineTable LocalRelation
 Deduplicate WithWindowDefinition UnresolvedOrdinal LateralJoin Generate Sample Pivot UnresolvedPivot""".split())
+EXPRESSIONS = set("""Add Alias And BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Concat CreateArray CreateMap CreateNamedStruct Cube CurrentDate
+CurrentRow CurrentTimestamp Divide EqualNullSafe EqualTo Exists GreaterThan GreaterThanOrEqual GroupingSets ILike In InSubquery IntegralDivide IsFalse IsNaN
+IsNotFalse IsNotNull IsNotTrue IsNull IsTrue LambdaFunction LateralSubquery LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal MultiAlias
+Multiply Not NotLikeAll NotLikeAny Or RLike Remainder Rollup ScalarSubquery SortOrder SpecifiedWindowFrame StringTrim StringTrimLeft StringTrimRight
+Substring Subtract UnaryMinus UnaryPositive UnboundedFollowing UnboundedPreceding UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue
+UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedRegex UnresolvedStar UnresolvedStarWithColumns
+UnresolvedSubscript UnresolvedWindowExpression UnspecifiedFrame WindowExpression WindowSpecDefinition Between Extract""".split())
+GENERATORS = {"explode", "explode_outer", "posexplode", "posexplode_outer"}
 FUNCTIONS = set("""abs array array_agg array_contains array_distinct array_join array_max array_min array_sort avg between bround cardinality cast ceil
 ceiling char_length coalesce collect_list collect_set concat concat_ws contains corr count count_if cume_dist current_date date
 date_add date_diff date_format date_from_unix_date date_part date_sub date_trunc datediff day dayname dayofmonth dayofweek dayofyear
@@ -35,14 +44,18 @@ class Rejected(ValueError):
     """A query the guard doesn't let through, with the reason."""
 
 
+def _words(kind: str) -> str:
+    return re.sub("(?<!^)(?=[A-Z])", " ", kind).lower()
+
+
 def _each(seq) -> Iterable:
     return (seq.apply(i) for i in range(seq.size()))
 
 
 def _walk(node, relations: list[str], functions: list[str], ctes: frozenset[str]) -> None:
-    kind = node.getClass().getSimpleName()
+    kind = node.getClass().getSimpleName().rstrip("$")
     if kind not in NODES:
-        raise Rejected(f"only SELECT queries are allowed; {re.sub('(?<!^)(?=[A-Z])', ' ', kind).lower()} is not")
+        raise Rejected(f"only SELECT queries are allowed; {_words(kind)} is not")
     if kind == "UnresolvedRelation":
         parts = [str(x) for x in _each(node.multipartIdentifier())]
         if len(parts) != 1:
@@ -61,12 +74,18 @@ def _walk(node, relations: list[str], functions: list[str], ctes: frozenset[str]
 
 
 def _walk_expression(e, relations: list[str], functions: list[str], ctes: frozenset[str]) -> None:
-    kind = e.getClass().getSimpleName()
+    kind = e.getClass().getSimpleName().rstrip("$")
+    if kind not in EXPRESSIONS:
+        raise Rejected(f"the expression '{_words(kind)}' is not allowed")
     if kind == "UnresolvedFunction":
         parts = [str(x) for x in _each(e.nameParts())]
         if len(parts) != 1:
             raise Rejected(f"function '{'.'.join(parts)}' is not allowed")
         functions.append(parts[0].lower())
+    if kind == "UnresolvedGenerator":
+        name = e.name()
+        if name.database().isDefined() or name.funcName().lower() not in GENERATORS:
+            raise Rejected(f"generator '{name.unquotedString()}' is not allowed")
     if kind in ("ListQuery", "ScalarSubquery", "Exists", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
         _walk(e.plan(), relations, functions, ctes)
     for child in _each(e.children()):
@@ -106,16 +125,23 @@ def check(spark: SparkSession, sql: str, allowed: Mapping[str, T.StructType] = R
     return most if asked is None else min(asked, most)
 
 
+def _own_session(spark: SparkSession, views: Mapping[str, DataFrame]) -> SparkSession:
+    """A session of its own, with the relations as its temporary views, so that questions asked at once never share a name."""
+    own = spark.newSession()
+    for name, df in views.items():
+        plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().logical())
+        plan.createOrReplaceTempView(name)
+    return own
+
+
 def guarded(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], most: int = 1000) -> DataFrame:
-    """The bounded result of an allowed query over the given relations, registered under their names for the analysis.
+    """The bounded result of an allowed query over the given relations, which stand under their names for this query only.
 
     Unknown columns are reported by the analyser, in the same exception.
     """
     limit = check(spark, sql, {k: v.schema for k, v in views.items()}, most)
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
     try:
-        return spark.sql(sql).limit(limit)
+        return _own_session(spark, views).sql(sql).limit(limit)
     except Exception as e:
         text = str(getattr(e, "desc", None) or e).strip().splitlines()[0][:300]
         raise Rejected(f"could not analyse the SQL: {text}") from e
