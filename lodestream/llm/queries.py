@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import leaks, lookalike, scanned, subjects, tokens
+from lodestream.llm import canonical, leaks, lookalike, scanned, subjects, tokens
 from lodestream.runtime import spread, table
 
 
@@ -25,6 +25,13 @@ def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return scanned.paragraphs(spread(table(spark, d, "parsed_blocks")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    ref = table(spark, d, "city_reference")
+    rows = table(spark, d, "city_aqi_daily").select("row_id", "city").where(F.col("city").isNotNull())
+    free = rows.join(ref.select("city").distinct(), "city", "left_anti")
+    return canonical.map_values(free, "row_id", "city", ref, "city_id", ("city", "name_hi", "former_name")).select("row_id", F.col("entry").alias("city_id"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
@@ -38,5 +45,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "subject")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
