@@ -1,4 +1,4 @@
-"""Queries over the daily bulletins: trailing totals, canonical cities, implausible readings, regular grids."""
+"""Queries over the daily bulletins: trailing totals, implausible readings, regular grids."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.operators import air, canonical, series
+from lodestream.operators import air, series
 from lodestream.runtime import durable, table
 
 KEYS = ("board", "city")
@@ -35,14 +35,6 @@ def p3_trailing(spark: SparkSession, d: str) -> DataFrame:
     return t.select("board", "city", F.date_format("day", "yyyy-MM-dd").alias("day"), "sum_7", F.col("n_7").cast("long"), "sum_30", F.col("n_30").cast("long"), F.round("avg_7", 6).alias("avg_7"), F.round("avg_30", 6).alias("avg_30"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    ref = table(spark, d, "city_reference")
-    rows = table(spark, d, "city_aqi_daily").select("row_id", "city").where(F.col("city").isNotNull())
-    free = rows.join(ref.select("city").distinct(), "city", "left_anti")
-    names, states = canonical.reference_entries(ref, "city_id", ("city", "name_hi", "former_name"), "state")
-    return canonical.map_values(free, "row_id", "city", names, states).select("row_id", F.col("entry").alias("city_id"))
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     scale = air.scale_of(table(spark, d, "aqi_categories"))
     rows = table(spark, d, "city_aqi_daily").select("row_id", "board", "city", "date", "aqi")
@@ -90,7 +82,6 @@ SQL: dict[str, str] = {
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_trailing": p3_trailing,
-    "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_grid": p6_grid,
