@@ -1,27 +1,31 @@
 """Subject areas of documents, from a factorised document-term matrix with anchored components.
 
-Terms are words and pairs of neighbouring words (numbers masked), hashed into ``dims`` columns. The matrix is
-factored into document weights and component profiles by alternating multiplicative updates that keep
-everything non-negative (for the Kullback-Leibler divergence). One component is anchored to each subject:
-its profile starts from the terms that hand-labelled documents of that subject prefer and has zeros, which
-the updates keep, at terms that labelled documents of all subjects share. Free components take up the
-rest. Labels steer the weights of labelled documents in the first rounds only, and never fully, since some
-are wrong.
-
-Every update is one pass over all documents; a pass gathers the profiles, whose size is bounded by
-``dims``, never by the corpus. A profile turned round says how firmly a term belongs to a subject. A
-sentence deals with the subject of which its terms carry the most evidence, if that is at least ``least``
-with at least one firm pair of words; single words alone, as figures of speech have them, are no evidence.
-Sentences of fewer than ``words`` words (list entries, headings) deal with nothing.
+Terms are words and pairs of neighbouring words (numbers masked). The document-term matrix of hand-labelled
+documents is factored into document weights and component profiles by alternating multiplicative updates that
+keep everything non-negative (for the Kullback-Leibler divergence). One component is anchored to each subject:
+its profile starts from the terms that documents labelled with it prefer, and has zeros, which the updates
+keep, at terms of no such document and at terms that all subjects share. A free component, in every document,
+takes up what belongs to no subject. A document has weight on its own labels and the free component only;
+that some labels are wrong shows in how firmly a term belongs to a subject, the share of its mass there.
+
+Then every sentence of every document is folded in: under the fixed profiles, the same updates give its weights
+on the components, each the number of its terms which that component explains. A sentence deals with the
+subject of the largest weight if that is at least ``least`` terms and most of what subjects explain in it; a
+figure of speech has one such word, not several. Sentences of fewer than ``words`` words (list entries,
+headings) deal with nothing.
+
+The fit reads at most ``sample`` labelled documents (a classifier's bounded sample, chosen by a hash of the id)
+in one task. Its profiles are a table of (word, next word, subject, profile, firmness), of firm terms only, so what is
+sent to the tasks is bounded by the sample and not by the corpus or the number of subjects. All documents are
+read once, whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,216 +36,238 @@ from lodestream.runtime import durable
 
 @dataclass(frozen=True)
 class Model:
-    """dims: columns for hashed terms; free: components without a subject; rounds, inner: outer passes and updates of the
-    weights in each; guided: rounds in which labels steer; cap: most that one term counts in a document; spread: a term
-    seen in ``seen`` labelled documents whose largest share stays below is nobody's; prior: counts against a term's
-    firmness; firm: firmness of evidence; least, words, share: see the module and the query."""
-
-    dims: int = 1 << 18
-    free: int = 4
-    rounds: int = 6
-    inner: int = 4
-    guided: int = 4
+    """sample: labelled documents that the fit reads at most; rounds: alternating updates; cap: most that one term counts
+    in a document; seen: labelled documents that a term must be in; spread: a term whose largest share among the
+    subjects stays below is nobody's; prior: counts against a term's firmness; firm: firmness of evidence; folds: updates
+    of a sentence's weights; least, words, share: see the module and the query."""
+
+    sample: int = 20_000
+    rounds: int = 12
     cap: int = 4
-    seen: int = 3
+    seen: int = 2
     spread: float = 0.5
-    prior: float = 3.0
-    firm: float = 0.6
-    least: float = 2.0
+    prior: float = 1.0
+    firm: float = 0.5
+    folds: int = 4
+    least: float = 2.5
     words: int = 4
     share: float = 0.25
-    slice: int = 1000
+    slice: int = 2000
 
 
-def _cutters() -> tuple[Callable, Callable]:
+def _tokens() -> Callable[[str], list[str]]:
+    """Words, numbers and ends of sentences of a text in small letters, in one scan."""
     import regex
 
-    return regex.compile(r"(?<=[.!?।])\s+|\s*\n\s*|(?<=\s)•\s").split, regex.compile(r"\p{N}+|[\p{L}\p{M}]+").findall
+    return regex.compile(r"\p{N}+|[\p{L}\p{M}]+|[.!?।](?=\s)|\n|(?<=\s)•(?=\s)").findall
 
 
-def terms(sentence: str, words: Callable) -> tuple[list[str], list[str]]:
-    """Words and pairs of neighbouring words of a sentence; a number is '#' in pairs and no word."""
-    w = ["#" if x[0].isdigit() else x for x in words(sentence.lower())]
-    return [x for x in w if x != "#"], [f"{a} {b}" for a, b in zip(w, w[1:])]
+def numbered(texts: Sequence[str | None], number: Callable[[str], int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of some texts by their numbers (0 or more; -1 unknown; -2 ends a sentence), and each word's text and sentence."""
+    find, ids, size = _tokens(), [], []
+    for t in texts:
+        found = find(t.lower()) if t else []
+        ids += map(number, found)
+        ids.append(-2)
+        size.append(len(found) + 1)
+    ids = np.array(ids, dtype=np.int64)
+    of = np.repeat(np.arange(len(size)), size)
+    ends = ids == -2
+    sentence = np.cumsum(ends) - ends
+    return ids[~ends], of[~ends], sentence[~ends]
 
 
-def columns(names: list[str], dims: int) -> np.ndarray:
-    """The column of each term, the same in every task."""
-    codes, distinct = pd.factorize(np.asarray(names, dtype=object))
-    if not len(distinct):
-        return np.zeros(0, np.int64)
-    return (pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False) % np.uint64(dims)).astype(np.int64)[codes]
+def _kind(token: str) -> str:
+    """A number is '#', the end of a sentence is empty."""
+    c = token[0]
+    return "#" if c.isdigit() or c.isnumeric() else "" if c in ".!?।\n•" else token
 
 
-def document_terms(docs: DataFrame, id_col: str, text_col: str, m: Model) -> DataFrame:
-    """``id_col``, ``at`` ARRAY<INT> (columns, distinct), ``n`` ARRAY<INT> (capped counts)."""
-    kind = docs.schema[id_col].dataType
-    ints = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("at", ints), T.StructField("n", ints)])
+class Terms:
+    """Numbers words as they come."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words = _cutters()
-        for b in batches:
-            names, size = [], []
-            for text in b.column(1).to_pylist():
-                k = len(names)
-                for s in split(text):
-                    single, pairs = terms(s, words)
-                    names += single
-                    names += pairs
-                size.append(len(names) - k)
-            of = np.repeat(np.arange(len(size)), size)
-            key, n = np.unique(of * m.dims + columns(names, m.dims), return_counts=True)
-            ends = np.searchsorted(key, np.arange(len(size) + 1) * m.dims)
-            ends = pa.array(ends.astype(np.int32))
-            at = pa.ListArray.from_arrays(ends, pa.array((key % m.dims).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), at, pa.ListArray.from_arrays(ends, pa.array(np.minimum(n, m.cap).astype(np.int32)))], names=[id_col, "at", "n"])
-
-    return docs.select(F.col(id_col), F.col(text_col).alias("__ls_text")).where("__ls_text IS NOT NULL").mapInArrow(kernel, schema)
-
-
-def _gather(rows: DataFrame, parts: Callable, width: int, dims: int) -> np.ndarray:
-    """Sum over all documents of what ``parts`` yields for pieces of them: (columns, values[width]); as a width x dims array."""
-    names = [f"c{k}" for k in range(width)]
-    schema = T.StructType([T.StructField("at", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in names)])
+    def __init__(self):
+        self.known: dict[str, int] = {"#": 0}
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, dims))
-        for b in batches:
-            for at, values in parts(b):
-                total[:, at] += values
-        at = np.flatnonzero(total.any(axis=0))
-        for k in range(0, len(at), 50_000):
-            some = at[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[c, some]) for c in range(width))], names=["at", *names])
-
-    sums = rows.mapInArrow(kernel, schema).groupBy("at").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
-    out = np.zeros((width, dims))
-    at = sums.column("at").to_numpy()
-    for k, c in enumerate(names):
-        out[k, at] = sums.column(c).to_numpy()
-    return out
-
-
-def _flat(b: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of slices of a batch: starts of the documents in the flat lists, columns, counts, labels of each document."""
-    for k in range(0, b.num_rows, size):
-        s = b.slice(k, size)
-        at, n = s.column("at"), s.column("n")
-        lengths = np.diff(at.offsets.to_numpy())
-        some = np.flatnonzero(lengths)
-        if len(some):
-            labels = s.column("labels").to_pylist()
-            yield (np.cumsum(lengths[some]) - lengths[some], at.flatten().to_numpy().astype(np.int64), n.flatten().to_numpy().astype(np.float32), [labels[i] for i in some])
-
-
-def _sum_columns(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cols, inverse = np.unique(at, return_inverse=True)
-    return cols, np.stack([np.bincount(inverse, values[:, k], minlength=len(cols)) for k in range(values.shape[1])])
-
-
-def _weights(labels: list, subjects: int) -> np.ndarray:
-    out = np.zeros((len(labels), subjects), np.float32)
-    for i, own in enumerate(labels):
-        for k in own or ():
-            out[i, k] = 1 / len(own)
-    return out
-
-
-def fit(rows: DataFrame, subjects: int, m: Model) -> np.ndarray:
-    """Firmness of each term for each subject, subjects x dims. ``rows``: at, n, labels (subject numbers or null)."""
-    width = subjects + m.free
-
-    def presence(b: pa.RecordBatch) -> Iterator:
-        for start, at, n, labels in _flat(b, m.slice):
-            a = _weights(labels, subjects)
-            each = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
-            yield _sum_columns(at, np.column_stack([a[each], n]))
-
-    first = _gather(rows, presence, subjects + 1, m.dims)
-    counts, base = first[:subjects], first[subjects] / max(first[subjects].sum(), 1)
-    per = rows.where("labels IS NOT NULL").select(F.explode("labels").alias("k"), (1 / F.size("labels")).alias("w")).groupBy("k").agg(F.sum("w").alias("w")).collect()
-    size = np.zeros(subjects)
-    for r in per:
-        size[r["k"]] = r["w"]
-    rate = counts / np.maximum(size, 1)[:, None] + 1e-3
-    prefer, seen = rate / rate.sum(0), counts.sum(0)
-    nobody = (seen >= m.seen) & (prefer.max(0) < m.spread)
-    h = np.where(seen > 0, base * prefer**2, base * 0.1 / subjects) * 10
-    h[:, nobody] = 0
-    noise = np.random.default_rng(0).uniform(0.5, 1.5, (m.free, m.dims))
-    h = np.vstack([h, base * noise * np.where(nobody | (seen == 0), 1, 0.3)])
-    h /= np.maximum(h.sum(1, keepdims=True), 1e-12)
-    spark = rows.sparkSession
-    for step in range(m.rounds):
-        sent = spark.sparkContext.broadcast(np.ascontiguousarray(h.T.astype(np.float32)))
-        guided = step < m.guided
-
-        def update(b: pa.RecordBatch, sent=sent, guided=guided) -> Iterator:
-            profile = sent.value
-            for start, at, n, labels in _flat(b, m.slice):
-                a = _weights(labels, subjects)
-                known = a.any(1)
-                steer = np.ones((len(start), width), np.float32)
-                w = np.ones((len(start), width), np.float32)
-                w[:, subjects:] = 2
-                if guided:
-                    w[known, :subjects] = a[known] * 3 + 0.05
-                    steer[known, :subjects] = np.where(a[known] > 0, 1, 0.1)
-                each = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(at))))
-                own = profile[at]
-                for _ in range(m.inner):
-                    r = w[each] * own
-                    r *= (n / np.maximum(r.sum(1), 1e-12))[:, None]
-                    w = (np.add.reduceat(r, start, axis=0) + 1e-3) * steer
-                yield _sum_columns(at, r)
-
-        h = _gather(rows, update, width, m.dims)
-        mass = h.sum(0)
-        sent.unpersist()
-        if step < m.rounds - 1:
-            h = (h + 1e-9 * (h > 0)) / np.maximum(h.sum(1, keepdims=True), 1e-12)
-    return h[:subjects] / (mass + m.prior)
-
-
-def assign(docs: DataFrame, id_col: str, text_col: str, firmness: np.ndarray, names: list[str], m: Model) -> DataFrame:
-    """``id_col``, ``subject``, ``sentences`` (of that subject), ``of`` (with any subject), one row per subject of a document."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(np.where(firmness > m.firm, firmness, 0).T.astype(np.float32)))
-    ints = T.IntegerType()
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("subject", T.StringType()), T.StructField("sentences", ints), T.StructField("of", ints)])
-    label = pa.array(names)
-    count = len(names)
+    def __call__(self, token: str) -> int:
+        k = _kind(token)
+        return self.known.setdefault(k, len(self.known)) if k else -2
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words = _cutters()
-        profile = sent.value
-        for b in batches:
-            found, size, is_pair, doc, long = [], [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                for s in split(text):
-                    single, pairs = terms(s, words)
-                    if single:
-                        found += single
-                        found += pairs
-                        size.append(len(single) + len(pairs))
-                        is_pair += [False] * len(single) + [True] * len(pairs)
-                        doc.append(i)
-                        long.append(len(single) >= m.words)
-            tally = np.zeros((b.num_rows, count), np.int64)
-            if found:
-                start = np.cumsum(size) - size
-                own = profile[columns(found, m.dims)]
-                evidence = np.add.reduceat(own, start, axis=0)
-                firm = np.add.reduceat((own > 0) & np.array(is_pair)[:, None], start, axis=0)
-                best = evidence.argmax(1)
-                every = np.arange(len(best))
-                deals = (evidence[every, best] >= m.least) & (firm[every, best] > 0) & np.array(long)
-                np.add.at(tally, (np.array(doc)[deals], best[deals]), 1)
-            i, k = np.nonzero(tally)
-            of = tally.sum(1)[i]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), label.take(pa.array(k)), pa.array(tally[i, k].astype(np.int32)), pa.array(of.astype(np.int32))], names=schema.names)
-
-    return docs.select(F.col(id_col), F.col(text_col).alias("__ls_text")).where("__ls_text IS NOT NULL").mapInArrow(kernel, schema)
+
+def document_terms(ids: np.ndarray, of: np.ndarray, sentence: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms (word * (size+1) + next word + 1, or word * (size+1) for the word alone; a number alone is none) and their texts."""
+    near = (sentence[1:] == sentence[:-1]) if len(ids) else np.zeros(0, bool)
+    single = ids > 0
+    pair = np.flatnonzero(near)
+    return np.concatenate([ids[single] * (size + 1), ids[pair] * (size + 1) + ids[pair + 1] + 1]), np.concatenate([of[single], of[pair]])
+
+
+def factor(doc: np.ndarray, term: np.ndarray, n: np.ndarray, labels: list[list[int]], subjects: int, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[float]]:
+    """Term, component (``subjects`` is the free one), profile and firmness of each cell of the profiles, and the divergence by round.
+
+    The matrix is given by cells (doc, term, n). The weights of a document are on its labels and the free component.
+    """
+    count, width = len(labels), subjects + 1
+    terms, t = np.unique(term, return_inverse=True)
+    lab_doc = np.repeat(np.arange(count), [len(x) for x in labels])
+    lab = np.array([k for x in labels for k in x], dtype=np.int64)
+    each = np.array([len(x) for x in labels])
+    # Every cell of the matrix once per component that its document may have.
+    first = np.cumsum(each) - each
+    reps = each[doc] + 1
+    cell = np.repeat(np.arange(len(doc)), reps)
+    start = np.cumsum(reps) - reps
+    at = np.arange(len(cell)) - start[cell]
+    own = at < each[doc][cell]
+    comp = np.full(len(cell), subjects)
+    comp[own] = lab[(first[doc][cell] + at)[own]]
+    pairs, h_at = np.unique(t[cell] * width + comp, return_inverse=True)
+    h_term, h_comp = pairs // width, pairs % width
+    w_pairs, w_at = np.unique(doc[cell] * width + comp, return_inverse=True)
+    is_free = h_comp == subjects
+    # Seeds: documents of a subject that have the term, per document of the subject, against all subjects.
+    size = np.bincount(lab, minlength=subjects).astype(float)
+    weight = 1 / np.maximum(each, 1)
+    has = np.bincount(h_at, weights=np.where(own, weight[doc][cell], 0.0), minlength=len(pairs))
+    rate = np.where(is_free, 0, has / np.maximum(np.append(size, 1)[h_comp], 1))
+    total = np.bincount(h_term, weights=rate, minlength=len(terms))
+    prefer = rate / np.maximum(total[h_term], 1e-12)
+    top = np.zeros(len(terms))
+    np.maximum.at(top, h_term, prefer)
+    base = np.bincount(t, weights=n, minlength=len(terms))
+    h = base[h_term] * np.where(is_free, 0.3, np.where(top[h_term] < m.spread, 0.0, prefer**2))
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(np.bincount(h_comp, weights=x, minlength=width), 1e-12)[h_comp]
+
+    h, w = normal(h), np.ones(len(w_pairs))
+    amount = np.bincount(doc, weights=n, minlength=count)
+    w *= amount[w_pairs // width] / np.bincount(w_pairs // width, minlength=count)[w_pairs // width]
+    divergence, w_comp = [], w_pairs % width
+
+    def shares() -> tuple[np.ndarray, np.ndarray]:
+        """What each component explains of each cell, and all that is explained."""
+        r = w[w_at] * h[h_at]
+        explained = np.maximum(np.add.reduceat(r, start), 1e-300)
+        return r * (n / explained)[cell], explained
+
+    for _ in range(m.rounds):
+        w = np.bincount(w_at, weights=shares()[0], minlength=len(w_pairs))
+        r, explained = shares()
+        divergence.append(float(w.sum() - n.sum() + (n * np.log(n / explained)).sum()))
+        mass = np.bincount(h_at, weights=r, minlength=len(pairs))
+        grown = np.bincount(h_comp, weights=mass, minlength=width) / np.maximum(np.bincount(w_comp, weights=w, minlength=width), 1e-12)
+        h, w = normal(mass), w * grown[w_comp]
+    whole = np.bincount(h_term, weights=mass, minlength=len(terms))
+    return terms[h_term], h_comp, h, mass / (whole[h_term] + m.prior), divergence
+
+
+PROFILE = T.StructType([T.StructField("word", T.StringType()), T.StructField("next", T.StringType()), T.StructField("subject", T.IntegerType()), T.StructField("profile", T.DoubleType()), T.StructField("firmness", T.DoubleType())])
+
+
+def fit(texts: Sequence[str | None], labels: list[list[int]], subjects: int, m: Model) -> pa.Table:
+    """The profiles of firm terms, as rows of PROFILE; ``subject`` is null for the free component's part of such a term."""
+    number = Terms()
+    ids, of, sentence = numbered(texts, number)
+    size = len(number.known)
+    term, of = document_terms(ids, of, sentence, size)
+    codes, t = np.unique(term, return_inverse=True)
+    cells, n = np.unique(of * max(len(codes), 1) + t, return_counts=True)
+    doc, t = cells // max(len(codes), 1), cells % max(len(codes), 1)
+    often = np.bincount(t, minlength=len(codes)) >= m.seen
+    keep = often[t]
+    doc, t, n = doc[keep], t[keep], np.minimum(n[keep], m.cap).astype(float)
+    if not len(doc):
+        return pa.table({f.name: [] for f in PROFILE}).cast(pa.schema([("word", pa.string()), ("next", pa.string()), ("subject", pa.int32()), ("profile", pa.float64()), ("firmness", pa.float64())]))
+    code, comp, h, firmness, _ = factor(doc, codes[t], n, labels, subjects, m)
+    firm = np.unique(code[(firmness >= m.firm) & (comp < subjects)])
+    keep = np.isin(code, firm) & (h > 0)
+    code, comp, h, firmness = code[keep], comp[keep], h[keep], firmness[keep]
+    names = np.array(list(number.known), dtype=object)
+    second = code % (size + 1)
+    return pa.table({
+        "word": pa.array(names[code // (size + 1)], pa.string()),
+        "next": pa.array([names[k - 1] if k else None for k in second], pa.string()),
+        "subject": pa.array(comp.astype(np.int32), mask=comp == subjects),
+        "profile": pa.array(h),
+        "firmness": pa.array(firmness),
+    })
+
+
+class Folder:
+    """Folds sentences in under fixed profiles."""
+
+    def __init__(self, profiles: pa.Table, subjects: int, m: Model):
+        self.m, self.free = m, subjects
+        words, nexts = profiles.column("word").to_pylist(), profiles.column("next").to_pylist()
+        self.known = {w: k for k, w in enumerate(["#", *sorted({w for w in (*words, *nexts) if w is not None} - {"#"})])}
+        size = self.size = len(self.known)
+        code = np.array([self.known[a] * (size + 1) + (0 if b is None else self.known[b] + 1) for a, b in zip(words, nexts)], dtype=np.int64)
+        order = np.argsort(code, kind="stable")
+        self.codes, self.first, self.many = np.unique(code[order], return_index=True, return_counts=True)
+        self.comp = profiles.column("subject").fill_null(subjects).to_numpy()[order].astype(np.int64)
+        self.h = profiles.column("profile").to_numpy()[order]
+
+    def __call__(self, token: str) -> int:
+        k = _kind(token)
+        return self.known.get(k, -1) if k else -2
+
+    def weights(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each sentence with a firm term and each component: sentence, its text, its words, component, weight."""
+        ids, of, sentence = numbered(texts, self)
+        size = self.size
+        long = np.bincount(sentence, weights=ids != 0, minlength=1)  # numbers aren't words
+        text = np.zeros(len(long), np.int64)
+        text[sentence] = of
+        near = np.flatnonzero((sentence[1:] == sentence[:-1]) & (ids[1:] >= 0) & (ids[:-1] >= 0)) if len(ids) else np.zeros(0, np.int64)
+        single = np.flatnonzero(ids >= 0)
+        term = np.concatenate([ids[single] * (size + 1), ids[near] * (size + 1) + ids[near + 1] + 1])
+        place = np.concatenate([sentence[single], sentence[near]])
+        at = np.searchsorted(self.codes, term)
+        hit = np.flatnonzero((at < len(self.codes)) & (self.codes[np.minimum(at, max(len(self.codes) - 1, 0))] == term)) if len(self.codes) else np.zeros(0, np.int64)
+        at, place = at[hit], place[hit]
+        reps = self.many[at]
+        cell = np.repeat(np.arange(len(at)), reps)
+        start = np.cumsum(reps) - reps
+        entry = self.first[at][cell] + np.arange(len(cell)) - start[cell]
+        comp, h = self.comp[entry], self.h[entry]
+        pairs, w_at = np.unique(place[cell] * (self.free + 1) + comp, return_inverse=True)
+        w = np.ones(len(pairs))
+        for _ in range(self.m.folds if len(cell) else 0):
+            r = w[w_at] * h
+            r /= np.add.reduceat(r, start)[cell]
+            w = np.bincount(w_at, weights=r, minlength=len(pairs))
+        s = pairs // (self.free + 1)
+        return s, text[s], long[s], pairs % (self.free + 1), w
+
+    def tally(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, subject and sentences of each subject of each text."""
+        s, text, long, comp, w = self.weights(texts)
+        own = comp < self.free
+        s, text, long, comp, w = s[own], text[own], long[own], comp[own], w[own]
+        if not len(s):
+            return (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((comp, -w, s))
+        lead = order[np.flatnonzero(np.diff(s[order], prepend=-1))]
+        whole = np.bincount(s, weights=w)[s[lead]]
+        deals = lead[(w[lead] >= self.m.least) & (2 * w[lead] > whole) & (long[lead] >= self.m.words)]
+        pairs, n = np.unique(text[deals] * self.free + comp[deals], return_counts=True)
+        return pairs // self.free, pairs % self.free, n
+
+
+def profiles_of(docs: DataFrame, id_col: str, text_col: str, given: DataFrame, subjects: int, m: Model) -> DataFrame:
+    """The profiles as a table; ``given``: ``__ls_id``, labels ARRAY<INT>."""
+    chosen = given.orderBy(F.xxhash64("__ls_id"), "__ls_id").limit(m.sample) if m.sample else given
+    rows = docs.select(F.col(id_col).alias("__ls_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__ls_id")
+    rows = rows.groupBy("__ls_id").agg(F.max("text").alias("text"), F.max("labels").alias("labels"))
+
+    def kernel(t: pa.Table) -> pa.Table:
+        order = np.argsort(np.array(t.column("__ls_h").to_pylist()), kind="stable")
+        t = t.take(pa.array(order))
+        return fit(t.column("text").to_pylist(), t.column("labels").to_pylist(), subjects, m)
+
+    one = rows.select("text", "labels", F.xxhash64("__ls_id").alias("__ls_h"), F.lit(0).alias("__ls_one"))
+    return one.groupBy("__ls_one").applyInArrow(kernel, PROFILE)
 
 
 def subject_areas(docs: DataFrame, id_col: str, text_col: str, areas: DataFrame, labels: DataFrame, m: Model = Model()) -> DataFrame:
@@ -249,23 +275,32 @@ def subject_areas(docs: DataFrame, id_col: str, text_col: str, areas: DataFrame,
 
     ``areas``: subject; ``labels``: ``id_col``, subject. Labels given twice count once; labels of unknown
     subjects or documents count nothing. Null, empty and blank texts have no subject; without any
-    labels no document has one. The list of subjects is read by the driver (a thousand at most).
+    labels no document has one. A repeated row is one document; rows of one id with different texts each have
+    their own subjects.
     """
-    names = sorted(r[0] for r in areas.select("subject").where("subject IS NOT NULL").distinct().limit(1001).collect())
-    if len(names) > 1000:
-        raise ValueError("more than 1000 subjects")
-    schema = docs.select(F.col(id_col), F.lit("").alias("subject"), F.lit(0.0).alias("share")).where(F.lit(False))
-    number = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))]) if names else None
-    if number is None:
-        return schema
-    given = labels.select(F.col(id_col).alias("__ls_id"), number[F.col("subject")].alias("k")).dropna().distinct()
-    given = given.groupBy("__ls_id").agg(F.array_sort(F.collect_set("k")).alias("labels"))
-    rows = document_terms(docs, id_col, text_col, m)
-    rows = durable(rows.join(given, rows[id_col] == given["__ls_id"], "left").select("at", "n", "labels"))
-    # A pass hands on one set of profiles a task: no more tasks than keep the cores busy.
-    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
-    if rows.where("labels IS NOT NULL").isEmpty():
-        return schema
-    firmness = fit(rows, len(names), m)
-    found = assign(docs, id_col, text_col, firmness, names, m)
-    return found.where(F.col("sentences") >= m.share * F.col("of")).select(id_col, "subject", (F.col("sentences") / F.col("of")).alias("share")).distinct()
+    names = areas.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject").toArrow().column("subject").to_pylist()
+    subject = docs.sparkSession.createDataFrame(list(enumerate(names)), "k int, subject string") if names else None
+    if subject is None:
+        return docs.select(F.col(id_col), F.lit("").alias("subject"), F.lit(0.0).alias("share")).where(F.lit(False))
+    given = labels.select(F.col(id_col).alias("__ls_id"), "subject").dropna().join(subject, "subject")
+    given = durable(given.groupBy("__ls_id").agg(F.array_sort(F.collect_set("k")).alias("labels")))
+    profiles = profiles_of(docs, id_col, text_col, given, len(names), m).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(profiles.to_pydict())
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType())])
+    label, count = pa.array(names), len(names)
+    plan = pa.schema([("word", pa.string()), ("next", pa.string()), ("subject", pa.int32()), ("profile", pa.float64()), ("firmness", pa.float64())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = None
+        for b in batches:
+            folder = folder or Folder(pa.table(sent.value, schema=plan), count, m)
+            for at in range(0, b.num_rows, m.slice):
+                part = b.slice(at, m.slice)
+                text, k, n = folder.tally(part.column(1).to_pylist())
+                share = n / np.maximum(np.bincount(text, weights=n, minlength=1)[text], 1) if len(n) else np.zeros(0)
+                keep = np.flatnonzero(share >= m.share)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[keep])), label.take(pa.array(k[keep])), pa.array(share[keep])], names=schema.names)
+
+    found = docs.select(F.col(id_col), F.col(text_col).alias("__ls_text")).where("__ls_text IS NOT NULL").mapInArrow(kernel, schema)
+    return found.distinct()
