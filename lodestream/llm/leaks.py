@@ -233,11 +233,11 @@ def stretches(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame, i
     """``__ls_row`` (a row of the corpus), ``id_col``, ``item_col``, alike, wrong, longest, first, last: the best stretch that each
     document shares with each item, of all that share a fingerprint."""
     rows = items.select(F.col(item_col).alias("__ls_item"), F.col(passage_col).alias("__ls_passage")).dropna().distinct()
-    own = durable(prints(rows, "__ls_passage", ["__ls_item"])).where("size(codes) > 0").withColumn("__ls_no", F.monotonically_increasing_id())
+    own = durable(prints(rows, "__ls_passage", ["__ls_item"]).where("size(codes) > 0").withColumn("__ls_no", F.monotonically_increasing_id()))
     fingerprint = durable(own.select("__ls_no", F.explode(F.arrays_zip("h", "at")).alias("x")).select("__ls_no", F.col("x.h").alias("h"), F.col("x.at").alias("p")))
     bitmap, bits = _bitmap(fingerprint, fingerprint.count())
     texts = corpus.select(F.col(id_col).alias("__ls_id"), F.col(text_col).alias("__ls_text")).where("__ls_text IS NOT NULL")
-    docs = durable(prints(texts, "__ls_text", ["__ls_id"], bitmap, bits)).withColumn("__ls_row", F.monotonically_increasing_id())
+    docs = durable(prints(texts, "__ls_text", ["__ls_id"], bitmap, bits).withColumn("__ls_row", F.monotonically_increasing_id()))
 
     # Hits. A fingerprint of many passages is split by passage, and the documents' hits go to every part.
     parts = fingerprint.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / SHARED_PART).cast("int").alias("parts"))

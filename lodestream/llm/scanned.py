@@ -44,6 +44,12 @@ NUMBER = r"(?:[\dlIOo]*\d[\dlIOo]*|[lI])"
 PAGE_NUMBER = rf"(?i)^\s*(?:{NUMBER}|[ivxl]+|\[\s*{NUMBER}\s*\]|[-–—]\s*{NUMBER}\s*[-–—]|p\w{{3}}\s+{NUMBER}(?:\s+of\s+{NUMBER})?|{NUMBER}\s*(?:/|of)\s*{NUMBER}|{NUMBER}\s*\|\s*\w\s?\w\s?\w\s?\w)\s*$"
 # Of these the forms that are page numbers wherever they stand.
 SURE_NUMBER = rf"(?i)^\s*(?:\[\s*{NUMBER}\s*\]|[-–—]\s*{NUMBER}\s*[-–—]|p\w{{3}}\s+{NUMBER}(?:\s+of\s+{NUMBER})?)\s*$"
+# A whole number of digits and letters read for digits.
+NUMERIC = r"^(?=.*\p{Nd})[0-9loisb]+$"
+# The parts of words that a line end may have cut.
+CUT_END, CUT_START = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){LETTERED}[{HYPHENS}][\s]*$", rf"^\s*{LETTERED}"
+#: Stands between a joined word and what is known of it.
+MARK = "\u0001"
 INVISIBLE = "[\\u200b-\\u200f\\u2060\\ufeff]"
 SENTENCE_END = r"[.!?।;:,]['\")\]»”]*\s*$"
 #: Blocks of a document whose lines are put in order together.
@@ -135,23 +141,24 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     b = blocks.select("doc_id", "block_id", "block_no", "page", "kind", "text", "size", F.coalesce("ocr", F.lit(False)).alias("ocr"))
     b = b.dropna(subset=["block_id", "text"]).dropDuplicates().withColumn("text", F.regexp_replace("text", INVISIBLE, ""))
     chars = F.length("text")
+    single = (F.col("kind") == "text") & ~F.trim("text").contains("\n") & (chars <= limits.longest)
+    b = durable(b.withColumn("single", single).withColumn("form", F.when(F.col("single"), _masked("text"))))
     sizes = b.where("kind = 'text' AND size IS NOT NULL").groupBy("doc_id", "size").agg(F.sum(chars).alias("chars"))
-    body = sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", "size")).alias("body"))
+    sizes = durable(sizes)
+    body = small(durable(sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", "size")).alias("body")).dropna()))
     usual = sizes.groupBy("size").agg(F.sum("chars").alias("chars")).agg(F.max_by("size", F.struct("chars", "size")).alias("usual"))
-    single = (F.col("kind") == "text") & ~F.trim("text").contains("\n") & (chars <= limits.longest)
-    b = b.withColumn("single", single).withColumn("form", F.when(F.col("single"), _masked("text")))
     headers = b.where(F.col("single") & ~F.col("text").rlike(SENTENCE_END)).groupBy("doc_id", "form").agg(F.countDistinct("page").alias("pages"))
-    headers = headers.where(F.col("pages") >= limits.pages).select(F.col("doc_id").alias("h_doc"), F.col("form").alias("h_form"))
+    headers = small(durable(headers.where(F.col("pages") >= limits.pages).select(F.col("doc_id").alias("h_doc"), F.col("form").alias("h_form"))))
     b = b.join(body, "doc_id", "left").crossJoin(usual)  # one row
     b = b.join(headers, F.col("doc_id").eqNullSafe(F.col("h_doc")) & (F.col("form") == F.col("h_form")), "left")
-    small = F.col("size") < limits.small * F.greatest(F.coalesce("body", "usual"), F.col("usual"))
-    whole = F.col("single") & (F.col("text").rlike(PAGE_NUMBER) | F.coalesce(small, F.lit(False)) | F.col("h_form").isNotNull())
-    b = durable(b.withColumn("whole", F.coalesce(whole, F.lit(False))).select("doc_id", "block_id", "block_no", "page", "kind", "ocr", "text", "form", "whole"))
+    tiny = F.col("size") < limits.small * F.greatest(F.coalesce("body", "usual"), F.col("usual"))
+    whole = F.col("single") & (F.col("text").rlike(PAGE_NUMBER) | F.coalesce(tiny, F.lit(False)) | F.col("h_form").isNotNull())
+    b = b.withColumn("whole", F.coalesce(whole, F.lit(False))).select("doc_id", "block_id", "block_no", "page", "kind", "ocr", "text", "form", "whole")
 
-    found = b.where("whole").withColumn("template", _template("text"))
-    local = found.select(F.col("doc_id").alias("l_doc"), F.col("form").alias("l_form")).where("l_form <> ''").distinct()
+    found = durable(b.where("whole").withColumn("template", _template("text")).groupBy("doc_id", "form", "template").agg(F.count(F.lit(1)).alias("n")))
+    local = small(durable(found.select(F.col("doc_id").alias("l_doc"), F.col("form").alias("l_form")).where("l_form <> ''").distinct()))
     known = found.where(F.length("template") > 3).groupBy("template").agg(F.countDistinct("doc_id").alias("n"))
-    known = known.where(F.col("n") >= limits.documents).select(F.col("template").alias("k_form"))
+    known = small(durable(known.where(F.col("n") >= limits.documents).select(F.col("template").alias("k_form"))))
     lines = b.select("doc_id", "block_id", "block_no", "page", "kind", "ocr", "whole", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.size(F.split("text", "\n")).alias("of"))
     inner = (F.col("kind") == "text") & (F.col("of") > 1) & ~F.col("whole") & ~F.col("line").rlike(SENTENCE_END) & (F.length("line") <= limits.longest)
     lines = lines.withColumn("form", F.when(inner, _masked("line"))).withColumn("template", F.when(inner, _template("line")))
@@ -161,24 +168,27 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     within = (F.col("at") > 0) & (F.col("at") < F.col("of") - 1)
     bare = F.when(inner & ~within & F.col("line").rlike(rf"^\s*{NUMBER}\s*$"), F.translate(F.trim("line"), "lIOo", "1100"))
     lines = lines.withColumn("ahead", F.when(F.length(bare) <= 5, bare.try_cast("int") - F.col("page")))
+    numbered = inner & ((F.col("line").rlike(PAGE_NUMBER) & within) | F.col("line").rlike(SURE_NUMBER))
+    furniture = F.col("whole") | numbered | F.col("l_form").isNotNull() | F.col("k_form").isNotNull()
+    tail = F.regexp_extract("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}])({LETTERED})[{HYPHENS}][\s]*$", 1)
+    lines = lines.withColumn("furniture", F.coalesce(furniture, F.lit(False)))
+    lines = lines.withColumn("tail", F.when(tail != "", tail)).withColumn("start", F.regexp_extract("line", rf"^\s*({LETTERED})", 1))
+    lines = durable(lines.select("doc_id", "block_id", "block_no", "page", "kind", "ocr", "at", "line", "whole", "furniture", "ahead", "tail", "start"))
     counted = lines.where("ahead IS NOT NULL").groupBy("doc_id", "ahead").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= limits.running)
-    counted = counted.select(F.col("doc_id").alias("c_doc"), F.col("ahead").alias("c_ahead"))
+    counted = small(durable(counted.select(F.col("doc_id").alias("c_doc"), F.col("ahead").alias("c_ahead"))))
     lines = lines.join(counted, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("ahead") == F.col("c_ahead")), "left")
-    number = inner & ((F.col("line").rlike(PAGE_NUMBER) & within) | F.col("line").rlike(SURE_NUMBER) | F.col("c_ahead").isNotNull())
-    furniture = F.col("whole") | number | F.col("l_form").isNotNull() | F.col("k_form").isNotNull()
-    lines = lines.withColumn("furniture", F.coalesce(furniture, F.lit(False)))
+    lines = lines.withColumn("furniture", F.col("furniture") | F.col("c_ahead").isNotNull())
 
     running = (F.col("kind") == "text") & ~F.col("furniture") & (F.trim("line") != "")
     lines = lines.withColumn("running", running)
-    tail = F.regexp_extract("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}])({LETTERED})[{HYPHENS}][\s]*$", 1)
-    text = lines.where("running").withColumn("tail", F.when(tail != "", tail))
-    text = text.withColumn("begin", F.struct(F.regexp_extract("line", rf"^\s*({LETTERED})", 1).alias("head"), "block_id", "at"))
+    text = lines.where("running").withColumn("begin", F.struct(F.col("start").alias("head"), "block_id", "at"))
     text = text.withColumn("shard", F.floor(F.coalesce("block_no", F.lit(0)) / SHARD)).withColumn("place", F.struct("block_no", "block_id", "at"))
     # The order of a long document is kept in shards; their first and last lines link them.
-    links = text.groupBy("doc_id", "shard").agg(F.min_by("begin", "place").alias("first"), F.max_by(F.col("tail").isNotNull(), "place").alias("open"))
+    long = small(durable(text.where("shard > 0").select(F.col("doc_id").alias("s_doc")).distinct()))
+    links = text.join(long, F.col("doc_id").eqNullSafe(F.col("s_doc")), "left_semi").groupBy("doc_id", "shard").agg(F.min_by("begin", "place").alias("first"), F.max_by(F.col("tail").isNotNull(), "place").alias("open"))
     over = Window.partitionBy("doc_id").orderBy("shard")
     links = links.select(F.col("doc_id").alias("n_doc"), F.col("shard").alias("n_shard"), F.lead("first").over(over).alias("after"), F.lag("open").over(over).alias("before"))
-    text = text.join(links, F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("shard") == F.col("n_shard")))
+    text = text.join(small(durable(links)), F.col("doc_id").eqNullSafe(F.col("n_doc")) & (F.col("shard") == F.col("n_shard")), "left")
     order = Window.partitionBy("doc_id", "shard").orderBy("place")
     following = F.coalesce(F.lead("begin").over(order), F.col("after"))
     text = text.withColumn("next", F.when(F.col("tail").isNotNull(), following))
@@ -192,8 +202,8 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def _inside() -> Column:
     """The line without the parts of words that a line end may have cut."""
-    c = F.when(F.col("tail").isNotNull(), F.regexp_replace("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){LETTERED}[{HYPHENS}][\s]*$", "")).otherwise(F.col("line"))
-    return F.when(F.col("last_head"), F.regexp_replace(c, rf"^\s*{LETTERED}", "")).otherwise(c)
+    c = F.when(F.col("tail").isNotNull(), F.regexp_replace("line", CUT_END, "")).otherwise(F.col("line"))
+    return F.when(F.col("last_head"), F.regexp_replace(c, CUT_START, "")).otherwise(c)
 
 
 def cut_words(lines: DataFrame) -> DataFrame:
@@ -220,37 +230,43 @@ def _eaten(ends: DataFrame) -> DataFrame:
 
 
 def own_words(lines: DataFrame, ends: DataFrame) -> DataFrame:
-    """Lines of the documents' own text as words: block_id, ocr, ws; where the last word was joined over the line's end also
-    other (the block its second part is in) and cut (length of the first part)."""
-    own = lines.where(~F.col("furniture"))
-    marks = ends.where("broken").select("block_id", "at", "joined", F.length("tail").alias("cut"))
-    joined = own.join(marks, ["block_id", "at"], "left")
-    joined = joined.join(_eaten(ends.where("broken")), ["block_id", "at"], "left")
-    text = F.when(F.col("joined").isNotNull(), F.regexp_replace("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){LETTERED}[{HYPHENS}][\s]*$", "")).otherwise(F.col("line"))
-    text = F.when(F.col("eaten").isNotNull(), F.regexp_replace(text, rf"^\s*{LETTERED}", "")).otherwise(text)
+    """Blocks of the documents' own text as words in small letters: block_id, ocr, ws. A word joined over a line's end carries,
+    after ``MARK``, the length of its first part and the block that its second part is in."""
+    own = lines.where(~F.col("furniture")).select("block_id", "ocr", "at", "line")
+    marks = ends.where("broken").select("block_id", "at", F.concat_ws(MARK, "joined", F.length("tail").cast("string"), F.coalesce("next_block", F.lit(""))).alias("joined"))
+    joined = own.join(small(marks), ["block_id", "at"], "left").join(small(_eaten(ends.where("broken"))), ["block_id", "at"], "left")
+    text = F.when(F.col("joined").isNotNull(), F.regexp_replace("line", CUT_END, "")).otherwise(F.col("line"))
+    text = F.when(F.col("eaten").isNotNull(), F.regexp_replace(text, CUT_START, "")).otherwise(text)
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"({WORD})"))
     found = F.when(F.col("joined").isNotNull(), F.concat(found, F.array("joined"))).otherwise(found)
-    other = F.when(F.col("joined").isNotNull(), F.col("next_block"))
-    return joined.select("block_id", "ocr", found.alias("ws"), other.alias("other"), "cut")
+    whole = joined.groupBy("block_id", "ocr").agg(F.array_sort(F.collect_list(F.struct("at", found.alias("ws")))).alias("x"))
+    return whole.select("block_id", "ocr", F.flatten("x.ws").alias("ws")).where("size(ws) > 0")
+
+
+def _word(c: Column) -> Column:
+    return F.substring_index(c, MARK, 1)
 
 
 def occurrences(listed: DataFrame) -> DataFrame:
-    """Each word of own_words with its neighbours: block_id, ocr, w, last, next, other, cut."""
-    each = listed.select("block_id", "ocr", "other", "cut", "ws", F.posexplode("ws").alias("i", "w"))
-    at_end = F.col("i") == F.size("ws") - 1
-    return each.select(
-        "block_id", "ocr", "w", F.get("ws", F.col("i") - 1).alias("last"), F.get("ws", F.col("i") + 1).alias("next"),
-        F.when(at_end, F.col("other")).alias("other"), F.when(at_end, F.col("cut")).alias("cut"),
-    )
-
-
-def misreadings(words: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``w``, ``fix``, ``d`` (place of the first difference): forms that are misreadings. ``words`` as from occurrences."""
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ocr")).alias("digital"))
-    counts = counts.where(~F.col("w").rlike(r"^\p{N}+$"))
-    counts = durable(counts)
+    """Each word of own_words with its neighbours: block_id, ocr, raw (with its mark), w, last, next."""
+    n = F.size("ws")
+    last, following = F.concat(F.array(F.lit(None)), F.slice("ws", 1, n - 1)), F.concat(F.slice("ws", 2, n), F.array(F.lit(None)))
+    each = listed.select("block_id", "ocr", F.explode(F.arrays_zip(F.col("ws").alias("w"), last.alias("l"), following.alias("f"))).alias("x"))
+    return each.select("block_id", "ocr", F.col("x.w").alias("raw"), _word(F.col("x.w")).alias("w"), _word(F.col("x.l")).alias("last"), _word(F.col("x.f")).alias("next"))
+
+
+def _beside(c: Column) -> Column:
+    """What a neighbour counts as: any number is one, and words that can be misread as one another are one."""
+    return F.when(c.rlike(NUMERIC), "#").otherwise(_glyphs(c))
+
+
+def candidates(listed: DataFrame, limits: Limits) -> DataFrame:
+    """``w``, ``fix``, ``n`` (of the fix), ``d`` (confusions), ``sort`` (what the fix counts as): forms that can be misreadings of much
+    more frequent forms of their skeleton, and numbers in which letters may stand for digits."""
+    each = listed.select("ocr", F.explode("ws").alias("w")).select("ocr", _word(F.col("w")).alias("w"))
+    counts = durable(each.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ocr")).alias("digital")))
     slots = max(SLOTS, counts.count() // SLOT_WORDS)
-    counts = counts.withColumn("slot", F.pmod(F.xxhash64(_glyphs(F.col("w"))), F.lit(slots)))
+    slotted = counts.withColumn("slot", F.pmod(F.xxhash64(_glyphs(F.col("w"))), F.lit(slots)))
 
     def match(t: pa.Table) -> pa.Table:
         by_skeleton: dict[str, list[tuple[int, int, str]]] = {}
@@ -260,6 +276,8 @@ def misreadings(words: DataFrame, limits: Limits = Limits()) -> DataFrame:
         for group in by_skeleton.values():
             group.sort(reverse=True)
             for n, digital, w in group[1:]:
+                if w.isdigit():  # another number is no misreading
+                    continue
                 for n2, _, c in group:
                     if n2 < n * (limits.firm if digital else limits.rarer):
                         break
@@ -268,37 +286,59 @@ def misreadings(words: DataFrame, limits: Limits = Limits()) -> DataFrame:
                         out.append((w, c, n2, d))
         return pa.table({"w": pa.array([x[0] for x in out], pa.string()), "fix": pa.array([x[1] for x in out], pa.string()), "n": pa.array([x[2] for x in out], pa.int64()), "d": pa.array([x[3] for x in out], pa.int32())})
 
-    pairs = durable(counts.groupBy("slot").applyInArrow(match, "w string, fix string, n long, d int"))
-    # Context: how often each proposal stands beside a neighbour of the misread form.
-    several = small(durable(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w")))
-    sides = [words.select("w", F.col(c).alias("by"), F.lit(c).alias("side")) for c in ("last", "next")]
-    beside = sides[0].unionByName(sides[1]).where("by IS NOT NULL")
-    seen = beside.join(several, "w").groupBy("w", "by", "side").agg(F.count(F.lit(1)).alias("k"))
-    asked = durable(pairs.join(several, "w").select("w", "fix").join(seen, "w").select("w", "fix", "by", "side"))
-    wanted = small(durable(asked.select("fix", "by", "side").distinct()))
-    stands = beside.withColumnRenamed("w", "fix").join(wanted, ["fix", "by", "side"]).groupBy("fix", "by", "side").agg(F.count(F.lit(1)).alias("s"))
-    support = asked.join(stands, ["fix", "by", "side"])
-    support = support.groupBy("w", "fix").agg(F.sum("s").alias("s"))
-    ranked = pairs.join(support, ["w", "fix"], "left").fillna(0, ["s"])
-    best = ranked.groupBy("w").agg(F.max_by("fix", F.struct("s", -F.col("d"), "n", "fix")).alias("fix"))
-    numbers = counts_of_numbers(words)
-    place = F.aggregate(F.sequence(F.lit(1), F.least(F.length("w"), F.length("fix"))), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.substr("w", F.lit(1), i) == F.substr("fix", F.lit(1), i)), i).otherwise(acc))
-    return best.unionByName(numbers.join(best.select("w"), "w", "left_anti")).withColumn("d", place)
+    words = slotted.groupBy("slot").applyInArrow(match, "w string, fix string, n long, d int").withColumn("sort", F.col("fix"))
 
+    # Numbers: supported as a number, and not in a shape (a decade, a unit, a formula) that digital pages have too.
+    shape = F.regexp_replace("w", r"\p{N}+", "#")
+    mixed = counts.where(F.col("w").rlike(NUMERIC) & ~F.col("w").rlike(r"^\p{N}+$")).withColumn("shape", shape)
+    printed = counts.where(F.col("w").rlike(r"\p{N}") & (F.col("digital") > 0) & F.col("w").rlike(r"\p{L}")).select(shape.alias("shape")).distinct()
+    numbers = mixed.where("digital = 0").join(printed, "shape", "left_anti").select("w", "shape", F.translate("w", "loisb", "10158").alias("fix"))
+    known = counts.where(F.col("w").rlike(r"^\p{N}+$")).select(F.col("w").alias("fix"), "n")
+    numbers = numbers.join(known, "fix", "left").fillna(0, ["n"])
+    # Letters behind digits are mostly units, those before them names: only for a number that is there elsewhere.
+    numbers = numbers.where(~F.col("shape").rlike("^#[a-z]+$|^[a-km-z][a-z]*#$") | (F.col("n") > 0))
+    numbers = numbers.select("w", "fix", "n", (F.length(F.regexp_replace("w", r"\p{N}", ""))).alias("d"), F.lit("#").alias("sort"))
+    return words.unionByName(numbers)
 
-def counts_of_numbers(words: DataFrame) -> DataFrame:
-    """Numbers of which a digit was read as a letter; a formula (letters, then digits) is none."""
-    mixed = r"^(?=.*\p{Nd})(?=.*[a-z])[0-9loisb]+$"
-    found = words.where(F.col("w").rlike(mixed) & F.col("ocr") & (~F.col("w").rlike(r"^[^l\p{Nd}][a-z]*\p{Nd}+$")) & (F.length("w") > 1))
-    return found.select("w", F.translate("w", "loisb", "10158").alias("fix")).distinct()
+
+def misreadings(listed: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The words of scanned blocks that are misreadings: block_id, w, fix, place (of the first difference), cut and other (of joined words).
+
+    A word is only changed where its neighbours support the change: on each side that has one, the fix stands beside
+    such a neighbour somewhere else. Of several fixes the best supported is taken, then the nearest, then the most frequent.
+    """
+    pairs = durable(candidates(listed, limits))
+    asked, sorts = small(durable(pairs.select("w").distinct())), small(durable(pairs.select(F.col("sort").alias("w")).distinct()))
+    each = occurrences(listed)
+    met = each.where("ocr").join(asked, "w").select("block_id", "raw", "w", _beside(F.col("last")).alias("l"), _beside(F.col("next")).alias("f"))
+    met = durable(met.groupBy("block_id", "raw", "w", "l", "f").agg(F.count(F.lit(1)).alias("times")))
+    told = each.withColumn("w", F.when(F.col("w").rlike(r"^\p{N}+$"), "#").otherwise(F.col("w"))).join(sorts, "w")
+    told = told.groupBy("w", "last", "next").agg(F.count(F.lit(1)).alias("s"))
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("last").alias("by")), F.struct(F.lit("f").alias("side"), F.col("next").alias("by"))))
+    told = told.select(F.col("w").alias("sort"), "s", sides.alias("x")).where("x.by IS NOT NULL").groupBy("sort", "x.side", _beside(F.col("x.by")).alias("by")).agg(F.sum("s").alias("s"))
+    asks = met.join(pairs, "w").withColumn("no", F.xxhash64("block_id", "raw", "l", "f"))
+    wanted = asks.select("sort", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("by")), F.struct(F.lit("f").alias("side"), F.col("f").alias("by")))).alias("x")).select("sort", "x.side", "x.by").where("by IS NOT NULL").distinct()
+    support = small(durable(told.join(wanted, ["sort", "side", "by"], "left_semi")))
+    for side in ("l", "f"):
+        one = support.where(F.col("side") == side).select("sort", F.col("by").alias(side), F.col("s").alias(f"s_{side}"))
+        asks = asks.join(one, ["sort", side], "left")
+    held = lambda side: F.col(side).isNull() | F.col(f"s_{side}").isNotNull()
+    # Digits among letters are no word of anyone's, so there the one side is enough.
+    odd = F.col("w").rlike(r"\p{N}") & (F.col("sort") != "#")
+    either = F.col("s_l").isNotNull() | F.col("s_f").isNotNull()
+    kept = asks.where(either & (odd | (held("l") & held("f"))))
+    total = F.coalesce("s_l", F.lit(0)) + F.coalesce("s_f", F.lit(0))
+    best = kept.groupBy("block_id", "raw", "w").agg(F.max_by("fix", F.struct(total, -F.col("d"), "n", "fix")).alias("fix"))
+    place = F.aggregate(F.sequence(F.lit(1), F.least(F.length("w"), F.length("fix"))), F.lit(0), lambda acc, i: F.when((acc == i - 1) & (F.substr("w", F.lit(1), i) == F.substr("fix", F.lit(1), i)), i).otherwise(acc))
+    mark = F.split("raw", MARK)
+    return best.select("block_id", "w", "fix", place.alias("place"), F.get(mark, F.lit(1)).try_cast("int").alias("cut"), F.nullif(F.get(mark, F.lit(2)), F.lit("")).alias("other"))
 
 
-def analyse(blocks: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Lines, line ends with a hyphen, words and misreadings of all blocks."""
+def analyse(blocks: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines, line ends with a hyphen and misreadings of all blocks."""
     lines = durable(own_lines(blocks, limits))
     ends = durable(cut_words(lines))
-    words = occurrences(durable(own_words(lines, ends)))
-    return lines, ends, words, durable(misreadings(words, limits))
+    return lines, ends, durable(misreadings(durable(own_words(lines, ends)), limits))
 
 
 def defects(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -307,14 +347,13 @@ def defects(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     A block that is furniture as a whole has that row only. A word broken across blocks counts for the block
     it begins in; its misread characters for the block they stand in.
     """
-    lines, ends, words, fixes = analyse(blocks, limits)
+    lines, ends, fixes = analyse(blocks, limits)
     scans = lines.where("ocr")
     furniture = scans.where("furniture").select("block_id", F.lit("furniture").alias("defect"))
     own = scans.where("NOT whole").select("block_id", "at")
     hyphen = ends.where("broken").join(own, ["block_id", "at"], "left_semi").select("block_id", F.lit("hyphen").alias("defect"))
-    hit = words.where("ocr").join(small(fixes), "w")
-    where = F.when(F.col("other").isNotNull() & (F.col("d") >= F.col("cut")), F.col("other")).otherwise(F.col("block_id"))
-    misread = hit.select(where.alias("block_id"), F.lit("misread").alias("defect"))
+    where = F.when(F.col("other").isNotNull() & (F.col("place") >= F.col("cut")), F.col("other")).otherwise(F.col("block_id"))
+    misread = fixes.select(where.alias("block_id"), F.lit("misread").alias("defect"))
     return furniture.unionByName(hyphen).unionByName(misread).distinct()
 
 
@@ -325,7 +364,7 @@ def paragraphs(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     from the text block before it (whatever furniture lay between) where that one ends within a sentence and
     it begins with a small letter. Tables and headings keep their lines.
     """
-    lines, ends, _, fixes = analyse(blocks, limits)
+    lines, ends, fixes = analyse(blocks, limits)
     own = lines.where(~F.col("furniture"))
     marks = ends.select("block_id", "at", "broken")
     own = own.join(marks, ["block_id", "at"], "left")
@@ -333,10 +372,11 @@ def paragraphs(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     own = own.withColumn("joins", joins).join(_eaten(ends.where("head <> ''")), ["block_id", "at"], "left")
     bare = F.regexp_replace("line", rf"[{HYPHENS}][\s]*$", "")
     text = F.when(F.col("joins"), F.concat(bare, F.when(F.col("broken"), "").otherwise("-"), "head")).otherwise(F.col("line"))
-    text = F.when(F.col("eaten").isNotNull(), F.regexp_replace(text, rf"^\s*{LETTERED}", "")).otherwise(text)
+    text = F.when(F.col("eaten").isNotNull(), F.regexp_replace(text, CUT_START, "")).otherwise(text)
     own = own.withColumn("text", text)
     cut = own.select("block_id", "at", "ocr", F.posexplode(F.regexp_extract_all("text", F.lit(rf"({WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+)"))).alias("i", "piece"))
-    fixed = cut.withColumn("w", F.when(F.col("ocr"), F.lower("piece"))).join(small(fixes).select("w", "fix"), "w", "left")
+    each = small(fixes.groupBy("block_id", "w").agg(F.min("fix").alias("fix")))
+    fixed = cut.withColumn("w", F.when(F.col("ocr"), F.lower("piece"))).join(each, ["block_id", "w"], "left")
     capital = F.col("piece").rlike(r"^\p{Lu}")
     shaped = F.when(F.col("piece").rlike(r"^\p{Lu}{2,}"), F.upper("fix")).when(capital, F.concat(F.upper(F.substring("fix", 1, 1)), F.expr("substring(fix, 2)"))).otherwise(F.col("fix"))
     fixed = fixed.select("block_id", "at", F.struct("i", F.when(F.col("fix").isNotNull(), shaped).otherwise(F.col("piece")).alias("p")).alias("p"))

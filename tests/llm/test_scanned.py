@@ -78,3 +78,38 @@ def test_page_numbers_at_the_ends_of_blocks(spark):
     got = {(r.block_id, r.line) for r in S.own_lines(b).where("furniture").collect()}
     assert got == {("s0", "[ 4 ]"), ("s1", "Page 4 of 9"), ("s2", "- 5 -"), ("s4", "6"), ("s5", "7"), ("s6", "8"), ("s7", "9")}
     assert not any("Page" in r.text or "[" in r.text for r in S.paragraphs(b).where("doc_id = 's'").collect())
+
+
+def fixed(spark, lines, digital=()):
+    """What becomes of scanned lines beside digital ones: the scanned texts."""
+    b = [(f"v{k}", f"v{k}", 1, 0, "text", t, 10.0, False, "x") for k, t in enumerate(digital)] + [(f"s{k:03d}", f"s{k}", 1, 0, "text", t, 10.0, True, "x") for k, t in enumerate(lines)]
+    df = spark.createDataFrame(b, SCHEMA)
+    return [r.text for r in S.paragraphs(df).where("doc_id LIKE 's%'").orderBy("first_block").collect()], {r.block_id for r in S.defects(df).where("defect = 'misread'").collect()}
+
+
+def test_decades_units_and_formulas_stay(spark):
+    line = "In the 90s and the 1990s rose by 5s per unit and 10b more, with so2 and b12."
+    texts, found = fixed(spark, [line] + ["Boxes 905, 55 and 108 were seen."] * 9)
+    assert texts[0] == line and not found
+    line = "It rose in the 80s near the gate."
+    texts, found = fixed(spark, [line], ["It rose in the 805 near the gate.", "A look at the 60s shows more."] * 10)
+    assert texts == [line] and not found
+
+
+def test_numbers_with_letters_for_digits_are_mended_where_supported(spark):
+    texts, found = fixed(spark, ["It rose by l7 per cent in 2o25 at the gate.", "About l7 of them."], [f"It rose by {k} per cent in 20{k} at the gate." for k in range(18, 30)])
+    assert texts == ["It rose by 17 per cent in 2025 at the gate.", "About l7 of them."] and found == {"s000"}
+
+
+# Pairs of true words of one skeleton, the second the rarer one, each beside words of its own.
+REAL = [("modern", "modem"), ("dear", "clear"), ("burn", "bum"), ("corn", "com"), ("form", "farm"), ("hand", "band"), ("cat", "oat"), ("head", "bead"), ("cone", "cane"), ("fire", "tire")]
+
+
+def test_real_words_that_can_be_confused_stay(spark):
+    often = [f"The {a} thing of the town number {k}." for a, _ in REAL for k in range(12)]
+    rare = [f"Plug the {b} into the wall." for _, b in REAL]
+    texts, found = fixed(spark, often + rare)
+    assert texts[len(often) :] == rare and not found
+    misread = [f"The {b} thing of the town." for _, b in REAL]
+    texts, found = fixed(spark, often + misread)
+    assert len(found) >= 8 and len(set(misread) & set(texts)) == len(misread) - len(found)
