@@ -15,6 +15,7 @@ from pyspark.sql.functions import broadcast
 
 
 _OWN: set[str] = set()
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +43,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder, so that a lost executor costs no recomputation upstream."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a table written to the shared folder, so that a lost executor costs no recomputation upstream.
+
+    Unlike a checkpoint the table is compressed, read by column, and its size is known to the planner. It goes
+    with the process.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    _written(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -53,9 +61,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A durable table, with the hint to broadcast it if it was counted to hold ``rows`` rows at most; else joins shuffle it."""
-    return broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = 200_000, size: int = 64 << 20) -> DataFrame:
+    """A durable table or a plain part of one, with the hint to broadcast it if it was counted to hold ``rows`` rows at most and
+    its files hold ``size`` bytes at most; else joins shuffle it."""
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return broadcast(df) if held <= size and df.count() <= rows else df
+
+
+def _written(spark: SparkSession, path: str) -> None:
+    """Remembers a written table, to be removed at the end of the process or by ``release``."""
+    if not _TABLES:
+        atexit.register(release)
+    _TABLES.append((spark, path))
+
+
+def release() -> None:
+    """Removes all tables that this process has cut lineages with; frames read from them can't be used any more."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended: the folder's owner cleans up
+            return
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
