@@ -17,7 +17,7 @@ def listed(rows: DataFrame, cities: DataFrame) -> DataFrame:
     return rows.join(cities.select("city").distinct(), "city", "left_semi")
 
 
-def readings(rows: DataFrame, cities: DataFrame, scale: tuple[int, int]) -> DataFrame:
-    """Rows that are readings: listed city, a date, and an index within the scale."""
+def readings(rows: DataFrame, cities: DataFrame, scale: tuple[int, int], *more: str) -> DataFrame:
+    """Rows that are readings: listed city, a date, and an index within the scale; ``more``: further columns to keep."""
     ok = F.col("board").isNotNull() & F.col("date").isNotNull() & F.col("aqi").between(*scale)
-    return listed(rows.where(ok).select("board", "city", "date", "aqi"), cities)
+    return listed(rows.where(ok).select("board", "city", "date", "aqi", *more), cities)
