@@ -63,8 +63,10 @@ _PLAIN = r"\x21-\x7Eऀ-नप-रलळव-ऻऽ-ॗॠ-ॿ"
 NOT_PLAIN = rf"[^\n {_PLAIN}]"
 #: Whole words that aren't plain; possessive, so that long words cost one scan.
 NOISY = rf"(?<![^{_SPACE}])[{_PLAIN}]*+[^{_SPACE}]++"
-#: Stands in a text for a word that isn't plain; a text's own such character never is in a plain word.
+#: Stands in a text for a word that isn't plain; a text's own such character counts as the control character after it.
 HOLE = "\u0001"
+#: All white space but the blank.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c != " " and (c.isspace() or unicodedata.category(c)[0] == "Z"))
 
 
 @lru_cache(maxsize=100_000)
@@ -257,10 +259,12 @@ def _key(text: Column) -> Column:
 def _other_forms(texts: DataFrame, most: int) -> DataFrame:
     """``key`` (of the text) and ``form`` of the distinct texts (``text``) that aren't plain."""
     other = texts.where(F.col("text").rlike(NOT_PLAIN)).select(_key(F.col("text")).alias("key"), _settled(F.col("text")).alias("t"))
-    other = other.select("key", F.regexp_replace("t", NOISY, HOLE).alias("rest"), F.regexp_extract_all("t", F.lit(NOISY), F.lit(0)).alias("ws"))
-    other = durable(other)
-    words = texts.select(F.explode(F.split("text", rf"[{_SPACE}]+")).alias("word")).where((F.col("word") != "") & ~F.col("word").rlike(NOT_PLAIN))
-    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # One scan marks the words that aren't plain; they stand at the odd places of the parts.
+    marked = F.split(F.regexp_replace(F.translate("t", HOLE, "\u0002"), NOISY, f"{HOLE}$0{HOLE}"), HOLE, -1)
+    other = other.select("key", marked.alias("p"))
+    other = durable(other.select("key", F.array_join(F.filter("p", lambda x, i: i % 2 == 0), HOLE).alias("rest"), F.filter("p", lambda x, i: i % 2 == 1).alias("ws")))
+    words = texts.select(F.explode(F.split(F.translate("text", SPACES, " " * len(SPACES)), " ")).alias("word"))
+    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("word") != "") & ~F.col("word").rlike(NOT_PLAIN))
     chosen = durable(spellings(other.select(F.explode("ws").alias("word")), vocabulary, most))
     # The words of a text come back to it by its key; a text that is there often counts once.
     each = other.select("key", F.posexplode("ws").alias("at", "word")).join(small(chosen), "word")
