@@ -17,12 +17,15 @@ Differences that a reader sees (case, digits, accents, raised digits, punctuatio
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,16 +60,15 @@ def _pairs(listed: str) -> dict[str, list[str]]:
 
 _LIKE, _RESEMBLE = _pairs(LOOK_ALIKES), _pairs(RESEMBLE)
 _OTHER_SCRIPT = {ch for ch in _LIKE if unicodedata.category(ch)[0] == "L" and not unicodedata.name(ch).startswith(("LATIN", "MICRO")) and ch != "μ"}
-_SPACE = r"\s\p{Z}\x1C-\x1F\x85"
 _PLAIN = r"\x21-\x7Eऀ-नप-रलळव-ऻऽ-ॗॠ-ॿ"
 #: Texts that match hold a character that has another form.
 NOT_PLAIN = rf"[^\n {_PLAIN}]"
 #: Whole words that aren't plain; possessive, so that long words cost one scan.
-NOISY = rf"(?<![^{_SPACE}])[{_PLAIN}]*+[^{_SPACE}]++"
-#: Stands in a text for a word that isn't plain; a text's own such character counts as the control character after it.
+NOISY = rf"(?<!\S)[{_PLAIN}]*+\S+"
+#: Blanks of all kinds.
+BLANKS = "[" + "".join(c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs") + "]"
+#: Stands in a text for a word that isn't plain; a text's own such character is never in a plain word.
 HOLE = "\u0001"
-#: All white space but the blank.
-SPACES = "".join(c for c in map(chr, range(0x3001)) if c != " " and (c.isspace() or unicodedata.category(c)[0] == "Z"))
 
 
 @lru_cache(maxsize=100_000)
@@ -247,24 +249,52 @@ def spellings(words: DataFrame, vocabulary: DataFrame, most: int = 0) -> DataFra
     return found.select("word", "spelling", "cost")
 
 
-def _settled(text: Column) -> Column:
-    """White space in its one form."""
-    return F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\p{Zs}", " ")
-
-
 def _key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _scan(texts: DataFrame) -> DataFrame:
+    """One scan of all texts: the plain words of each batch (``word``, ``n``), and of every text that isn't plain ``key``, ``rest``
+    (the text with a HOLE for each word that isn't) and ``ws`` (those words in order)."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        noisy, blank = re.compile(NOISY), re.compile(BLANKS)
+        for b in batches:
+            every = b.column(0)
+            words = pc.value_counts(pc.utf8_split_whitespace(every).flatten())
+            word, n = words.field("values"), words.field("counts")
+            plain = pc.fill_null(pc.invert(pc.match_substring_regex(word, NOT_PLAIN)), False)
+            plain = pc.and_(plain, pc.greater(pc.utf8_length(word), 0))
+            word, n = word.filter(plain), n.filter(plain)
+            keys, rest, own = [], [], []
+            for text in every.filter(pc.match_substring_regex(every, NOT_PLAIN)).to_pylist():
+                keys.append(md5(text.encode()).digest())
+                found: list[str] = []
+
+                def hole(m: re.Match, found=found) -> str:
+                    found.append(m.group())
+                    return HOLE
+
+                rest.append(noisy.sub(hole, blank.sub(" ", text.replace("\r\n", "\n"))))
+                own.append(found)
+            k = len(keys)
+            cols = [
+                pa.concat_arrays([pa.array(keys, pa.binary()), pa.nulls(len(word), pa.binary())]),
+                pa.concat_arrays([pa.array(rest, pa.string()), pa.nulls(len(word), pa.string())]),
+                pa.concat_arrays([pa.array(own, pa.list_(pa.string())), pa.nulls(len(word), pa.list_(pa.string()))]),
+                pa.concat_arrays([pa.nulls(k, pa.string()), word.cast(pa.string())]),
+                pa.concat_arrays([pa.nulls(k, pa.int64()), n.cast(pa.int64())]),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "rest", "ws", "word", "n"])
+
+    return texts.select("text").mapInArrow(kernel, "key binary, rest string, ws array<string>, word string, n long")
+
+
 def _other_forms(texts: DataFrame, most: int) -> DataFrame:
     """``key`` (of the text) and ``form`` of the distinct texts (``text``) that aren't plain."""
-    other = texts.where(F.col("text").rlike(NOT_PLAIN)).select(_key(F.col("text")).alias("key"), _settled(F.col("text")).alias("t"))
-    # One scan marks the words that aren't plain; they stand at the odd places of the parts.
-    marked = F.split(F.regexp_replace(F.translate("t", HOLE, "\u0002"), NOISY, f"{HOLE}$0{HOLE}"), HOLE, -1)
-    other = other.select("key", marked.alias("p"))
-    other = durable(other.select("key", F.array_join(F.filter("p", lambda x, i: i % 2 == 0), HOLE).alias("rest"), F.filter("p", lambda x, i: i % 2 == 1).alias("ws")))
-    words = texts.select(F.explode(F.split(F.translate("text", SPACES, " " * len(SPACES)), " ")).alias("word"))
-    vocabulary = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where((F.col("word") != "") & ~F.col("word").rlike(NOT_PLAIN))
+    seen = durable(_scan(texts))
+    other = seen.where("key IS NOT NULL").select("key", "rest", "ws")
+    vocabulary = seen.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n"))
     chosen = durable(spellings(other.select(F.explode("ws").alias("word")), vocabulary, most))
     # The words of a text come back to it by its key; a text that is there often counts once.
     each = other.select("key", F.posexplode("ws").alias("at", "word")).join(small(chosen), "word")
