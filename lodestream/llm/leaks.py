@@ -246,23 +246,31 @@ def stretches(corpus: DataFrame, id_col: str, text_col: str, items: DataFrame, i
     salted = fingerprint.join(parts, "h").withColumn("salt", F.pmod(F.xxhash64("__ls_no"), F.col("parts")).cast("int")).drop("parts")
     hits = seen.join(salted, ["h", "salt"]).groupBy("__ls_row", "__ls_no").agg(F.collect_list(F.struct("d", "p")).alias("seeds"), F.min("d").alias("lo"), F.max("d").alias("hi"))
 
-    # Of a document only what lies round its hits goes on: a stretch reaches at most a passage and its gaps beyond.
+    # Of a document only what lies round its hits goes on. A stretch counts by its words alike less twice its changes, so it
+    # has fewer changes than half the passage has words, and spans less than one and a half passages.
     sized = own.select("__ls_no", "__ls_item", F.col("codes").alias("own"), F.col("numeric").alias("own_numeric"))
     near = hits.join(own.select("__ls_no", F.size("codes").alias("reach")), "__ls_no")
     near = near.join(docs.select("__ls_row", "__ls_id", "codes", "numeric"), "__ls_row")
-    base = F.greatest(F.lit(0), F.col("lo") - F.col("reach") * (1 + gap))
-    near = near.withColumn("base", base).withColumn("width", F.col("hi") + F.col("reach") * (1 + gap) + K - F.col("base"))
+    margin = (F.col("reach") * 3 / 2).cast("int") + K + gap
+    near = near.withColumn("base", F.greatest(F.lit(0), F.col("lo") - margin)).withColumn("width", F.col("hi") + margin - F.col("base"))
     near = near.select("__ls_row", "__ls_id", "__ls_no", "base", F.slice("codes", F.col("base") + 1, F.col("width")).alias("codes"), F.slice("numeric", F.col("base") + 1, F.col("width")).alias("numeric"), "seeds")
     near = near.join(sized, "__ls_no")
     kinds = T.StructType([T.StructField("__ls_row", T.LongType()), T.StructField(id_col, corpus.schema[id_col].dataType), T.StructField(item_col, items.schema[item_col].dataType), *(T.StructField(c, T.IntegerType()) for c in ("alike", "wrong", "longest", "first", "last"))])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = {n: b.column(n).to_pylist() for n in ("base", "codes", "numeric", "own", "own_numeric", "seeds")}
-            out = []
-            for base, codes, numeric, own, own_numeric, seeds in zip(*cols.values()):
-                a, w, n, first, last = stretch(codes, numeric, own, own_numeric, [(x["d"] - base, x["p"]) for x in seeds], gap)
-                out.append((a, w, n, first + base, last + base))
+            cuts = {n: b.column(n).offsets.to_numpy() for n in ("codes", "own", "seeds")}
+            flat = {n: b.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("codes", "numeric", "own", "own_numeric")}
+            base, seeds = b.column("base").to_numpy(), b.column("seeds").flatten()
+            d, p = seeds.field("d").to_numpy(), seeds.field("p").to_numpy()
+            (c0, o0, s0), out = (x[0] for x in cuts.values()), []
+            for i in range(b.num_rows):
+                c, e = cuts["codes"][i] - c0, cuts["codes"][i + 1] - c0
+                f, g = cuts["own"][i] - o0, cuts["own"][i + 1] - o0
+                x, y = cuts["seeds"][i] - s0, cuts["seeds"][i + 1] - s0
+                at = list(zip((d[x:y] - base[i]).tolist(), p[x:y].tolist()))
+                n, wrong, longest, first, last = stretch(flat["codes"][c:e].tolist(), flat["numeric"][c:e], flat["own"][f:g].tolist(), flat["own_numeric"][f:g], at, gap)
+                out.append((n, wrong, longest, first + int(base[i]), last + int(base[i])))
             found = [pa.array([x[k] for x in out], pa.int32()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([b.column("__ls_row"), b.column("__ls_id"), b.column("__ls_item"), *found], names=kinds.names)
 
