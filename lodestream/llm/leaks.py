@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from lodestream.runtime import durable
 
-#: Words of a gram, and grams of a window: every run of K + W - 1 = 6 words shares a fingerprint.
-K, W = 4, 3
+#: Words of a gram, and grams of a window: every run of K + W - 1 = 6 words shares a fingerprint. Shorter grams match by chance more often.
+K, W = 5, 2
 #: Bits of the bitmap of fingerprints: at least, at most (16 MB), and for each fingerprint.
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 27, 16
 #: Passages that meet a fingerprint's hits in one task, beyond which it is salted.
