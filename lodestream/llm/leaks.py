@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from lodestream.runtime import durable
 #: Words of a gram, and grams of a window: every run of K + W - 1 = 6 words shares a fingerprint. Shorter grams match by chance more often.
 K, W = 5, 2
 #: Bits of the bitmap of fingerprints: at least, at most (16 MB), and for each fingerprint.
-LEAST_BITS, MOST_BITS, BITS_EACH = 16, 27, 16
+LEAST_BITS, MOST_BITS, BITS_EACH = 16, 27, 4096
 #: Passages that meet a fingerprint's hits in one task, beyond which it is salted.
 SHARED_PART = 1024
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,11 +51,17 @@ def _cutter():
     return lambda text: both(text) if unspaced.search(text) else spaced(text)
 
 
+@lru_cache(maxsize=1)
+def _invisible():
+    import regex
+
+    return regex.compile(r"\p{Cf}+").sub
+
+
 def words(text: str, cut) -> list[str]:
     """The words of a text in comparison form."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join(ch for ch in text if unicodedata.category(ch) != "Cf")
+        text = _invisible()("", unicodedata.normalize("NFKC", text))
     return cut(text.casefold())
 
 
