@@ -1,4 +1,7 @@
-"""Strict configuration: unknown keys and values out of range fail at once."""
+"""Strict configuration: unknown keys and values out of range fail at once.
+
+Section and field names and their defaults are fixed values: the public contract of a configuration file.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +31,6 @@ class Chunker:
 @dataclass(frozen=True)
 class Embedder:
     model: str = "hashed-ngrams"
-    max_length: int = 1024
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,8 @@ class Retrieval:
 @dataclass(frozen=True)
 class Routing:
     router: str = "rules"
-    condense: bool = False
+    model: str = "router"
+    fallback: str | None = None
 
     def __post_init__(self) -> None:
         _choice(self.router, ("none", "rules", "model"), "routing.router")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestream.functions import text as X
 from lodestream.schemas import CHUNK
@@ -110,24 +112,62 @@ def parents(blocks: DataFrame) -> DataFrame:
     return g.select(F.concat("doc_id", F.lit("::s"), F.lpad(F.col("section_no").cast("string"), 3, "0")).alias("parent_id"), "doc_id", "heading_path", whole.alias("text"), word_count(whole).cast("int").alias("token_count"))
 
 
+# White space in Unicode's sense, the same in every count of words.
+SPACE = r"\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def word_count(c: Column) -> Column:
-    return F.when(F.trim(c) == "", 0).otherwise(F.size(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")))
+    return F.size(F.filter(F.split(c, f"[{SPACE}]+"), lambda x: x != ""))
 
 
-def fixed_windows(docs: DataFrame, id_col: str, text_col: str, size: int = 500, overlap: int = 50) -> DataFrame:
-    """Windows of ``size`` words at steps of size - overlap; the last window ends with the text.
+def fixed_windows(blocks: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+    """Chunks of ``size`` words at steps of size - overlap over a document's blocks, which blank lines join; the last ends with the
+    document. The CHUNK columns, without heading path and parent; the text keeps its own white space, between blocks a blank line.
 
-    ``chunk_id``, ``doc_id``, ``text`` (words joined by single blanks), ``token_count``. No window for a text without words.
+    Blocks are cut where they stand, by the number of words before them; no document is ever in one place. Null
+    texts and texts without words have no part in it.
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
-    words = F.split(F.trim(F.regexp_replace(F.col(text_col), r"\s+", " ")), " ")
-    d = docs.select(F.col(id_col).alias("doc_id"), words.alias("w")).where(F.trim(F.regexp_replace(F.col(text_col), r"\s+", " ")) != "")
-    last = F.greatest(F.ceil((F.size("w") - F.lit(size)) / F.lit(step)), F.lit(0)).cast("int")
-    d = d.withColumn("c", F.explode(F.sequence(F.lit(0), last)))
-    part = F.slice("w", F.col("c") * step + 1, size)
-    return d.select(F.concat(F.col("doc_id").cast("string"), F.lit("::fixed::c"), F.lpad(F.col("c").cast("string"), 3, "0")).alias("chunk_id"), "doc_id", F.array_join(part, " ").alias("text"), F.size(part).alias("token_count"))
+    b = blocks.select("doc_id", "block_no", "page", "text", word_count(F.col("text")).alias("n")).where("n > 0")
+    order = Window.partitionBy("doc_id").orderBy("block_no")
+    counts = b.select("doc_id", "block_no", "n")
+    before = counts.withColumn("first", F.sum("n").over(order) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("doc_id"))).drop("n")
+    b = b.join(before, ["doc_id", "block_no"])
+    # The windows that meet the block, and its part in each.
+    last = F.greatest(F.ceil((F.col("total") - size) / F.lit(step)), F.lit(0))
+    lo = F.greatest(F.floor((F.col("first") - size) / F.lit(step)) + 1, F.lit(0))
+    hi = F.least(F.floor((F.col("first") + F.col("n") - 1) / F.lit(step)), last)
+    b = b.withColumn("lo", lo.cast("int")).withColumn("hi", hi.cast("int")).where("lo <= hi")
+    schema = T.StructType([blocks.schema["doc_id"], T.StructField("c", T.IntegerType()), blocks.schema["block_no"], blocks.schema["page"], T.StructField("part", T.StringType()), T.StructField("words", T.IntegerType())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        find = re.compile(f"[^{SPACE}]+").finditer
+        for r in batches:
+            rows, window, parts, words = [], [], [], []
+            for i, (text, first, lo, hi) in enumerate(zip(*(r.column(c).to_pylist() for c in ("text", "first", "lo", "hi")))):
+                spans = [m.span() for m in find(text)]
+                for c in range(lo, hi + 1):
+                    a, e = max(c * step - first, 0), min(c * step + size - first, len(spans))
+                    if a < e:
+                        rows.append(i)
+                        window.append(c)
+                        parts.append(text[spans[a][0] : spans[e - 1][1]])
+                        words.append(e - a)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([r.column("doc_id").take(at), pa.array(window, pa.int32()), r.column("block_no").take(at), r.column("page").take(at), pa.array(parts, pa.string()), pa.array(words, pa.int32())], names=schema.names)
+
+    pieces = b.select("doc_id", "block_no", "page", "text", "first", "lo", "hi").mapInArrow(kernel, schema)
+    g = pieces.groupBy("doc_id", "c").agg(F.array_sort(F.collect_list(F.struct("block_no", "part", "page"))).alias("ps"), F.sum("words").cast("int").alias("token_count"))
+    text = F.array_join("ps.part", "\n\n")
+    none = F.lit(None).cast("string")
+    return g.select(
+        F.concat("doc_id", F.lit("::fixed::c"), F.lpad(F.col("c").cast("string"), 3, "0")).alias("chunk_id"), "doc_id", F.lit("").alias("heading_path"), text.alias("text"), text.alias("embed_text"),
+        F.col("ps.page")[0].alias("page_start"), F.element_at("ps.page", -1).alias("page_end"), none.alias("parent_id"), "token_count",
+    )
 
 
 Count = Callable[[str], int]

@@ -167,7 +167,7 @@ SQL: dict[str, str] = {
       CAST(round(100.0 * count(t.date) / (date_diff('day', DATE '{FIRST}', DATE '{LAST}') + 1), 1) AS DOUBLE) AS pct_days_reported, round(avg(CAST(stations_reporting AS DOUBLE) / nullif(stations_total, 0)) * 100, 1) AS station_coverage_pct,
       round(100.0 * count(t.date) / (date_diff('day', DATE '{FIRST}', DATE '{LAST}') + 1), 1) < 70 AS low_coverage
       FROM city_reference c LEFT JOIN t ON t.city = c.city AND t.{_Y} GROUP BY c.city""",
-    "landing_gaps": f"SELECT day FROM (SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS day) WHERE day NOT IN (SELECT date FROM city_aqi_daily WHERE (city IS NULL OR city LIKE 'J%') AND date IS NOT NULL)",
+    "landing_gaps": f"SELECT day FROM (SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS day) WHERE day NOT IN (SELECT date FROM city_aqi_daily WHERE date IS NOT NULL)",
     "live_facts": f"WITH {LOADED} SELECT city, date, aqi, aqi_category FROM t ORDER BY date DESC, city LIMIT 3",
     "avg_with_day_count": f"WITH {LOADED} SELECT city, round(avg(aqi), 1) AS avg_aqi, count(aqi) AS days_with_value FROM t WHERE {_Y} GROUP BY city",
     "severe_days": f"WITH {LOADED} SELECT city, count(*) AS severe_days FROM t WHERE aqi_category = 'Severe' GROUP BY city",

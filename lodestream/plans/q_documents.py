@@ -79,7 +79,9 @@ def structure_chunks_small(s: SparkSession, d: str) -> DataFrame:
 
 
 def fixed_chunks(s: SparkSession, d: str) -> DataFrame:
-    return D.fixed_windows(table(s, d, "documents"), "doc_id", "text", 100, 20)
+    """Windows of 500 words, 50 of them shared with the one before, over all blocks."""
+    c = D.fixed_windows(blocks(s, d))
+    return c.select("chunk_id", "doc_id", F.trim(F.regexp_replace("text", f"[{D.SPACE}]+", " ")).alias("text"), "page_start", "page_end", "token_count")
 
 
 def chunk_stats(s: SparkSession, d: str) -> DataFrame:
@@ -142,7 +144,7 @@ SQL: dict[str, str] = {
     "heading_levels": f"WITH {_B} SELECT block_id, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC NULLS LAST), 3) AS level_by_size FROM b WHERE kind = 'heading'",
     "outline": f"WITH {_B} SELECT doc_id, block_no, concat(repeat('  ', coalesce(level, 1) - 1), '- ', text) AS line FROM b WHERE kind = 'heading'",
     "pages_for_ocr": f"WITH {_B} SELECT doc_id, page, CAST(sum(length(trim(text))) AS BIGINT) AS chars FROM b GROUP BY ALL HAVING sum(length(trim(text))) < 300",
-    "clean_prose": f"WITH {_B} SELECT block_id, trim(regexp_replace(regexp_replace(text, '([a-z])-\\n([a-z])', '\\1\\2', 'g'), '\\s+', ' ', 'g')) AS text FROM b WHERE kind <> 'table' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')",
+    "clean_prose": f"WITH {_B} SELECT block_id, trim(regexp_replace(regexp_replace(text, '([a-z])-\\n([a-z])', '\\1\\2', 'g'), '[\\t-\\r \\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS text FROM b WHERE kind <> 'table'",
     "fix_glyphs": f"WITH {_B} SELECT block_id, regexp_replace(regexp_replace(text, 'μ(g\\s*/\\s*m)', 'µ\\1', 'g'), 'μ(m\\b)', 'µ\\1', 'g') AS text FROM b",
     "boilerplate_dropped": f"""WITH {_B}, k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(text), '\\d+', '#', 'g'), '\\s+', ' ', 'g')) AS key FROM b),
       p AS (SELECT doc_id, count(DISTINCT page) AS n FROM k GROUP BY 1), o AS (SELECT doc_id, key, count(DISTINCT page) AS c FROM k WHERE kind <> 'table' GROUP BY ALL)
@@ -150,10 +152,13 @@ SQL: dict[str, str] = {
       WHERE NOT (kind <> 'table' AND (regexp_matches(text, '(?i)^[^\\p{{L}}\\p{{M}}\\p{{N}}_]*(page\\s*)?\\d+(\\s*(of|/)\\s*\\d+)?[^\\p{{L}}\\p{{M}}\\p{{N}}_]*$') OR (coalesce(c, 0) >= greatest(2, ceil(0.5 * n)) AND length(text) <= 200)))""",
     "heading_paths": f"WITH {SECTIONS_SQL} SELECT block_id, section_no, heading_path FROM body",
     "structure_parents": f"""WITH {SECTIONS_SQL}, w AS (SELECT doc_id, section_no, heading_path, CASE WHEN heading_path <> '' THEN heading_path || chr(10) ELSE '' END || string_agg(text, chr(10) ORDER BY block_no) AS whole FROM body GROUP BY doc_id, section_no, heading_path)
-      SELECT concat(doc_id, '::s', lpad(CAST(section_no AS VARCHAR), 3, '0')) AS parent_id, heading_path, length(whole) AS chars, CAST(len(regexp_extract_all(whole, '[^ \\t\\n\\r]+')) AS INT) AS token_count FROM w""",
-    "fixed_chunks": """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' ') AS w FROM documents WHERE trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) <> ''),
-      c AS (SELECT doc_id, w, unnest(generate_series(0, greatest(CAST(ceil((len(w) - 100) / 80.0) AS BIGINT), 0))) AS c FROM w)
-      SELECT concat(doc_id, '::fixed::c', lpad(CAST(c AS VARCHAR), 3, '0')) AS chunk_id, doc_id, array_to_string(w[c * 80 + 1 : c * 80 + 100], ' ') AS text, CAST(len(w[c * 80 + 1 : c * 80 + 100]) AS INT) AS token_count FROM c""",
+      SELECT concat(doc_id, '::s', lpad(CAST(section_no AS VARCHAR), 3, '0')) AS parent_id, heading_path, length(whole) AS chars, CAST(len(regexp_extract_all(whole, '[^\\t-\\r \\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+')) AS INT) AS token_count FROM w""",
+    "fixed_chunks": f"""WITH {_B}, w AS (SELECT doc_id, block_no, page, list_filter(regexp_split_to_array(text, '[\\t-\\r \\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+'), lambda x: x <> '') AS ws FROM b),
+      f AS (SELECT *, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY block_no) - len(ws) AS first, sum(len(ws)) OVER (PARTITION BY doc_id) AS total FROM w WHERE len(ws) > 0),
+      e AS (SELECT doc_id, page, block_no, total, first + k - 1 AS i, ws[k] AS x FROM (SELECT *, unnest(generate_series(1, len(ws))) AS k FROM f)),
+      c AS (SELECT doc_id, unnest(generate_series(0, CAST(greatest(ceil((total - 500) / 450.0), 0) AS BIGINT))) AS c FROM (SELECT DISTINCT doc_id, total FROM f))
+      SELECT concat(c.doc_id, '::fixed::c', lpad(CAST(c AS VARCHAR), 3, '0')) AS chunk_id, c.doc_id, string_agg(x, ' ' ORDER BY i) AS text, min_by(page, i) AS page_start, max_by(page, i) AS page_end, CAST(count(*) AS INT) AS token_count
+      FROM c JOIN e ON e.doc_id = c.doc_id AND i >= c * 450 AND i < c * 450 + 500 GROUP BY c.doc_id, c""",
     "chunk_stats": "SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS docs, round(avg(token_count), 6) AS mean_tokens, max(token_count) AS max_tokens FROM chunks",
     "chunk_metadata": "SELECT chunk_id, title, coalesce(is_current, '') = 'true' AS is_current, try_cast(nullif(trim(published_on), '') AS DATE) AS published_on, array_to_string(list_filter(string_split(coalesce(cities, ''), ';'), lambda x: x <> ''), ';') AS cities FROM chunks LEFT JOIN manifest USING (doc_id)",
     "metadata_filter": "SELECT doc_id FROM manifest WHERE is_current = 'true' AND doc_type IN ('act', 'order', 'circular') AND language = 'en'",

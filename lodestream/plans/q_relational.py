@@ -50,6 +50,7 @@ SPECS: dict[str, tuple[str, str, str | None]] = {
     "json_functions": ("events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
     "math_functions": ("supplier", "SELECT s_suppkey, round(abs(s_acctbal), 1) AS a, CAST(ceil(s_acctbal) AS BIGINT) AS c, round(ln(abs(s_acctbal) + 1), 6) AS l, s_acctbal / nullif(s_nationkey, 0) AS q FROM supplier", "SELECT s_suppkey, round(abs(s_acctbal), 1) AS a, CAST(ceil(s_acctbal) AS BIGINT) AS c, round(ln(abs(s_acctbal) + 1), 6) AS l, s_acctbal / nullif(s_nationkey, 0) AS q FROM supplier"),
     "array_functions": ("embeddings", "SELECT vec_id, size(embedding) AS n, round(CAST(element_at(embedding, 1) AS DOUBLE), 6) AS first, round(aggregate(embedding, CAST(0 AS DOUBLE), (a, x) -> a + CAST(x AS DOUBLE) * x), 4) AS norm FROM embeddings", "SELECT vec_id, CAST(len(embedding) AS INT) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 4) AS norm FROM embeddings"),
+    "map_functions": ("orders", "SELECT o_orderkey, element_at(map(o_orderstatus, o_orderpriority), 'F') AS f, CAST(size(map_keys(map_from_arrays(array(o_orderstatus, 'Z'), array(1, 2)))) AS BIGINT) AS n FROM orders", "SELECT o_orderkey, map_extract(MAP {o_orderstatus: o_orderpriority}, 'F')[1] AS f, len(map_keys(MAP([o_orderstatus, 'Z'], [1, 2]))) AS n FROM orders"),
     "sequence_explode": ("region", "SELECT r_regionkey, CAST(d AS DATE) AS d FROM region LATERAL VIEW explode(sequence(DATE '2024-02-27', DATE '2024-03-02', INTERVAL 1 DAY)) t AS d", "SELECT r_regionkey, CAST(unnest(generate_series(DATE '2024-02-27', DATE '2024-03-02', INTERVAL 1 DAY)) AS DATE) AS d FROM region"),
     "casts": ("manifest", "SELECT doc_id, try_cast(nullif(published_on, '') AS DATE) AS published, is_current = 'true' AS cur FROM manifest", "SELECT doc_id, try_cast(nullif(published_on, '') AS DATE) AS published, is_current = 'true' AS cur FROM manifest"),
 }

@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestream.config import Pipeline, Retrieval
 from lodestream.functions import routing
 from lodestream.operators import documents as D
 from lodestream.operators import retrieve as R
 from lodestream.plans import answer
 from lodestream.plans.q_documents import SECTIONS_SQL as _SECTIONS
+from lodestream.plans.retriever import Retriever
 from lodestream.runtime import durable, spread, table
 
 K = 10
@@ -98,10 +100,27 @@ def mmr_topk(s: SparkSession, d: str) -> DataFrame:
     return R.mmr(dense(s, d, 30), _vectors(s, d), K, 0.7)
 
 
+def _configured(s: SparkSession, d: str, **retrieval) -> DataFrame:
+    """The asked vectors and documents through a retriever of that configuration."""
+    cfg = Pipeline("query", retrieval=Retrieval(current_only=False, **retrieval))
+    posts = durable(_posts(s, d))
+    found = Retriever(cfg, _vectors(s, d).select("id", "vector"), posts).retrieve(_asked(s, d), _asked_terms(posts))
+    return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
+
+
 def hybrid_pipeline(s: SparkSession, d: str) -> DataFrame:
     """Both searches, fusion, reranking of the first 30, the six best in their order for reading."""
-    best = R.rerank(_scored(s, d)).where("rank <= 6")
-    return R.middle_last(best).select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
+    return _configured(s, d, reorder=True)
+
+
+def dense_pipeline(s: SparkSession, d: str) -> DataFrame:
+    """Vectors alone, reranked, behind a gate: a list whose best score is too low is empty."""
+    return _configured(s, d, sparse=False, rerank_threshold=0.999)
+
+
+def sparse_pipeline(s: SparkSession, d: str) -> DataFrame:
+    """Terms alone, as they come."""
+    return _configured(s, d, dense=False, rerank=False, k_final=5)
 
 
 def lost_in_middle_order(s: SparkSession, d: str) -> DataFrame:
@@ -160,7 +179,7 @@ _DENSE = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHE
 _POSTS = """words AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}]+'), lambda x: x <> '')) AS term FROM documents WHERE text IS NOT NULL),
 tf AS (SELECT id, term, count(*) AS tf FROM words GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 posts AS (SELECT id, term, tf, tf * ln(((SELECT count(DISTINCT id) FROM words) + 1.0::DOUBLE) / (df + 0.5::DOUBLE)) AS weight FROM tf JOIN df USING (term))"""
-_SPARSE = """qt AS (SELECT id AS query_id, term, weight FROM posts WHERE id IN (SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0)),
+_SPARSE = """qt AS (SELECT id AS query_id, term, weight FROM posts WHERE id % 20 = 0),
 sall AS (SELECT query_id, p.id, round(sum(p.weight * qt.weight), 6) AS score FROM qt JOIN posts p USING (term) GROUP BY ALL),
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sall QUALIFY rank <= {k})"""
 
@@ -200,6 +219,8 @@ SQL: dict[str, str] = {
     "rerank_gate": f"WITH {_RERANK} SELECT query_id, id, rank, rerank FROM rr QUALIFY max(rerank) OVER (PARTITION BY query_id) >= 0.999",
     "rerank_filter": f"WITH {_RERANK} SELECT query_id, id, rank, rerank FROM rr WHERE rerank >= 0.3",
     "hybrid_pipeline": f"WITH {_RERANK} SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank % 2 = 1 THEN rank ELSE 1000000 - rank END) AS place FROM rr WHERE rank <= 6",
+    "dense_pipeline": f"WITH {_RERANK.replace(_FUSED, f'{_d(50)}, {_s(50)}, fused AS (SELECT * FROM dense)')} SELECT query_id, id, rank, rank AS place FROM (SELECT *, max(rerank) OVER (PARTITION BY query_id) AS best FROM rr) WHERE best >= 0.999 AND rank <= 6",
+    "sparse_pipeline": f"WITH {_s(50)} SELECT query_id, id, rank, rank AS place FROM sparse WHERE rank <= 5",
     "lost_in_middle_order": f"WITH {_d(7)} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank % 2 = 1 THEN rank ELSE 1000000 - rank END) AS place FROM dense",
     "language_detect": f"SELECT doc_id, CASE WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'hi' WHEN len(regexp_extract_all(lower(text), '\\b({_ROUTE['h']})\\b')) >= 2 THEN 'hinglish' ELSE 'en' END AS language FROM documents WHERE text IS NOT NULL",
     "history_filter": f"SELECT doc_id, NOT regexp_matches(text, '(?i){_ROUTE['past']}') AS current_only FROM documents WHERE text IS NOT NULL",
@@ -214,17 +235,16 @@ SQL: dict[str, str] = {
       FROM f JOIN (SELECT doc_id, CASE WHEN regexp_matches(text, '[ऀ-ॿ]') THEN 'hi' WHEN len(regexp_extract_all(lower(text), '\\b({_ROUTE['h']})\\b')) >= 2 THEN 'hinglish' ELSE 'en' END AS language FROM documents) l USING (doc_id)""",
     "small_to_big": f"""WITH {_SECTIONS}, par AS (SELECT concat(doc_id, '::s', lpad(CAST(section_no AS VARCHAR), 3, '0')) AS parent_id, CASE WHEN heading_path <> '' THEN heading_path || chr(10) ELSE '' END || string_agg(text, chr(10) ORDER BY block_no) AS whole FROM body GROUP BY doc_id, section_no, heading_path),
       r AS (SELECT doc_id AS query_id, chunk_id AS id, parent_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS rank FROM chunks),
-      j AS (SELECT r.*, whole, coalesce(len(regexp_extract_all(whole, '[^ \\t\\n\\r]+')) <= 150, false) AS fits FROM r LEFT JOIN par USING (parent_id))
+      j AS (SELECT r.*, whole, coalesce(len(regexp_extract_all(whole, '[^\\t-\\r \\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+')) <= 150, false) AS fits FROM r LEFT JOIN par USING (parent_id))
       SELECT query_id, id, rank, CASE WHEN fits THEN id END AS expanded_from, length(CASE WHEN fits THEN whole ELSE text END) AS chars FROM j QUALIFY NOT fits OR row_number() OVER (PARTITION BY query_id, parent_id, fits ORDER BY rank) = 1""",
     "citation_filter": "SELECT doc_id AS query_id, chunk_id FROM chunks WHERE page_start = 1",
-    "hashed_embedding_norms": "SELECT doc_id AS id, round(CASE WHEN length(coalesce(text, '')) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 3) AS norm FROM documents",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         dense_topk, filtered_dense_topk, sparse_postings, sparse_topk, rrf_fusion, weighted_fusion, rerank_gate, rerank_filter, mmr_topk, small_to_big,
-        lost_in_middle_order, hybrid_pipeline, hashed_embedding_norms, collection_fingerprint, language_detect, time_ranges, history_filter, rules_router,
+        lost_in_middle_order, hybrid_pipeline, dense_pipeline, sparse_pipeline, hashed_embedding_norms, collection_fingerprint, language_detect, time_ranges, history_filter, rules_router,
         fewshot_overlap, citation_filter,
     )
 }

@@ -26,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a single machine) a folder of this process under the working
-    directory's ``.lodestream`` becomes it, and goes with the process; a cluster always names its own.
+    Where a local session has none (tests, a single machine) a folder of this process under the working
+    directory's ``.lodestream`` becomes it, and goes with the process; a cluster has to name its own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = os.path.abspath(f".lodestream/{os.getpid()}")
         if own not in _OWN:
             _OWN.add(own)

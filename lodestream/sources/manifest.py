@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +15,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    """Written whole beside the old one, then put in its place, so that a crash never leaves half a manifest."""
-    jvm = manifest.sparkSession._jvm
-    staged = f"{path.rstrip('/')}.staged"
-    manifest.select(*MANIFEST.names).coalesce(1).write.mode("overwrite").csv(staged, header=True, escape='"')
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(manifest.sparkSession._jsc.hadoopConfiguration())
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    if fs.exists(old):
-        fs.delete(old, True)
-    fs.rename(new, old)
+    """Written whole as one file beside the old one, then put in its place by one atomic rename: a reader finds the old or the new."""
+    spark = manifest.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    manifest.select(*MANIFEST.names).coalesce(1).write.csv(staged, header=True, escape='"')
+    place = jvm.org.apache.hadoop.fs.Path
+    fs = place(staged).getFileSystem(conf)
+    part = next(s.getPath() for s in fs.listStatus(place(staged)) if s.getPath().getName().startswith("part-"))
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(part, fs.makeQualified(place(path)), options)
+    fs.delete(place(staged), True)
 
 
 def landed_files(spark: SparkSession, path: str, suffix: str = "*.pdf") -> DataFrame:

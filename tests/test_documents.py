@@ -75,11 +75,16 @@ def test_sections_follow_the_heading_stack(spark):
 
 def test_fixed_windows(spark):
     words = " ".join(f"w{k}" for k in range(230))
-    df = spark.createDataFrame([(1, words), (2, ""), (3, None), (4, " one "), (5, " ".join("x" * 100))], "id long, t string")
-    got = D.fixed_windows(df, "id", "t", 100, 20).collect()
-    assert [(r.chunk_id, r.token_count) for r in sorted(got, key=lambda r: r.chunk_id)] == [("1::fixed::c000", 100), ("1::fixed::c001", 100), ("1::fixed::c002", 70), ("4::fixed::c000", 1), ("5::fixed::c000", 100)]
+    rows = [("1", 1, 0, words), ("2", 1, 0, ""), ("3", 1, 0, None), ("4", 2, 0, " one\u00a0two "), ("5", 1, 0, " ".join("x" * 100)), ("6", 1, 0, "a  b\nc"), ("6", 2, 1, " "), ("6", 2, 2, "d e f g"), ("6", 3, 3, "h")]
+    df = spark.createDataFrame(rows, "doc_id string, page int, block_no int, text string")
+    got = sorted(D.fixed_windows(df, 100, 20).collect(), key=lambda r: r.chunk_id)
+    assert got[0].asDict().keys() == dict.fromkeys(D.CHUNK.names).keys()
+    assert [(r.chunk_id, r.token_count) for r in got] == [("1::fixed::c000", 100), ("1::fixed::c001", 100), ("1::fixed::c002", 70), ("4::fixed::c000", 2), ("5::fixed::c000", 100), ("6::fixed::c000", 8)]
+    assert got[-1].text == "a  b\nc\n\nd e f g\n\nh" and (got[-1].page_start, got[-1].page_end) == (1, 3) and got[3].text == "one\u00a0two"
+    small = sorted(D.fixed_windows(df.where("doc_id = '6'"), 4, 2).collect(), key=lambda r: r.chunk_id)
+    assert [(r.text, r.page_start, r.page_end, r.token_count) for r in small] == [("a  b\nc\n\nd", 1, 2, 4), ("c\n\nd e f", 1, 2, 4), ("e f g\n\nh", 2, 3, 4)]
     with pytest.raises(ValueError):
-        D.fixed_windows(df, "id", "t", 20, 20)
+        D.fixed_windows(df, 20, 20)
 
 
 def test_structure_chunks_keep_tables_and_overlap_prose(spark):

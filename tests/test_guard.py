@@ -38,7 +38,8 @@ GOOD = [
     "SELECT c, x FROM (SELECT city AS c, collect_list(aqi) AS xs FROM city_aqi_daily GROUP BY city) LATERAL VIEW explode(filter(xs, v -> v > 100)) t AS x",
     "SELECT * FROM (SELECT aqi_category, aqi FROM city_aqi_daily) PIVOT (max(aqi) FOR aqi_category IN ('Severe', 'Poor'))",
     "SELECT extract(YEAR FROM date) AS y, trim(BOTH ' ' FROM city) AS c, city || '!' AS e, -aqi % 7 AS r, aqi BETWEEN 1 AND 9 AS b FROM city_aqi_daily WHERE city LIKE 'K%' AND NOT aqi <=> NULL",
-    "SELECT city, count(*) FILTER (WHERE aqi > 100) AS n, sum(aqi) OVER w FROM city_aqi_daily GROUP BY GROUPING SETS ((city, aqi)) WINDOW w AS (PARTITION BY city ORDER BY aqi ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
+    "SELECT city, count(*) FILTER (WHERE aqi > 100) AS n FROM city_aqi_daily GROUP BY GROUPING SETS ((city), ())",
+    "SELECT city, sum(aqi) OVER w AS s FROM city_aqi_daily WINDOW w AS (PARTITION BY city ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
     "SELECT date FROM city_aqi_daily a WHERE aqi_category IN (SELECT aqi_category FROM aqi_categories WHERE severity_rank > 5)",
 ]
 
@@ -103,15 +104,15 @@ def test_repair_loop(spark, views):
     cfg = config.Pipeline("t")
     asked = []
 
-    def planner(q, error):
+    def planner(q, error, context):
         asked.append(error)
         return "SELECT nope FROM city_aqi_daily" if not error else "SELECT count(*) AS n FROM city_aqi_daily WHERE date >= DATE '2024-11-01' AND date <= CAST('2024-11-10' AS DATE)"
 
     out = answer.answer_data(spark, "q", views, planner, cfg, ["Kanpur"])
     assert out.attempts == 2 and out.result.rows == [(9,)] and "nope" in asked[1]
     assert (out.coverage[0]["days_reported"], out.coverage[0]["days_in_range"], out.low_coverage) == (9, 10, False)
-    assert answer.answer_data(spark, "q", views, lambda q, e: "SELECT 1; SELECT 2", cfg).attempts == 3
-    assert answer.answer_data(spark, "q", views, lambda q, e: "-- no", cfg).unanswerable
+    assert answer.answer_data(spark, "q", views, lambda q, e, c: "SELECT 1; SELECT 2", cfg).attempts == 3
+    assert answer.answer_data(spark, "q", views, lambda q, e, c: "-- no", cfg).unanswerable
     assert answer.sql_period("SELECT 1") is None
 
 
@@ -123,14 +124,14 @@ def test_answers(spark, views):
     assert 'title="A &lt;b&gt;"' in answer.prompt("q", [chunk])
     cfg = config.Pipeline("t")
     calls = []
-    bot = answer.Assistant(spark, cfg, lambda q: calls.append(q) or [chunk], views, lambda q, e: "SELECT max(aqi) AS worst FROM city_aqi_daily")
+    bot = answer.Assistant(spark, cfg, lambda q: calls.append(q) or [chunk], views, lambda q, e, c: "SELECT max(aqi) AS worst FROM city_aqi_daily")
     assert bot.answer("Which air purifier should I buy?").route == "out_of_scope" and not calls
     mixed = bot.answer("What was the highest AQI in Kanpur, and what does Stage IV require?")
     assert mixed.route == "mixed" and set(mixed.citations) == {"c1", "SQL"} and "worst = 450" in mixed.text
-    broken = answer.Assistant(spark, cfg, lambda q: [chunk], views, lambda q, e: 1 / 0)
+    broken = answer.Assistant(spark, cfg, lambda q: [chunk], views, lambda q, e, c: 1 / 0)
     assert broken.answer("What was the highest AQI in Kanpur, and what does Stage IV require?").citations == ["c1"]
     with pytest.raises(ZeroDivisionError):
-        answer.Assistant(spark, cfg, lambda q: 1 / 0, views, lambda q, e: "").answer("What does Stage III of GRAP require?")
+        answer.Assistant(spark, cfg, lambda q: 1 / 0, views, lambda q, e, c: "").answer("What does Stage III of GRAP require?")
 
 
 def test_examples(spark):

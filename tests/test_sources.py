@@ -42,6 +42,13 @@ def test_store(spark, tmp_path):
     assert store.current(spark, root).first().chunk_id == 2
     c = str(tmp_path / "c")
     assert [store.build_collection(x, c) for x in (one, one, two)] == [True, False, True]
+    # New vectors for the same texts are another collection; an interrupted version is none; rows of one key are replaced.
+    v = [one.selectExpr("*", f"array({x}, 1.0) AS vector") for x in (1, 2)]
+    w = str(tmp_path / "w")
+    assert [store.build_collection(x, w) for x in (v[0], v[0], v[1])] == [True, False, True]
+    (tmp_path / "c" / "rows" / "v-99999999999999999999-part").mkdir()
+    assert store.current(spark, f"{c}/rows").first().chunk_id == 2 and store.versions(spark, str(tmp_path / "none")) == []
+    assert store.upsert(one, c) and store.current(spark, f"{c}/rows").count() == 2 and not store.upsert(one, c)
     store.write_lines(one, str(tmp_path / "j"))
     assert store.read_lines(spark, str(tmp_path / "j"), one.schema).collect() == one.collect()
     b = spark.createDataFrame([], BULLETIN)
