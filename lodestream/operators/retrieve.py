@@ -19,7 +19,8 @@ from lodestream.runtime import durable
 
 #: Queries compared in one pass over the vectors.
 QUERY_BLOCK = 2_000
-SPARSE_BLOCK = 250
+#: Queries multiplied at once with postings, and terms of queries that one pass over the postings takes.
+SPARSE_BLOCK, SPARSE_PASS = 250, 500_000
 #: Digits that scores are rounded to before they are ranked, so that summation order decides no tie.
 DIGITS = 6
 
@@ -109,52 +110,64 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sparse_search(query_terms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
     """Top k by the dot product over shared terms. ``query_terms``: query_id, term, weight. A query without terms finds nothing.
 
-    Queries go to the tasks in blocks as a matrix of terms by queries; postings are gathered per id, and each
+    Queries go to the tasks as matrices of terms by queries; postings are gathered per id, and each
     batch is a product of matrices of which k candidates per query go on. Joining postings and query terms
-    instead would make a row for every shared common word of every pair.
+    instead would make a row for every shared common word of every pair. The postings are read once for each
+    SPARSE_PASS terms of queries, which bounds what is sent to the tasks.
     """
     q = durable(query_terms.select("query_id", "term", "weight").dropna())
-    blocks, out = max(1, -(-q.agg(F.countDistinct("query_id")).first()[0] // SPARSE_BLOCK)), None
+    passes, out = max(1, -(-q.count() // SPARSE_PASS)), None
     lists = posts.groupBy("id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("p"))
     lists = lists.select("id", F.col("p.term").alias("t"), F.col("p.weight").alias("w"))
-    lists = durable(lists) if blocks > 1 else lists  # gathered once for all blocks
+    lists = durable(lists) if passes > 1 else lists  # gathered once for all passes
     kind = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", posts.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-    for n in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
-        found = lists.mapInArrow(_sparse(part.toPandas(), k, kind.names), kind)
+    for n in range(passes):
+        part = (q if passes == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n)).toPandas()
+        ids = part["query_id"].unique()
+        blocks = [part[part["query_id"].isin(ids[at : at + SPARSE_BLOCK])] for at in range(0, len(ids), SPARSE_BLOCK)]
+        sent = q.sparkSession.sparkContext.broadcast(blocks)
+        found = lists.mapInArrow(_sparse(sent, k, kind.names), kind)
         out = found if out is None else out.unionByName(found)
     return top(out, k)
 
 
-def _sparse(q: pd.DataFrame, k: int, names: list[str]):
-    queries, columns = pd.factorize(q["query_id"])[::-1]
-    terms = pd.Index(q["term"].unique())
-    matrix = np.zeros((len(terms), len(queries)))
-    np.add.at(matrix, (terms.get_indexer(q["term"]), columns), q["weight"].to_numpy(dtype=float))
-    shared = (matrix != 0).astype(np.float32)
-    positive = bool((matrix >= 0).all())  # then a score is above 0 exactly where a term is shared
-    ids = pa.array(queries)
+class _Queries:
+    """A block of queries as a matrix of terms by queries."""
+
+    def __init__(self, q: pd.DataFrame):
+        queries, columns = pd.factorize(q["query_id"])[::-1]
+        self.terms = pd.Index(q["term"].unique())
+        self.matrix = np.zeros((len(self.terms), len(queries)))
+        np.add.at(self.matrix, (self.terms.get_indexer(q["term"]), columns), q["weight"].to_numpy(dtype=float))
+        self.shared = (self.matrix != 0).astype(np.float32)
+        self.positive = bool((self.matrix >= 0).all())  # then a score is above 0 exactly where a term is shared
+        self.ids = pa.array(queries)
 
+
+def _sparse(sent, k: int, names: list[str]):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = None
         for b in batches:
-            if not len(queries):
-                continue
+            blocks = [_Queries(q) for q in sent.value] if blocks is None else blocks
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 size = np.diff(part.column("t").offsets.to_numpy())
-                row = terms.get_indexer(part.column("t").flatten().to_pandas())
-                doc = np.repeat(np.arange(part.num_rows), size)
-                hit = np.flatnonzero(row >= 0)
-                if not len(hit):
-                    continue
-                doc, row, w = doc[hit], row[hit], part.column("w").flatten().to_numpy()[hit]
-                start = np.flatnonzero(np.diff(doc, prepend=-1))
-                s = _sums(matrix, row, w, start).T
-                has = s > 0 if positive and w.min() > 0 else _sums(shared, row, None, start).T > 0
-                r = np.where(has, np.round(s, DIGITS), -np.inf)
-                keep = has if r.shape[1] <= k else has & (r >= np.partition(r, -k, axis=1)[:, -k][:, None])
-                qi, di = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(qi)), part.column("id").take(pa.array(doc[start][di])), pa.array(s[qi, di])], names=names)
+                every = part.column("t").flatten().to_pandas()
+                weight = part.column("w").flatten().to_numpy()
+                of = np.repeat(np.arange(part.num_rows), size)
+                for q in blocks:
+                    row = q.terms.get_indexer(every)
+                    hit = np.flatnonzero(row >= 0)
+                    if not len(hit):
+                        continue
+                    doc, row, w = of[hit], row[hit], weight[hit]
+                    start = np.flatnonzero(np.diff(doc, prepend=-1))
+                    s = _sums(q.matrix, row, w, start).T
+                    has = s > 0 if q.positive and w.min() > 0 else _sums(q.shared, row, None, start).T > 0
+                    r = np.where(has, np.round(s, DIGITS), -np.inf)
+                    keep = has if r.shape[1] <= k else has & (r >= np.partition(r, -k, axis=1)[:, -k][:, None])
+                    qi, di = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(qi)), part.column("id").take(pa.array(doc[start][di])), pa.array(s[qi, di])], names=names)
 
     return kernel
 
@@ -206,7 +219,7 @@ def overlap_score(query_terms: DataFrame, posts: DataFrame, candidates: DataFram
     """A stand-in for a cross-encoder: the share of a query's distinct terms that a candidate holds, as column ``rerank``."""
     q = query_terms.select("query_id", "term").distinct()
     n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    hit = candidates.select("query_id", "id").join(q, "query_id").join(posts.select("id", "term").distinct(), ["id", "term"]).groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
+    hit = candidates.select("query_id", "id").join(q, "query_id").join(posts.select("id", "term"), ["id", "term"], "left_semi").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
     j = candidates.join(n, "query_id", "left").join(hit, ["query_id", "id"], "left")
     return j.withColumn("rerank", F.round(F.coalesce(F.col("hits") / F.col("terms"), F.lit(0.0)), DIGITS)).drop("terms", "hits")
 
