@@ -17,9 +17,12 @@ null id or text are left out; null sizes say nothing; a null ocr is no scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +55,8 @@ CUT_END, CUT_START = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){LETTERED}[{HYPHENS}][\s]*$"
 MARK = "\u0001"
 INVISIBLE = "[\\u200b-\\u200f\\u2060\\ufeff]"
 SENTENCE_END = r"[.!?।;:,]['\")\]»”]*\s*$"
+#: Candidates for misreadings that are looked up from a list in each task; more are joined.
+LOOKED_UP = 200_000
 #: Blocks of a document whose lines are put in order together.
 SHARD = 512
 #: Groups of skeletons at least, and words of a group about at most.
@@ -160,7 +165,9 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     known = found.where(F.length("template") > 3).groupBy("template").agg(F.countDistinct("doc_id").alias("n"))
     known = small(durable(known.where(F.col("n") >= limits.documents).select(F.col("template").alias("k_form"))))
     lines = b.select("doc_id", "block_id", "block_no", "page", "kind", "ocr", "whole", F.posexplode(F.split("text", "\n")).alias("at", "line"), F.size(F.split("text", "\n")).alias("of"))
-    inner = (F.col("kind") == "text") & (F.col("of") > 1) & ~F.col("whole") & ~F.col("line").rlike(SENTENCE_END) & (F.length("line") <= limits.longest)
+    inner = (F.col("kind") == "text") & (F.col("of") > 1) & ~F.col("whole") & (F.length("line") <= limits.longest) & ~F.col("line").rlike(SENTENCE_END)
+    lines = lines.withColumn("inner", F.coalesce(inner, F.lit(False)))
+    inner = F.col("inner")
     lines = lines.withColumn("form", F.when(inner, _masked("line"))).withColumn("template", F.when(inner, _template("line")))
     lines = lines.join(local, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("form") == F.col("l_form")), "left")
     lines = lines.join(known, F.col("template") == F.col("k_form"), "left")
@@ -172,7 +179,8 @@ def own_lines(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     furniture = F.col("whole") | numbered | F.col("l_form").isNotNull() | F.col("k_form").isNotNull()
     tail = F.regexp_extract("line", rf"(?<![\p{{L}}\p{{M}}\p{{N}}])({LETTERED})[{HYPHENS}][\s]*$", 1)
     lines = lines.withColumn("furniture", F.coalesce(furniture, F.lit(False)))
-    lines = lines.withColumn("tail", F.when(tail != "", tail)).withColumn("start", F.regexp_extract("line", rf"^\s*({LETTERED})", 1))
+    cut = F.right(F.rtrim("line", F.lit(" \t\r\f\x0b")), F.lit(1)).isin(*HYPHENS)  # only then the pattern has to look
+    lines = lines.withColumn("tail", F.when(cut, F.nullif(tail, F.lit("")))).withColumn("start", F.regexp_extract("line", rf"^\s*({LETTERED})", 1))
     lines = durable(lines.select("doc_id", "block_id", "block_no", "page", "kind", "ocr", "at", "line", "whole", "furniture", "ahead", "tail", "start"))
     counted = lines.where("ahead IS NOT NULL").groupBy("doc_id", "ahead").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= limits.running)
     counted = small(durable(counted.select(F.col("doc_id").alias("c_doc"), F.col("ahead").alias("c_ahead"))))
@@ -301,6 +309,49 @@ def candidates(listed: DataFrame, limits: Limits) -> DataFrame:
     return words.unionByName(numbers)
 
 
+def _looked_up(listed: DataFrame, asked: list[str], sorts: list[str]) -> DataFrame:
+    """What occurrences gives of the words of two lists, found batch by batch: in scanned blocks those of ``asked`` (block_id, raw,
+    w, last, next), and anywhere the counts of those of ``sorts`` (w, last, next, s; '#' stands for any number)."""
+    names = ["block_id", "raw", "w", "last", "next", "s"]
+    any_number = "#" in sorts
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask, tell = pa.array(asked, pa.string()), pa.array(sorts, pa.string())
+        for b in batches:
+            ws = b.column("ws")
+            raw, ends = ws.flatten().cast(pa.string()), ws.offsets.to_numpy()
+            size = np.diff(ends)
+            n = len(raw)
+            if not n:
+                continue
+            marked = pc.match_substring(raw, MARK)
+            at = pa.array(np.flatnonzero(marked.to_numpy(zero_copy_only=False)))
+            plain = pc.list_element(pc.split_pattern(raw.take(at), MARK, max_splits=1), 0) if len(at) else None
+            w = pc.replace_with_mask(raw, marked, plain) if plain is not None else raw
+            first, last = np.zeros(n, bool), np.zeros(n, bool)
+            edge = np.cumsum(size)
+            first[(edge - size)[size > 0]], last[edge[size > 0] - 1] = True, True
+            place = np.arange(n)
+            before = w.take(pa.array(np.maximum(place - 1, 0), mask=first))
+            after = w.take(pa.array(np.minimum(place + 1, n - 1), mask=last))
+            row = np.repeat(np.arange(b.num_rows), size)
+            scanned = b.column("ocr").to_numpy(zero_copy_only=False)[row].astype(bool)
+            hit = pa.array(np.flatnonzero(scanned & pc.is_in(w, value_set=ask).to_numpy(zero_copy_only=False)))
+            if len(hit):
+                cols = [b.column("block_id").take(pa.array(row[hit.to_numpy()])), raw.take(hit), w.take(hit), before.take(hit), after.take(hit), pa.array(np.ones(len(hit), np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+            if any_number:
+                w = pc.if_else(pc.match_substring_regex(w, r"^\pN+$"), "#", w)
+            known = pc.is_in(w, value_set=tell)
+            counted = pa.table({"w": w.filter(known), "last": before.filter(known), "next": after.filter(known)}).group_by(["w", "last", "next"]).aggregate([([], "count_all")])
+            if len(counted):
+                none = pa.nulls(len(counted), pa.string())
+                t = pa.table([none, none, *(counted.column(c) for c in ("w", "last", "next", "count_all"))], names=names)
+                yield from t.combine_chunks().to_batches()
+
+    return listed.select("block_id", "ocr", "ws").mapInArrow(kernel, "block_id string, raw string, w string, last string, next string, s long")
+
+
 def misreadings(listed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The words of scanned blocks that are misreadings: block_id, w, fix, place (of the first difference), cut and other (of joined words).
 
@@ -308,12 +359,17 @@ def misreadings(listed: DataFrame, limits: Limits = Limits()) -> DataFrame:
     such a neighbour somewhere else. Of several fixes the best supported is taken, then the nearest, then the most frequent.
     """
     pairs = durable(candidates(listed, limits))
-    asked, sorts = small(durable(pairs.select("w").distinct())), small(durable(pairs.select(F.col("sort").alias("w")).distinct()))
-    each = occurrences(listed)
-    met = each.where("ocr").join(asked, "w").select("block_id", "raw", "w", _beside(F.col("last")).alias("l"), _beside(F.col("next")).alias("f"))
-    met = durable(met.groupBy("block_id", "raw", "w", "l", "f").agg(F.count(F.lit(1)).alias("times")))
-    told = each.withColumn("w", F.when(F.col("w").rlike(r"^\p{N}+$"), "#").otherwise(F.col("w"))).join(sorts, "w")
-    told = told.groupBy("w", "last", "next").agg(F.count(F.lit(1)).alias("s"))
+    asked, sorts = pairs.select("w").distinct(), pairs.select(F.col("sort").alias("w")).distinct()
+    if pairs.count() <= LOOKED_UP:
+        looked = durable(_looked_up(listed, [r.w for r in asked.toLocalIterator()], [r.w for r in sorts.toLocalIterator()]))
+        met, told = looked.where("block_id IS NOT NULL"), looked.where("block_id IS NULL")
+    else:
+        each = occurrences(listed)
+        met = each.where("ocr").join(durable(asked), "w").withColumn("s", F.lit(1).cast("long"))
+        told = each.withColumn("w", F.when(F.col("w").rlike(r"^\p{N}+$"), "#").otherwise(F.col("w"))).join(durable(sorts), "w").withColumn("s", F.lit(1).cast("long"))
+    met = met.select("block_id", "raw", "w", _beside(F.col("last")).alias("l"), _beside(F.col("next")).alias("f"))
+    met = durable(met.distinct())
+    told = told.groupBy("w", "last", "next").agg(F.sum("s").alias("s"))
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("last").alias("by")), F.struct(F.lit("f").alias("side"), F.col("next").alias("by"))))
     told = told.select(F.col("w").alias("sort"), "s", sides.alias("x")).where("x.by IS NOT NULL").groupBy("sort", "x.side", _beside(F.col("x.by")).alias("by")).agg(F.sum("s").alias("s"))
     asks = met.join(pairs, "w").withColumn("no", F.xxhash64("block_id", "raw", "l", "f"))
