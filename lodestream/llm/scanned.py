@@ -289,6 +289,8 @@ def candidates(listed: DataFrame, limits: Limits) -> DataFrame:
                 for n2, _, c in group:
                     if n2 < n * (limits.firm if digital else limits.rarer):
                         break
+                    if c.isdigit():  # numbers are looked at by their shape
+                        continue
                     d = confusable.count(w, c, limits.confusions)
                     if 0 < d <= limits.confusions:
                         out.append((w, c, n2, d))
