@@ -432,6 +432,9 @@ def paragraphs(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     text = F.when(F.col("joins"), F.concat(bare, F.when(F.col("broken"), "").otherwise("-"), "head")).otherwise(F.col("line"))
     text = F.when(F.col("eaten").isNotNull(), F.regexp_replace(text, CUT_START, "")).otherwise(text)
     own = own.withColumn("text", text)
+    # Only blocks with a misread word are taken apart.
+    mended = small(durable(fixes.select("block_id").distinct()))
+    whole_lines, own = own.join(mended, "block_id", "left_anti"), own.join(mended, "block_id", "left_semi")
     cut = own.select("block_id", "at", "ocr", F.posexplode(F.regexp_extract_all("text", F.lit(rf"({WORD}|[^\p{{L}}\p{{M}}\p{{N}}]+)"))).alias("i", "piece"))
     each = small(fixes.groupBy("block_id", "w").agg(F.min("fix").alias("fix")))
     fixed = cut.withColumn("w", F.when(F.col("ocr"), F.lower("piece"))).join(each, ["block_id", "w"], "left")
@@ -439,7 +442,8 @@ def paragraphs(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     shaped = F.when(F.col("piece").rlike(r"^\p{Lu}{2,}"), F.upper("fix")).when(capital, F.concat(F.upper(F.substring("fix", 1, 1)), F.expr("substring(fix, 2)"))).otherwise(F.col("fix"))
     fixed = fixed.select("block_id", "at", F.struct("i", F.when(F.col("fix").isNotNull(), shaped).otherwise(F.col("piece")).alias("p")).alias("p"))
     line = fixed.groupBy("block_id", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["p"]), "").alias("text"))
-    own = own.drop("text").join(line, ["block_id", "at"])
+    kept = ["doc_id", "block_id", "block_no", "kind", "at", "text"]
+    own = own.drop("text").join(line, ["block_id", "at"]).select(*kept).unionByName(whole_lines.select(*kept))
     per = own.groupBy("doc_id", "block_id", "block_no", "kind").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("ls"))
     whole = F.when(F.col("kind") == "text", F.trim(F.regexp_replace(F.array_join("ls.text", " "), r"\s+", " "))).otherwise(F.array_join("ls.text", "\n"))
     per = per.select("doc_id", "block_id", "block_no", "kind", whole.alias("text")).where("text <> ''")
