@@ -15,12 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestream.operators import sparse
 from lodestream.runtime import durable
 
 #: Queries compared in one pass over the vectors.
 QUERY_BLOCK = 2_000
-#: Queries multiplied at once with postings, and terms of queries that one pass over the postings takes.
-SPARSE_BLOCK, SPARSE_PASS = 250, 500_000
 #: Digits that scores are rounded to before they are ranked, so that summation order decides no tie.
 DIGITS = 6
 
@@ -99,7 +98,7 @@ def _search(q: pd.DataFrame, k: int, names: list[str]):
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``term``, ``tf``, ``weight``: words in lower case with term frequency times inverse document frequency."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
+    words = sparse.words(F.col(text_col))
     tf = docs.select(F.col(id_col).alias("id"), F.explode(words).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.where(F.size(words) > 0).agg(F.count(F.lit(1)).alias("n"))
@@ -109,81 +108,24 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sparse_search(query_terms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
     """Top k by the dot product over shared terms. ``query_terms``: query_id, term, weight. A query without terms finds nothing.
+    ``posts``: id, term, weight, or the lists of ``sparse.posting_lists``.
 
-    Queries go to the tasks as matrices of terms by queries; postings are gathered per id, and each
-    batch is a product of matrices of which k candidates per query go on. Joining postings and query terms
-    instead would make a row for every shared common word of every pair. The postings are read once for each
-    SPARSE_PASS terms of queries, which bounds what is sent to the tasks.
+    Queries go to the tasks as rows of term codes; every task bounds the products of its texts with all queries and makes those
+    that may reach a query's k best. Joining postings and query terms instead would make a row for every shared common word of
+    every pair. The postings are read once for each ``sparse.PASS`` terms of queries, which bounds what is sent to the tasks.
     """
-    q = durable(query_terms.select("query_id", "term", "weight").dropna())
-    passes, out = max(1, -(-q.count() // SPARSE_PASS)), None
-    lists = posts.groupBy("id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("p"))
-    lists = lists.select("id", F.col("p.term").alias("t"), F.col("p.weight").alias("w"))
-    lists = durable(lists) if passes > 1 else lists  # gathered once for all passes
+    q = durable(query_terms.select("query_id", "term", F.col("weight").cast("double").alias("weight")).dropna())
+    lists, passes, out = sparse.gathered(posts), max(1, -(-q.count() // sparse.PASS)), None
     kind = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", posts.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     for n in range(passes):
-        part = (q if passes == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n)).toPandas()
-        ids = part["query_id"].unique()
-        blocks = [part[part["query_id"].isin(ids[at : at + SPARSE_BLOCK])] for at in range(0, len(ids), SPARSE_BLOCK)]
-        sent = q.sparkSession.sparkContext.broadcast(blocks)
-        found = lists.mapInArrow(_sparse(sent, k, kind.names), kind)
+        asked = sparse.asked_of(q if passes == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n))
+        sparse.set_floors(asked, lists, k)
+        sent = q.sparkSession.sparkContext.broadcast(asked.sorted_by_reach().fit())
+        found = lists.mapInArrow(sparse.search(sent, k, kind.names), kind)
         out = found if out is None else out.unionByName(found)
     return top(out, k)
 
 
-class _Queries:
-    """A block of queries as a matrix of terms by queries."""
-
-    def __init__(self, q: pd.DataFrame):
-        queries, columns = pd.factorize(q["query_id"])[::-1]
-        self.terms = pd.Index(q["term"].unique())
-        self.matrix = np.zeros((len(self.terms), len(queries)))
-        np.add.at(self.matrix, (self.terms.get_indexer(q["term"]), columns), q["weight"].to_numpy(dtype=float))
-        self.shared = (self.matrix != 0).astype(np.float32)
-        self.positive = bool((self.matrix >= 0).all())  # then a score is above 0 exactly where a term is shared
-        self.ids = pa.array(queries)
-
-
-def _sparse(sent, k: int, names: list[str]):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = None
-        for b in batches:
-            blocks = [_Queries(q) for q in sent.value] if blocks is None else blocks
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                size = np.diff(part.column("t").offsets.to_numpy())
-                every = part.column("t").flatten().to_pandas()
-                weight = part.column("w").flatten().to_numpy()
-                of = np.repeat(np.arange(part.num_rows), size)
-                for q in blocks:
-                    row = q.terms.get_indexer(every)
-                    hit = np.flatnonzero(row >= 0)
-                    if not len(hit):
-                        continue
-                    doc, row, w = of[hit], row[hit], weight[hit]
-                    start = np.flatnonzero(np.diff(doc, prepend=-1))
-                    s = _sums(q.matrix, row, w, start).T
-                    has = s > 0 if q.positive and w.min() > 0 else _sums(q.shared, row, None, start).T > 0
-                    r = np.where(has, np.round(s, DIGITS), -np.inf)
-                    keep = has if r.shape[1] <= k else has & (r >= np.partition(r, -k, axis=1)[:, -k][:, None])
-                    qi, di = np.nonzero(keep)
-                    yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(qi)), part.column("id").take(pa.array(doc[start][di])), pa.array(s[qi, di])], names=names)
-
-    return kernel
-
-
-def _sums(matrix: np.ndarray, row: np.ndarray, w: np.ndarray | None, start: np.ndarray) -> np.ndarray:
-    """Rows of the matrix, times ``w``, summed from each start to the next; a few texts at a time, which stay in the cache."""
-    out, ends = np.empty((len(start), matrix.shape[1])), np.append(start, len(row))
-    for a in range(0, len(start), 4):
-        e = min(a + 4, len(start))
-        part = matrix[row[ends[a] : ends[e]]]
-        if w is not None:
-            part *= w[ends[a] : ends[e], None]
-        np.add.reduceat(part, start[a:e] - start[a], axis=0, out=out[a:e])
-    return out
-
-
 def fuse(lists: Sequence[DataFrame], weights: Sequence[Column]) -> DataFrame:
     """One list: the sum of what each list gives an id; ties go to the first list, then the better rank in it, then the id.
 
@@ -217,6 +159,7 @@ def weighted(dense: DataFrame, sparse: DataFrame, alpha: float = 0.5) -> DataFra
 
 def overlap_score(query_terms: DataFrame, posts: DataFrame, candidates: DataFrame) -> DataFrame:
     """A stand-in for a cross-encoder: the share of a query's distinct terms that a candidate holds, as column ``rerank``."""
+    posts = sparse.long(posts) if sparse.is_lists(posts) else posts
     q = query_terms.select("query_id", "term").distinct()
     n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
     hit = candidates.select("query_id", "id").join(q, "query_id").join(posts.select("id", "term"), ["id", "term"], "left_semi").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))

@@ -16,10 +16,11 @@ from lodestream.config import Pipeline, Retrieval
 from lodestream.functions import routing
 from lodestream.operators import documents as D
 from lodestream.operators import retrieve as R
+from lodestream.operators import sparse as sparse_lists
 from lodestream.plans import answer
 from lodestream.plans.q_documents import SECTIONS_SQL as _SECTIONS
 from lodestream.plans.retriever import Retriever
-from lodestream.runtime import durable, spread, table
+from lodestream.runtime import spread, table
 
 K = 10
 _LIST = ("query_id", "id", "rank", "score")
@@ -41,8 +42,12 @@ def _posts(s: SparkSession, d: str) -> DataFrame:
     return R.postings(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
-def _asked_terms(posts: DataFrame) -> DataFrame:
-    return posts.where("id % 20 = 0").select(F.col("id").alias("query_id"), "term", "weight")
+def _lists(s: SparkSession, d: str) -> DataFrame:
+    return sparse_lists.posting_lists(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def _asked_terms(lists: DataFrame) -> DataFrame:
+    return sparse_lists.long(lists.where("id % 20 = 0")).select(F.col("id").alias("query_id"), "term", "weight")
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -54,7 +59,7 @@ def dense(s: SparkSession, d: str, k: int = 50) -> DataFrame:
 
 
 def sparse(s: SparkSession, d: str, k: int = 50, posts: DataFrame | None = None) -> DataFrame:
-    posts = durable(_posts(s, d)) if posts is None else posts
+    posts = _lists(s, d) if posts is None else posts
     return R.sparse_search(_asked_terms(posts), posts, k)
 
 
@@ -83,7 +88,7 @@ def weighted_fusion(s: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(s: SparkSession, d: str) -> DataFrame:
-    posts = durable(_posts(s, d))
+    posts = _lists(s, d)
     fused = R.rrf([dense(s, d), sparse(s, d, posts=posts)]).where("rank <= 30")
     return R.overlap_score(_asked_terms(posts), posts, fused)
 
@@ -103,7 +108,7 @@ def mmr_topk(s: SparkSession, d: str) -> DataFrame:
 def _configured(s: SparkSession, d: str, **retrieval) -> DataFrame:
     """The asked vectors and documents through a retriever of that configuration."""
     cfg = Pipeline("query", retrieval=Retrieval(current_only=False, **retrieval))
-    posts = durable(_posts(s, d))
+    posts = _lists(s, d)
     found = Retriever(cfg, _vectors(s, d).select("id", "vector"), posts).retrieve(_asked(s, d), _asked_terms(posts))
     return found.select("query_id", "id", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
 
