@@ -159,10 +159,14 @@ def weighted(dense: DataFrame, sparse: DataFrame, alpha: float = 0.5) -> DataFra
 
 def overlap_score(query_terms: DataFrame, posts: DataFrame, candidates: DataFrame) -> DataFrame:
     """A stand-in for a cross-encoder: the share of a query's distinct terms that a candidate holds, as column ``rerank``."""
-    posts = sparse.long(posts) if sparse.is_lists(posts) else posts
+    candidates = durable(candidates)  # they are read twice
     q = query_terms.select("query_id", "term").distinct()
     n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    hit = candidates.select("query_id", "id").join(q, "query_id").join(posts.select("id", "term"), ["id", "term"], "left_semi").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
+    if sparse.is_lists(posts) and candidates.count() <= sparse.PAIRS and query_terms.count() <= sparse.PASS:
+        hit = sparse.hits(q.dropna(), posts, candidates.select("query_id", "id"))
+    else:
+        posts = sparse.long(posts) if sparse.is_lists(posts) else posts
+        hit = candidates.select("query_id", "id").join(q, "query_id").join(posts.select("id", "term"), ["id", "term"], "left_semi").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
     j = candidates.join(n, "query_id", "left").join(hit, ["query_id", "id"], "left")
     return j.withColumn("rerank", F.round(F.coalesce(F.col("hits") / F.col("terms"), F.lit(0.0)), DIGITS)).drop("terms", "hits")
 

@@ -25,7 +25,7 @@ PASS, PAIRS, VOCABULARY = 4_000_000, 4_000_000, 500_000
 #: Queries without a bound that are multiplied at once; texts and queries of one dense product; elements of what is held densely.
 LOOSE_BLOCK, TEXTS, QUERIES, CELLS = 250, 1024, 4096, 4_000_000
 #: Directions of the projection, terms and queries it is fitted to, and the longest texts that give the first bound.
-DIRECTIONS, FIT_TERMS, FIT_QUERIES, LONGEST = 384, 4096, 2048, 8192
+DIRECTIONS, FIT_TERMS, FIT_QUERIES, LONGEST = 256, 4096, 2048, 8192
 #: What single precision may be off by, as a share of the product of the lengths.
 SLACK = 5e-5
 DIGITS = 6
@@ -37,7 +37,8 @@ def words(text) -> F.Column:
 
 
 def posting_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``t``, ``tf``, ``w``: what ``retrieve.postings`` gives, as arrays, one row per id with words; a written table.
+    """``id``, ``t``, ``tf``, ``w``, ``n``, ``m``: what ``retrieve.postings`` gives, as arrays, one row per id with words, with the sum of
+    squares and the least of the weights; a written table.
 
     Words are counted text by text, so that only texts whose id occurs again are shuffled.
     """
@@ -53,10 +54,10 @@ def posting_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if df.count() > VOCABULARY:
         long = counted.select("id", F.explode(F.arrays_zip("t", "tf")).alias("p")).select("id", F.col("p.t").alias("term"), F.col("p.tf").alias("tf")).join(idf, "term")
         g = long.groupBy("id").agg(F.collect_list(F.struct("term", "tf", (F.col("tf") * F.col("idf")).alias("w"))).alias("p"))
-        return durable(g.select("id", F.col("p.term").alias("t"), F.col("p.tf").alias("tf"), F.col("p.w").alias("w")))
+        return durable(_sized(g.select("id", F.col("p.term").alias("t"), F.col("p.tf").alias("tf"), F.col("p.w").alias("w"))))
     known = idf.toArrow().to_pandas()
     sent = docs.sparkSession.sparkContext.broadcast((pa.array(known["term"], pa.string()), known["idf"].to_numpy(dtype=float)))
-    return durable(counted.mapInArrow(_weighted(sent), T.StructType([*kind, T.StructField("w", T.ArrayType(T.DoubleType()))])))
+    return durable(counted.mapInArrow(_weighted(sent), T.StructType([*kind, T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("n", T.DoubleType()), T.StructField("m", T.DoubleType())])))
 
 
 def long(lists: DataFrame) -> DataFrame:
@@ -69,11 +70,15 @@ def is_lists(posts: DataFrame) -> bool:
 
 
 def gathered(posts: DataFrame) -> DataFrame:
-    """``id``, ``t``, ``w`` of postings in either form."""
+    """``id``, ``t``, ``w``, ``n``, ``m`` of postings in either form."""
     if is_lists(posts):
-        return posts.select("id", "t", "w")
+        return posts.select("id", "t", "w", "n", "m")
     g = posts.groupBy("id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("p"))
-    return durable(g.select("id", F.col("p.term").alias("t"), F.col("p.weight").alias("w")))
+    return durable(_sized(g.select("id", F.col("p.term").alias("t"), F.col("p.weight").alias("w"))))
+
+
+def _sized(lists: DataFrame) -> DataFrame:
+    return lists.withColumns({"n": F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x), "m": F.array_min("w")})
 
 
 def _lists(size: np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -102,7 +107,10 @@ def _weighted(sent):
         for b in batches:
             at = pc.index_in(b.column("t").flatten(), value_set=terms).to_numpy(zero_copy_only=False)
             w = b.column("tf").flatten().to_numpy() * idf[at]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), b.column("tf"), _lists(np.diff(b.column("t").offsets.to_numpy()), pa.array(w))], names=["id", "t", "tf", "w"])
+            if b.num_rows:
+                start = b.column("t").offsets.to_numpy()
+                each = [pa.array(f.reduceat(x, start[:-1])) for f, x in ((np.add, w**2), (np.minimum, w))]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), b.column("tf"), _lists(np.diff(start), pa.array(w)), *each], names=["id", "t", "tf", "w", "n", "m"])
 
     return kernel
 
@@ -150,17 +158,13 @@ class Asked:
 
     def project(self, code: np.ndarray, weight: np.ndarray, start: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows on the directions, and the length that is left."""
-        out = np.zeros((len(norm), self.basis.shape[1]), dtype=np.float32)
-        col = self.column[code]
-        row = np.repeat(np.arange(len(norm)), np.diff(start))[col >= 0]
-        w, col = weight[col >= 0].astype(np.float32), col[col >= 0]
-        first = np.searchsorted(row, np.arange(len(norm) + 1))
-        for a in range(0, len(norm), 8):
-            e = min(a + 8, len(norm))
-            some = a + np.flatnonzero(np.diff(first[a : e + 1]))
-            if len(some):
-                at = slice(first[a], first[e])
-                out[some] = np.add.reduceat(self.basis[col[at]] * w[at, None], first[some] - first[a], axis=0)
+        out = np.empty((len(norm), self.basis.shape[1]), dtype=np.float32)
+        col, row = self.column[code], np.repeat(np.arange(len(norm)), np.diff(start))
+        for at in range(0, len(norm), TEXTS):
+            e = min(at + TEXTS, len(norm))
+            c, held = col[start[at] : start[e]], np.zeros((e - at, len(self.basis)), dtype=np.float32)
+            held[row[start[at] : start[e]][c >= 0] - at, c[c >= 0]] = weight[start[at] : start[e]][c >= 0]
+            out[at:e] = held @ self.basis
         inside = np.einsum("ij,ij->i", out, out, dtype=float)
         return out, np.sqrt(np.maximum(norm**2 - inside, 0) + 1e-6 * norm**2)
 
@@ -238,8 +242,8 @@ def set_floors(asked: Asked, lists: DataFrame, k: int) -> None:
     Weights of 0 or less leave all floors at 0.
     """
     s = lists.sparkSession
-    sized = lists.select("t", "w", F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x).alias("n"))
-    n = sized.agg(F.count(F.lit(1)).alias("rows"), F.min(F.array_min("w")).alias("least")).first()
+    sized = lists
+    n = lists.agg(F.count(F.lit(1)).alias("rows"), F.min("m").alias("least")).first()
     if not n["rows"] or not len(asked.ids) or n["least"] is None or n["least"] <= 0 or not (asked.weight > 0).all():
         return
     if n["rows"] > LONGEST:
@@ -347,6 +351,44 @@ def _bounded(a: Asked, code: np.ndarray, weight: np.ndarray, start: np.ndarray,
         yield qi[keep], di[keep], s[keep]
 
 
+def overlaps(sent):
+    """Batches of posting lists to (query_id, id, hits): how many of a query's terms a text has, for the pairs that are sent."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, ids, first, query = sent.value
+        for b in batches:
+            at = pc.index_in(b.column("id"), value_set=ids)
+            b = b.filter(pc.is_valid(at))
+            of, code, weight, start = coded(b, a.terms, weights=False)
+            if not len(of):
+                continue
+            at = at.drop_null().to_numpy()[of]
+            for n in range(0, len(of), 64):
+                e = min(n + 64, len(of))
+                size = first[at[n:e] + 1] - first[at[n:e]]
+                di, qi = np.repeat(np.arange(e - n), size), query[spans(first[at[n:e]], size)]
+                s = Texts(a, code[start[n] : start[e]], weight[start[n] : start[e]], start[n : e + 1] - start[n]).products(di, qi, a.weight)
+                some = np.flatnonzero(s > 0)
+                yield pa.RecordBatch.from_arrays([a.ids.take(pa.array(qi[some])), b.column("id").take(pa.array(of[n + di[some]])), pa.array(s[some].astype(np.int64))], names=["query_id", "id", "hits"])
+
+    return kernel
+
+
+def hits(q: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``query_id``, ``id``, ``hits`` of pairs that share a term, by one scan of the lists. ``q``: distinct query_id, term; ``pairs``: query_id, id."""
+    asked = asked_of(q.withColumn("weight", F.lit(1.0)))
+    p = pairs.toArrow().to_pandas()
+    qi = pd.Index(asked.ids.to_pandas()).get_indexer(p["query_id"])
+    p = p[(qi >= 0) & p["id"].notna()].assign(qi=qi[(qi >= 0) & p["id"].notna()])
+    row, ids = pd.factorize(p["id"])
+    order = np.argsort(row, kind="stable")
+    first = np.searchsorted(row[order], np.arange(len(ids) + 1))
+    kind = T.StructType([q.schema["query_id"], pairs.schema["id"], T.StructField("hits", T.LongType())])
+    held = pa.array(ids, pairs.select("id").limit(0).toArrow().schema.field("id").type)
+    sent = q.sparkSession.sparkContext.broadcast((asked, held, first, p["qi"].to_numpy()[order]))
+    return lists.select("id", "t").mapInArrow(overlaps(sent), kind)
+
+
 def _loose(a: Asked, code: np.ndarray, weight: np.ndarray, start: np.ndarray, k: int):
     """Queries without a floor: products with all texts, of which k of each 500 texts go on."""
     for n in range(0, a.loose, LOOSE_BLOCK):

@@ -74,3 +74,16 @@ def test_weights_below_zero_and_short_tables(spark):
         assert [r.id for r in sorted((r for r in got if r.query_id == n), key=lambda r: r.rank)] == sorted(s, key=lambda i: (-s[i], i))[:4]
     assert {r.query_id for r in got} == {1, 2}
     assert R.sparse_search(q.where("query_id > 3"), posts, 4).count() == 0
+
+
+def test_overlap_is_counted_in_one_scan_of_the_lists(spark):
+    rnd = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rnd.integers(40, size=int(rnd.integers(0, 30))))) for i in range(300)], "id long, text string").repartition(3)
+    lists = S.posting_lists(docs, "id", "text")
+    posts = S.long(lists)
+    q = posts.where("id % 20 = 0").selectExpr("id AS query_id", "term", "weight")
+    pairs = [(int(a), int(b), n) for n, (a, b) in enumerate({(20 * rnd.integers(17), rnd.integers(320)) for _ in range(400)})]
+    cand = spark.createDataFrame(pairs, "query_id long, id long, rank int")
+    got = R.overlap_score(q, lists, cand)
+    assert "SortMergeJoin" not in str(spark._jvm.PythonSQLUtils.explainString(S.hits(q.select("query_id", "term").distinct(), lists, cand)._jdf.queryExecution(), "simple"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.overlap_score(q, posts, cand).select(*got.columns).collect()))
