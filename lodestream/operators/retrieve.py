@@ -108,22 +108,32 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sparse_search(query_terms: DataFrame, posts: DataFrame, k: int) -> DataFrame:
     """Top k by the dot product over shared terms. ``query_terms``: query_id, term, weight. A query without terms finds nothing.
-    ``posts``: id, term, weight, or the lists of ``sparse.posting_lists``.
+    ``posts``: id, term, weight, or the lists of ``sparse.posting_lists``; with these the query terms may be some of the lists, their ids as query_id.
 
     Queries go to the tasks as rows of term codes; every task bounds the products of its texts with all queries and makes those
     that may reach a query's k best. Joining postings and query terms instead would make a row for every shared common word of
     every pair. The postings are read once for each ``sparse.PASS`` terms of queries, which bounds what is sent to the tasks.
     """
-    q = durable(query_terms.select("query_id", "term", F.col("weight").cast("double").alias("weight")).dropna())
-    lists, passes, out = sparse.gathered(posts), max(1, -(-q.count() // sparse.PASS)), None
-    kind = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", posts.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    lists = sparse.gathered(posts)
+    if sparse.is_lists(query_terms):
+        q = query_terms.select("query_id", "t", "w")
+    else:
+        q = durable(sparse.recoded(query_terms.select("query_id", "term", F.col("weight").cast("double").alias("weight")).dropna(), lists))
+    passes, out = max(1, -(-sparse.size_of(q) // sparse.PASS)), None
+    lists, copies = sparse.once(lists, k)
     for n in range(passes):
-        asked = sparse.asked_of(q if passes == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n))
+        asked = sparse.asked_of(sparse.block(q, n, passes))
+        same = asked.merged()
+        kind = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType if same is None else T.LongType()), T.StructField("id", posts.schema["id"].dataType), T.StructField("score", T.DoubleType())])
         sparse.set_floors(asked, lists, k)
         sent = q.sparkSession.sparkContext.broadcast(asked.sorted_by_reach().fit())
-        found = lists.mapInArrow(sparse.search(sent, k, kind.names), kind)
+        found = top(lists.mapInArrow(sparse.search(sent, k, kind.names), kind), k)
+        if copies is not None:
+            found = top(found.drop("rank").join(copies, "id", "left").select("query_id", F.coalesce("copy", "id").alias("id"), "score"), k)
+        if same is not None:
+            found = found.withColumnRenamed("query_id", "at").join(durable(q.sparkSession.createDataFrame(same)), "at").select("query_id", "id", "score", "rank")
         out = found if out is None else out.unionByName(found)
-    return top(out, k)
+    return out
 
 
 def fuse(lists: Sequence[DataFrame], weights: Sequence[Column]) -> DataFrame:
@@ -160,12 +170,19 @@ def weighted(dense: DataFrame, sparse: DataFrame, alpha: float = 0.5) -> DataFra
 def overlap_score(query_terms: DataFrame, posts: DataFrame, candidates: DataFrame) -> DataFrame:
     """A stand-in for a cross-encoder: the share of a query's distinct terms that a candidate holds, as column ``rerank``."""
     candidates = durable(candidates)  # they are read twice
-    q = query_terms.select("query_id", "term").distinct()
-    n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    if sparse.is_lists(posts) and candidates.count() <= sparse.PAIRS and query_terms.count() <= sparse.PASS:
-        hit = sparse.hits(q.dropna(), posts, candidates.select("query_id", "id"))
+    if sparse.is_lists(query_terms):
+        q, n = query_terms, query_terms.select("query_id", F.size("t").alias("terms"))
+    else:
+        q = query_terms.select("query_id", "term").distinct()
+        n = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
+    if sparse.is_lists(posts):
+        pairs, hit = candidates.select("query_id", "id"), None
+        q = q if sparse.is_lists(q) else durable(q.dropna())
+        passes = max(1, -(-candidates.count() // sparse.PAIRS), -(-sparse.size_of(q) // sparse.PASS))
+        for at in range(passes):
+            part = sparse.hits(sparse.block(q, at, passes), posts, sparse.block(pairs, at, passes))
+            hit = part if hit is None else hit.unionByName(part)
     else:
-        posts = sparse.long(posts) if sparse.is_lists(posts) else posts
         hit = candidates.select("query_id", "id").join(q, "query_id").join(posts.select("id", "term"), ["id", "term"], "left_semi").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("hits"))
     j = candidates.join(n, "query_id", "left").join(hit, ["query_id", "id"], "left")
     return j.withColumn("rerank", F.round(F.coalesce(F.col("hits") / F.col("terms"), F.lit(0.0)), DIGITS)).drop("terms", "hits")

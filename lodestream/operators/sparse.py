@@ -1,8 +1,9 @@
 """Sparse search: postings as one list per text, and exact products of many queries with many texts.
 
-A product is bounded before it is made. Queries and texts are projected on a few directions, in which their product is one
-of small dense matrices; what the projection leaves contributes at most the product of its lengths (Cauchy-Schwarz). Only pairs
-whose bound reaches the query's k-th best score among the longest texts are scored in full, so nothing is lost.
+A product is bounded before it is made. The terms are put into groups, the heaviest alone in theirs; in a group a query and a
+text have at most the product of their lengths there (Cauchy-Schwarz), so the bound is a product of small dense matrices. Only pairs
+whose bound reaches the query's k-th best score among the longest texts are scored in full, so nothing is lost. Equal texts, and
+equal queries, are searched once.
 """
 
 from __future__ import annotations
@@ -14,18 +15,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestream.runtime import durable
+from lodestream.runtime import durable, scratch_path, small
 
 #: Terms of queries that one pass over the postings takes, pairs that one pass counts, distinct terms sent to the tasks.
 PASS, PAIRS, VOCABULARY = 4_000_000, 4_000_000, 500_000
 #: Queries without a bound that are multiplied at once; texts and queries of one dense product; elements of what is held densely.
 LOOSE_BLOCK, TEXTS, QUERIES, CELLS = 250, 1024, 4096, 4_000_000
-#: Directions of the projection, terms and queries it is fitted to, and the longest texts that give the first bound.
-DIRECTIONS, FIT_TERMS, FIT_QUERIES, LONGEST = 256, 4096, 2048, 8192
+#: Groups of terms, of which half are single terms, and the longest texts that give the first bound.
+GROUPS, LONGEST = 512, 8192
+#: Texts whose words are counted at once; distinct texts that are sent to the tasks to leave out the others.
+COUNTED, DISTINCT = 250, 4_000_000
 #: What single precision may be off by, as a share of the product of the lengths.
 SLACK = 5e-5
 DIGITS = 6
@@ -40,8 +43,114 @@ def posting_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``t``, ``tf``, ``w``, ``n``, ``m``: what ``retrieve.postings`` gives, as arrays, one row per id with words, with the sum of
     squares and the least of the weights; a written table.
 
-    Words are counted text by text, so that only texts whose id occurs again are shuffled.
+    Words are counted text by text, so that only texts whose id occurs again are shuffled. ``t`` holds codes of terms, and the table
+    of the terms is named in its metadata; ``h`` is a hash of the text. Where an id occurs again, or there are more than
+    ``VOCABULARY`` terms, ``t`` holds the terms and there is no ``h``.
     """
+    if not docs.groupBy(id_col).count().where("count > 1").limit(1).count() and (lists := _coded_lists(docs, id_col, text_col)) is not None:
+        return lists
+    return _term_lists(docs, id_col, text_col)
+
+
+def _coded_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """None if there are too many terms, or two of one hash."""
+    s, ids = docs.sparkSession, T.StructField("id", docs.schema[id_col].dataType)
+    kind = T.StructType([ids, T.StructField("h", T.BinaryType()), T.StructField("t", T.ArrayType(T.LongType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+    kind.add("v", T.ArrayType(T.StructType().add("term", "string").add("hash", "long").add("df", "long")))
+    lower = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("x"))
+    counted = durable(lower.select("id", F.unhex(F.sha2("x", 256)).alias("h"), "x").mapInArrow(_spelt(s.sparkContext.broadcast(word_characters(s))), kind))
+    n = counted.where("id IS NOT NULL").count()  # as the SQL counts them
+    v = durable(counted.select(F.inline("v")).groupBy("term", "hash").agg(F.sum("df").alias("df")))
+    if v.count() > VOCABULARY:
+        return None
+    v = v.toArrow().to_pandas().sort_values("term", ignore_index=True)
+    if v["hash"].duplicated().any():
+        return None
+    path = scratch_path(s, "terms")
+    terms = durable(s.createDataFrame(pa.table({"term": pa.array(v["term"], pa.string()), "code": pa.array(range(len(v)), pa.int32())})), path)
+    sent = s.sparkContext.broadcast((pa.array(v["hash"].to_numpy()), np.log((n + 1.0) / (v["df"].to_numpy() + 0.5))))
+    kind = T.StructType([ids, kind["h"], T.StructField("t", T.ArrayType(T.IntegerType()), metadata={"terms": path}), kind["tf"], T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("n", T.DoubleType()), T.StructField("m", T.DoubleType())])
+    return durable(counted.select("id", "h", "t", "tf").mapInArrow(_weighted(sent), kind))
+
+
+def word_characters(s: SparkSession) -> np.ndarray:
+    """Of every code point whether ``words`` has it in a word."""
+    x = s.range(0x110000).where("id NOT BETWEEN 55296 AND 57343").withColumn("c", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"))
+    out = np.zeros(0x110000, dtype=bool)
+    out[x.where(F.col("c").rlike(r"[\p{L}\p{M}\p{N}]")).select("id").toArrow()["id"].to_numpy()] = True
+    return out
+
+
+def split(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
+    """How many words each text has, and all words."""
+    cut = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[cut[0] : cut[-1]]
+    cut = cut - cut[0]
+    chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    within = inside[chars]
+    if len(chars) < len(raw):
+        within = np.repeat(within, np.diff(np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))))
+    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge[cut] = True
+    first = within.copy()
+    first[1:] &= ~within[:-1] | edge[1:-1]
+    first = np.flatnonzero(first)
+    data, ends = raw[within], np.cumsum(within, dtype=np.int32)
+    starts = np.append(ends[first] - 1, len(data)).astype(np.int32)
+    return np.diff(np.searchsorted(first, cut)), pa.StringArray.from_buffers(len(first), pa.py_buffer(starts), pa.py_buffer(data))
+
+
+def _valid(texts: pa.Array) -> pa.Array:
+    """Bytes that are no UTF-8 as Spark reads them."""
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()], pa.string())
+
+
+def _spelt(sent):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = sent.value
+        for b in batches:
+            rows, sizes, codes, counts, terms, hashes, dfs = [], [], [], [], [], [], []
+            x = _valid(b.column("x"))
+            for at in range(0, b.num_rows, COUNTED):
+                size, w = split(x.slice(at, COUNTED), inside)
+                if not len(w):
+                    continue
+                d = w.dictionary_encode()
+                m = len(d.dictionary)
+                key = np.repeat(np.arange(len(size)), size) * m + d.indices.to_numpy()
+                if len(size) * m <= CELLS:
+                    n = np.bincount(key, minlength=len(size) * m)
+                    key = np.flatnonzero(n)
+                    n = n[key]
+                else:
+                    key, n = np.unique(key, return_counts=True)
+                row, local = np.divmod(key, m)
+                size = np.bincount(row, minlength=len(size))
+                h = pd.util.hash_array(d.dictionary.to_numpy(zero_copy_only=False), categorize=False).view(np.int64)
+                some = np.flatnonzero(size)
+                for to, one in ((rows, some + at), (sizes, size[some]), (codes, h[local]), (counts, n), (terms, d.dictionary), (hashes, h), (dfs, np.bincount(local, minlength=m))):
+                    to.append(one)
+            if not rows:
+                continue
+            rows, size, hashes = np.concatenate(rows), np.concatenate(sizes), np.concatenate(hashes)
+            d = pa.concat_arrays(terms).dictionary_encode()
+            i = d.indices.to_numpy()
+            h, df = np.empty(len(d.dictionary), dtype=np.int64), np.bincount(i, np.concatenate(dfs), len(d.dictionary)).astype(np.int64)
+            h[i] = hashes
+            v = pa.StructArray.from_arrays([d.dictionary, pa.array(h), pa.array(df)], names=["term", "hash", "df"])
+            first = np.zeros(len(rows), dtype=np.int64)
+            first[0] = len(v)
+            held = [b.column(c).take(pa.array(rows)) for c in ("id", "h")]
+            yield pa.RecordBatch.from_arrays([*held, _lists(size, pa.array(np.concatenate(codes))), _lists(size, pa.array(np.concatenate(counts), pa.int32())), _lists(first, v)], names=["id", "h", "t", "tf", "v"])
+
+    return kernel
+
+
+def _term_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("t", T.ArrayType(T.StringType())), T.StructField("tf", T.ArrayType(T.LongType()))])
     counted = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("t")).mapInArrow(_counted, kind)
     if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
@@ -62,7 +171,16 @@ def posting_lists(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def long(lists: DataFrame) -> DataFrame:
     """``id``, ``term``, ``tf``, ``weight`` of posting lists."""
-    return lists.select("id", F.explode(F.arrays_zip("t", "tf", "w")).alias("p")).select("id", F.col("p.t").alias("term"), F.col("p.tf").alias("tf"), F.col("p.w").alias("weight"))
+    out = lists.select("id", F.explode(F.arrays_zip("t", "tf", "w")).alias("p")).select("id", F.col("p.t").alias("term"), F.col("p.tf").cast("long").alias("tf"), F.col("p.w").alias("weight"))
+    if (terms := terms_of(lists)) is None:
+        return out
+    return out.withColumnRenamed("term", "code").join(small(terms, VOCABULARY), "code").select("id", "term", "tf", "weight")
+
+
+def terms_of(lists: DataFrame) -> DataFrame | None:
+    """``term``, ``code`` of lists that hold codes."""
+    path = lists.schema["t"].metadata.get("terms")
+    return path and lists.sparkSession.read.schema("term string, code int").parquet(path)
 
 
 def is_lists(posts: DataFrame) -> bool:
@@ -72,11 +190,27 @@ def is_lists(posts: DataFrame) -> bool:
 def gathered(posts: DataFrame) -> DataFrame:
     """``id``, ``t``, ``w``, ``n``, ``m`` of postings in either form."""
     if is_lists(posts):
-        return posts.select("id", "t", "w", "n", "m")
+        return posts.select("id", "t", "w", "n", "m", *[c for c in ("h",) if c in posts.columns])
     g = posts.groupBy("id").agg(F.collect_list(F.struct("term", F.col("weight").cast("double").alias("weight"))).alias("p"))
     return durable(_sized(g.select("id", F.col("p.term").alias("t"), F.col("p.weight").alias("w"))))
 
 
+def once(lists: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """Lists of distinct texts, where at least a fifth repeat others; and ``id``, ``copy``: of each the k first ids that have the text."""
+    if "h" not in lists.columns:
+        return lists, None
+    w = Window.partitionBy("h").orderBy("id")
+    copies = lists.where("id IS NOT NULL").select("h", "id").select(F.first("id").over(w).alias("id"), F.col("id").alias("copy"), F.row_number().over(w).alias("n"))
+    copies = durable(copies.where(F.col("n") <= k))
+    kept = durable(copies.where("n = 1").select(F.col("id"), F.lit(True).alias("kept")))
+    n = kept.count()
+    if n > DISTINCT or n > 0.8 * lists.count():
+        return lists, None
+    lists = lists.join(small(kept, DISTINCT), "id", "left").where("kept OR id IS NULL").drop("kept")
+    parts = 4 * lists.sparkSession.sparkContext.defaultParallelism  # the first ids may all lie in one file
+    return durable(lists.repartition(parts)), copies.select("id", "copy")
+
+
 def _sized(lists: DataFrame) -> DataFrame:
     return lists.withColumns({"n": F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x), "m": F.array_min("w")})
 
@@ -105,12 +239,14 @@ def _weighted(sent):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf = sent.value
         for b in batches:
-            at = pc.index_in(b.column("t").flatten(), value_set=terms).to_numpy(zero_copy_only=False)
-            w = b.column("tf").flatten().to_numpy() * idf[at]
+            at = pc.index_in(b.column("t").flatten(), value_set=terms)
+            w = b.column("tf").flatten().to_numpy() * idf[at.to_numpy(zero_copy_only=False)]
             if b.num_rows:
                 start = b.column("t").offsets.to_numpy()
                 each = [pa.array(f.reduceat(x, start[:-1])) for f, x in ((np.add, w**2), (np.minimum, w))]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), b.column("tf"), _lists(np.diff(start), pa.array(w)), *each], names=["id", "t", "tf", "w", "n", "m"])
+                t = _lists(np.diff(start), at) if pa.types.is_integer(terms.type) else b.column("t")
+                held = [b.column(c) for c in b.schema.names if c in ("id", "h")]
+                yield pa.RecordBatch.from_arrays([*held, t, b.column("tf"), _lists(np.diff(start), pa.array(w)), *each], names=[*("id", "h")[: len(held)], "t", "tf", "w", "n", "m"])
 
     return kernel
 
@@ -128,6 +264,38 @@ class Asked:
         self.norm = np.sqrt(np.bincount(key // max(1, len(terms)), self.weight**2, len(ids)))
         self.floor = np.zeros(len(ids))
 
+    @classmethod
+    def of_lists(cls, q: pa.Table) -> Asked:
+        """Of query_id, t, w, where no query has a term twice."""
+        out, q = cls.__new__(cls), q.combine_chunks()
+        t, w = (q[c].combine_chunks() if q.num_rows else pa.array([], q.schema.field(c).type) for c in ("t", "w"))
+        flat = t.flatten()
+        out.terms = pc.unique(flat).sort()
+        code, size = pc.index_in(flat, value_set=out.terms).to_numpy(zero_copy_only=False), pc.list_value_length(t).to_numpy(zero_copy_only=False)
+        out.ids, out.start = q["query_id"].combine_chunks() if q.num_rows else pa.array([], q.schema.field("query_id").type), np.append(0, np.cumsum(size)).astype(np.int64)
+        of = np.repeat(np.arange(len(size)), size)
+        order = np.argsort(of * max(1, len(out.terms)) + code, kind="stable")
+        out.code, out.weight = code[order].astype(np.int32), w.flatten().to_numpy()[order]
+        out.norm, out.floor = np.sqrt(np.bincount(of, out.weight**2, len(size))), np.zeros(len(size))
+        return out
+
+    def merged(self) -> pa.Table | None:
+        """Leaves one of each kind of equal queries, by number; gives ``at`` (the number) and ``query_id`` if any were equal."""
+        kinds: dict[bytes, int] = {}
+        at, first = np.empty(len(self.ids), dtype=np.int64), []
+        for i in range(len(self.ids)):
+            own = slice(self.start[i], self.start[i + 1])
+            at[i] = n = kinds.setdefault(self.code[own].tobytes() + self.weight[own].tobytes(), len(first))
+            if n == len(first):
+                first.append(i)
+        if len(first) == len(self.ids):
+            return None
+        held, size = pa.table({"at": pa.array(at), "query_id": self.ids}), np.diff(self.start)[first]
+        take = spans(self.start[:-1][first], size)
+        self.ids, self.code, self.weight = pa.array(range(len(first)), pa.int64()), self.code[take], self.weight[take]
+        self.start, self.norm, self.floor = np.append(0, np.cumsum(size)), self.norm[first], self.floor[first]
+        return held
+
     def sorted_by_reach(self) -> Asked:
         """In the order of the length that a text must have; the queries without a bound come first."""
         order = np.argsort(self.floor / np.maximum(self.norm, 1e-300), kind="stable")
@@ -139,45 +307,33 @@ class Asked:
         return self
 
     def fit(self) -> Asked:
-        """Directions in which most of a sample of the queries lies: any give right bounds, these give close ones."""
-        energy = np.bincount(self.code, self.weight**2, len(self.terms))
-        held = np.sort(np.argsort(-energy, kind="stable")[:FIT_TERMS])
-        self.column = np.full(len(self.terms), -1, dtype=np.int32)
-        self.column[held] = np.arange(len(held))
-        rows = np.random.default_rng(0).permutation(len(self.ids))[:FIT_QUERIES]
-        size = np.diff(self.start)[rows]
-        take = spans(self.start[:-1][rows], size)
-        col, of = self.column[self.code[take]], np.repeat(np.arange(len(rows)), size)
-        x = np.zeros((len(rows), len(held)), dtype=np.float32)
-        x[of[col >= 0], col[col >= 0]] = self.weight[take][col >= 0]
-        y = np.random.default_rng(1).normal(size=(len(held), min(DIRECTIONS, len(held))))
-        for _ in range(3):
-            y = np.linalg.qr(x.T @ (x @ y.astype(np.float32)).astype(np.float32))[0]
-        self.basis = np.linalg.qr(y.astype(float))[0].astype(np.float32)
+        """Groups of terms: any give right bounds, these give close ones."""
+        order = np.argsort(-np.bincount(self.code, self.weight**2, len(self.terms)), kind="stable")
+        n, single = np.arange(len(order)), GROUPS // 2
+        self.group = np.empty(len(order), dtype=np.int32)
+        self.group[order] = n if len(n) <= GROUPS else np.where(n < single, n, single + (n - single) % (GROUPS - single))
         return self
 
-    def project(self, code: np.ndarray, weight: np.ndarray, start: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows on the directions, and the length that is left."""
-        out = np.empty((len(norm), self.basis.shape[1]), dtype=np.float32)
-        col, row = self.column[code], np.repeat(np.arange(len(norm)), np.diff(start))
-        for at in range(0, len(norm), TEXTS):
-            e = min(at + TEXTS, len(norm))
-            c, held = col[start[at] : start[e]], np.zeros((e - at, len(self.basis)), dtype=np.float32)
-            held[row[start[at] : start[e]][c >= 0] - at, c[c >= 0]] = weight[start[at] : start[e]][c >= 0]
-            out[at:e] = held @ self.basis
-        inside = np.einsum("ij,ij->i", out, out, dtype=float)
-        return out, np.sqrt(np.maximum(norm**2 - inside, 0) + 1e-6 * norm**2)
+    def lengths(self, code: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Of rows in each group."""
+        rows, width = len(start) - 1, min(GROUPS, max(1, len(self.terms)))
+        out = np.empty((rows, width), dtype=np.float32)
+        for at in range(0, rows, TEXTS):
+            e = min(at + TEXTS, rows)
+            own = slice(start[at], start[e])
+            key = np.repeat(np.arange(e - at), np.diff(start[at : e + 1])) * width + self.group[code[own]]
+            out[at:e] = np.sqrt(np.bincount(key, weight[own] ** 2, (e - at) * width)).reshape(-1, width)
+        return out
 
     @cached_property
     def rows(self) -> np.ndarray:
         """For the product with ``columns`` of texts, which is the bound of a score less the query's floor."""
         n = self.loose
-        p, rest = self.project(self.code[self.start[n] :], self.weight[self.start[n] :], self.start[n:] - self.start[n], self.norm[n:])
-        return np.column_stack([p, rest, SLACK * self.norm[n:], -self.floor[n:]]).astype(np.float32)
+        held = self.lengths(self.code[self.start[n] :], self.weight[self.start[n] :], self.start[n:] - self.start[n])
+        return np.column_stack([held, SLACK * self.norm[n:], -self.floor[n:]]).astype(np.float32)
 
     def columns(self, code: np.ndarray, weight: np.ndarray, start: np.ndarray, norm: np.ndarray) -> np.ndarray:
-        p, rest = self.project(code, weight, start, norm)
-        return np.column_stack([p, rest, norm, np.ones(len(norm))]).astype(np.float32)
+        return np.column_stack([self.lengths(code, weight, start), norm, np.ones(len(norm))]).astype(np.float32)
 
 
 class Texts:
@@ -223,9 +379,19 @@ def coded(b: pa.RecordBatch, terms: pa.Array, weights: bool = True) -> tuple[np.
     return of[start], code.drop_null().to_numpy().astype(np.int32), weight, np.append(start, len(of))
 
 
+def recoded(q: DataFrame, lists: DataFrame) -> DataFrame:
+    """Terms (query_id, term, ...) as codes, where the lists hold codes; terms that no list has are left out."""
+    if is_lists(q) or (terms := terms_of(lists)) is None:
+        return q
+    return q.join(small(terms, VOCABULARY), "term").drop("term").withColumnRenamed("code", "term")
+
+
 def asked_of(part: DataFrame) -> Asked:
-    """The queries of (query_id, term, weight); their terms are coded where they are read."""
-    terms = pa.array(np.sort(part.select("term").distinct().toArrow()["term"].to_numpy()), pa.string())
+    """The queries of (query_id, term, weight), whose terms are coded where they are read, or of (query_id, t, w)."""
+    if is_lists(part):
+        return Asked.of_lists(part.select("query_id", "t", "w").toArrow())
+    kind = pa.int32() if isinstance(part.schema["term"].dataType, T.IntegerType) else pa.string()
+    terms = pa.array(np.sort(part.select("term").distinct().toArrow()["term"].to_numpy()), kind)
     sent = part.sparkSession.sparkContext.broadcast(terms)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +402,15 @@ def asked_of(part: DataFrame) -> Asked:
     return Asked(part.select("query_id", "term", "weight").mapInArrow(kernel, kind).toArrow().to_pandas(), terms)
 
 
+def size_of(q: DataFrame) -> int:
+    """Terms of the queries, in either form."""
+    return q.agg(F.sum(F.size("t"))).first()[0] or 0 if is_lists(q) else q.count()
+
+
+def block(q: DataFrame, n: int, blocks: int) -> DataFrame:
+    return q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+
+
 def set_floors(asked: Asked, lists: DataFrame, k: int) -> None:
     """For each query a score that its k-th best text has at least: the k-th best among the longest texts, 0 if fewer share a term.
 
@@ -375,8 +550,10 @@ def overlaps(sent):
 
 
 def hits(q: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``query_id``, ``id``, ``hits`` of pairs that share a term, by one scan of the lists. ``q``: distinct query_id, term; ``pairs``: query_id, id."""
-    asked = asked_of(q.withColumn("weight", F.lit(1.0)))
+    """``query_id``, ``id``, ``hits`` of pairs that share a term, by one scan of the lists. ``q``: distinct query_id, term, or query_id, t, w;
+    ``pairs``: query_id, id."""
+    asked = asked_of(q if is_lists(q) else recoded(q, lists).withColumn("weight", F.lit(1.0)))
+    asked.weight = np.ones_like(asked.weight)
     p = pairs.toArrow().to_pandas()
     qi = pd.Index(asked.ids.to_pandas()).get_indexer(p["query_id"])
     p = p[(qi >= 0) & p["id"].notna()].assign(qi=qi[(qi >= 0) & p["id"].notna()])

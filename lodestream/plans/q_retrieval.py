@@ -47,7 +47,7 @@ def _lists(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asked_terms(lists: DataFrame) -> DataFrame:
-    return sparse_lists.long(lists.where("id % 20 = 0")).select(F.col("id").alias("query_id"), "term", "weight")
+    return lists.where("id % 20 = 0").withColumnRenamed("id", "query_id").select("query_id", "t", "tf", "w")
 
 
 def _ranked(df: DataFrame) -> DataFrame:

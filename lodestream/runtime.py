@@ -44,14 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows as a table written to the shared folder, so that a lost executor costs no recomputation upstream.
 
     Unlike a checkpoint the table is compressed, read by column, and its size is known to the planner. It goes
     with the process.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "cut")
+    path = path or scratch_path(spark, "cut")
     df.write.parquet(path)
     _written(spark, path)
     return spark.read.schema(df.schema).parquet(path)

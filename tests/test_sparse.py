@@ -87,3 +87,46 @@ def test_overlap_is_counted_in_one_scan_of_the_lists(spark):
     got = R.overlap_score(q, lists, cand)
     assert "SortMergeJoin" not in str(spark._jvm.PythonSQLUtils.explainString(S.hits(q.select("query_id", "term").distinct(), lists, cand)._jdf.queryExecution(), "simple"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.overlap_score(q, posts, cand).select(*got.columns).collect()))
+
+
+def test_equal_texts_and_queries_are_searched_once(spark):
+    rnd = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(60, size=int(rnd.integers(3, 40)))) for _ in range(80)]
+    docs = spark.createDataFrame([(n, texts[n % 80 if n < 900 else 0]) for n in range(960)], "id long, text string").repartition(3)
+    lists = S.posting_lists(docs, "id", "text")
+    distinct, copies = S.once(lists, 7)
+    assert distinct.count() == 80 and copies.groupBy("id").count().where("count > 7").count() == 0
+    q = lists.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    asked = S.asked_of(q)
+    same = asked.merged()
+    assert len(asked.ids) == 4 and same.num_rows == 48  # 4 texts have ids divisible by 20
+    posts = S.long(lists)
+    by_term = R.sparse_search(posts.where("id % 20 = 0").selectExpr("id AS query_id", "term", "weight"), posts, 7)
+    got = R.sparse_search(q, lists, 7)
+    assert got.count() == 48 * 7
+    assert sorted(map(tuple, got.select("query_id", "id", "rank", "score").collect())) == sorted(map(tuple, by_term.select("query_id", "id", "rank", "score").collect()))
+
+
+def test_overlap_of_more_terms_than_one_pass_takes_is_no_join_of_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in range(i % 9, i % 9 + 12))) for i in range(120)], "id long, text string").repartition(2)
+    lists = S.posting_lists(docs, "id", "text")
+    posts = S.long(lists)
+    q = lists.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    cand = spark.createDataFrame([(a, b, 1) for a in range(0, 120, 20) for b in range(0, 120, 7)], "query_id long, id long, rank int")
+    want = sorted(map(tuple, R.overlap_score(posts.where("id % 20 = 0").selectExpr("id AS query_id", "term", "weight"), posts, cand).select("query_id", "id", "rank", "rerank").collect()))
+    monkeypatch.setattr(S, "PASS", 30)
+    asked, whole = [], S.hits
+    monkeypatch.setattr(S, "hits", lambda *a: asked.append(1) or whole(*a))
+    assert sorted(map(tuple, R.overlap_score(q, lists, cand).select("query_id", "id", "rank", "rerank").collect())) == want
+    assert len(asked) == 3
+
+
+def test_words_are_cut_as_patterns_cut_them(spark):
+    texts = ["", "a", " वायु  प्रदूषण—PM2.5, ", "İstanbul Σ’ς", "x\u00adY Ⅳ ⓐ 𝒳y", "é e\u0301", ",", "no end", "end", "न"]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, x string").selectExpr("id", "lower(x) AS x")
+    want = [r.w for r in t.select("id", S.words("x").alias("w")).orderBy("id").collect()]
+    size, w = S.split(t.orderBy("id").toArrow()["x"].combine_chunks().cast(pa.string()), S.word_characters(spark))
+    ends = np.append(0, np.cumsum(size))
+    assert [w.to_pylist()[a:b] for a, b in zip(ends, ends[1:])] == want
+    bad = S._valid(pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 3], np.int32)), pa.py_buffer(b"a\xffb")]))
+    assert bad.to_pylist() == ["a\ufffdb"]
