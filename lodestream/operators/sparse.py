@@ -438,8 +438,6 @@ def set_floors(asked: Asked, lists: DataFrame, k: int) -> None:
     c, w = top["c"].combine_chunks().flatten().to_numpy(), top["w"].combine_chunks().flatten().to_numpy()
     ends = np.append(0, np.cumsum(size))
     order = np.argsort(-np.sqrt(np.add.reduceat(w**2, ends[:-1])), kind="stable")
-    while len(order) > k and len(order) * min(len(asked.terms), int(size[order].sum())) > 6 * CELLS:
-        order = order[: len(order) // 2]
     take = spans(ends[:-1][order], size[order])
     sent = s.sparkContext.broadcast((asked, c[take], w[take], size[order]))
     parts = max(1, min(len(asked.ids) // 50, 2 * s.sparkContext.defaultParallelism))
@@ -450,20 +448,27 @@ def set_floors(asked: Asked, lists: DataFrame, k: int) -> None:
 def _floors(sent, k: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, c, w, size = sent.value
-        local, row = np.unique(c, return_inverse=True)
-        at = np.full(len(a.terms), -1, dtype=np.int32)
-        at[local] = np.arange(len(local))
-        cells = np.zeros((len(local), len(size)), dtype=np.float32)
-        cells[row, np.repeat(np.arange(len(size)), size)] = w
+        ends = np.append(0, np.cumsum(size))
+        step = max(k, 6 * CELLS // max(1, len(np.unique(c))))
         for b in batches:
-            ids = b.column(0).to_numpy()
-            out = np.zeros(len(ids))
-            for n, i in enumerate(ids):
-                own = slice(a.start[i], a.start[i + 1])
-                r = at[a.code[own]]
-                if len(size) >= k and (r >= 0).any():
-                    s = a.weight[own][r >= 0].astype(np.float32) @ cells[r[r >= 0]]
-                    out[n] = np.partition(s, -k)[-k]
+            ids, best = b.column(0).to_numpy(), []
+            for n in range(0, len(size), step):  # texts held densely
+                few = size[n : n + step]
+                local, row = np.unique(c[ends[n] : ends[n + len(few)]], return_inverse=True)
+                at = np.full(len(a.terms), -1, dtype=np.int32)
+                at[local] = np.arange(len(local))
+                cells = np.zeros((len(local), len(few)), dtype=np.float32)
+                cells[row, np.repeat(np.arange(len(few)), few)] = w[ends[n] : ends[n + len(few)]]
+                held = np.zeros((len(ids), min(k, len(few))))
+                for m, i in enumerate(ids):
+                    own = slice(a.start[i], a.start[i + 1])
+                    r = at[a.code[own]]
+                    if (r >= 0).any():
+                        s = a.weight[own][r >= 0].astype(np.float32) @ cells[r[r >= 0]]
+                        held[m] = np.partition(s, len(s) - held.shape[1])[len(s) - held.shape[1] :]
+                best.append(held)
+            best = np.concatenate(best, axis=1)
+            out = np.partition(best, -k, axis=1)[:, -k] if best.shape[1] >= k else np.zeros(len(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.maximum(0, out * (1 - 1e-4) - 1e-5))], names=["at", "floor"])
 
     return kernel

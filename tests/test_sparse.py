@@ -130,3 +130,18 @@ def test_words_are_cut_as_patterns_cut_them(spark):
     assert [w.to_pylist()[a:b] for a, b in zip(ends, ends[1:])] == want
     bad = S._valid(pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 3], np.int32)), pa.py_buffer(b"a\xffb")]))
     assert bad.to_pylist() == ["a\ufffdb"]
+
+
+def test_floors_are_of_all_the_longest_texts_whatever_the_terms(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rnd.integers(300, size=30))) for i in range(400)], "id long, text string").repartition(2)
+    lists = S.posting_lists(docs, "id", "text")
+    q = lists.where("id % 40 = 0").withColumnRenamed("id", "query_id")
+    x = np.zeros((400, 300))
+    for r in S.long(lists).collect():
+        x[r.id, int(r.term[1:])] = r.weight
+    monkeypatch.setattr(S, "CELLS", 2000)  # 40 texts at once
+    asked = S.asked_of(q)
+    S.set_floors(asked, lists, 5)
+    want = np.sort(x[asked.ids.to_numpy()] @ x.T, axis=1)[:, -5]
+    assert (asked.floor <= want).all() and (asked.floor > 0.999 * want).all()
